@@ -54,8 +54,9 @@ def partition_bases(totals: DataFrame, part: str, total: str) -> DataFrame:
     """Rows (part, base): the sum of ``total`` over smaller ``part`` values.
 
     ``totals`` has a row per partition of a written table, so the window holds
-    as many rows as the write had tasks, whatever the data.
+    as many rows as the write had tasks, whatever the data; with that bound
+    they are broadcast, so that the table itself is not shuffled.
     """
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = totals.groupBy(part).agg(F.sum(total).alias("_total"))
-    return sums.select(part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("base"))
+    return F.broadcast(sums.select(part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("base")))
