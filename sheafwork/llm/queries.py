@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing, quality_rules, secrets, token_store
+from . import common, mixing, packing, quality_rules, secrets, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+#: Domains of the mixing query: sources are dealt to four by their number.
+DOMAIN = F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(4)))
+#: Target weights by path; paths that are not listed weigh 1.
+MIX_WEIGHTS = {("d0",): 0.4, ("d1",): 0.3, ("d2",): 0.2, ("d3",): 0.1, **{(f"d{k}", "en"): 2.0 for k in range(4)}}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("domain", DOMAIN)
+    levels = {"domain": F.col("domain"), "language": F.col("lang"), "source": F.col("source")}
+    mixed = mixing.mix(docs, levels, budget_share=1.0, weights=MIX_WEIGHTS, max_epochs=3)
+    return mixed.select("doc_id", "domain", "lang", "source", F.col("_mix_epoch").alias("epoch"), mixing.words().alias("n_tokens"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-store")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -37,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_topk": op7_topk,
     "op9_token_store": op9_token_store,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
