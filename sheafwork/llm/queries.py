@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, quality_rules, secrets, token_store, topk
+from . import common, mixing, packing, quality_rules, secrets, substring_dedup, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 #: Domains of the mixing query: sources are dealt to four by their number.
 DOMAIN = F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(4)))
 #: Target weights by path; paths that are not listed weigh 1.
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_topk": op7_topk,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_store": op9_token_store,
     "op10_mixing": op10_mixing,
 }
