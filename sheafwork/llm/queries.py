@@ -9,13 +9,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, near_dup, packing, quality_rules, secrets, substring_dedup, token_store, topk
+from . import common, language_crf, mixing, near_dup, packing, quality_mil, quality_rules, secrets, substring_dedup, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that no model learns from.
+HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_crf.fit(docs.where(~HELD_OUT), key=F.col("doc_id"))
+    return language_crf.predict(docs, model, "doc_id", HELD_OUT.alias("held_out"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_mil.MilModel | None:
+    """Learned from the labelled documents of the table that are not held out."""
+    labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = _table(spark, sf_dir, "documents").where(~HELD_OUT).join(labels, "doc_id")
+    return quality_mil.fit(known, F.col("quality"), key=F.col("doc_id"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_model(spark, sf_dir), "doc_id", HELD_OUT.alias("held_out"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +83,8 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
