@@ -23,7 +23,7 @@ what is dropped, where a chance collision costs work and nothing else.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -252,7 +252,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each position that a window picks."""
     for batch in batches:
+        parts = []
         for part in _batches(batch):
             texts = Texts(part["text"])
             bounds = _list_bounds(part["at"])
@@ -263,13 +265,75 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = contexts(texts, at)
             owner = texts.owner(c["at"])
             base = texts.bounds[owner]
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"].take(pa.array(owner)), part["version"].take(pa.array(owner)), *(pa.array((c[k] - base).astype(np.int32)) for k in ("at", "first", "last")), *(_long(c[k]) for k in ("ua", "ub", "right", "left"))],
-                names=["doc_id", "version", "at", "first", "last", "ua", "ub", "right", "left"],
-            )
+            ids, versions = (part[k].to_numpy(zero_copy_only=False)[owner] for k in ("doc_id", "version"))
+            parts.append([c["ua"], c["ub"], ids, versions, c["at"] - base, c["first"] - base, c["last"] - base, c["right"], c["left"]])
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if len(rows[0]) == 0:
+            continue
+        ua, ub, ids, versions, *places, right, left, rep = _least_first(rows)
+        yield pa.RecordBatch.from_arrays([_long(ua), _long(ub), pa.array(ids), pa.array(versions), *(pa.array(x.astype(np.int32)) for x in places), _long(right), _long(left), pa.array(rep)], names=_CONTEXT)
+
+
+_CONTEXT = ["ua", "ub", "doc_id", "version", "at", "first", "last", "right", "left", "rep"]
+
+
+def _ranked(columns: list[str], given: Callable[[list[np.ndarray], np.ndarray], pa.RecordBatch]):
+    """A pass over rows sorted by their first two columns, a name in two halves;
+    the third is doc_id and the last ``rep``.  ``given(rows, first)`` gets whole
+    names, where ``first`` marks rows with ``rep`` in the least document of
+    their name.  A name is taken up again with the next batch by its last rows."""
+
+    def rank(rows: list[np.ndarray]) -> pa.RecordBatch:
+        na, nb, ids, *_, rep = rows
+        start = np.flatnonzero(np.concatenate([[True], (na[1:] != na[:-1]) | (nb[1:] != nb[:-1])]))
+        least = np.repeat(np.minimum.reduceat(np.where(rep, ids, np.iinfo(np.int64).max), start), np.diff(np.append(start, len(na))))
+        return given(rows, rep & (ids == least))
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in stream:
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if len(rows[0]) == 0:
+                continue
+            change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            held = [x[cut:] for x in rows]
+            if cut:
+                yield rank([x[:cut] for x in rows])
+        if held is not None and len(held[0]):
+            yield rank(held)
+
+    return batches
+
+
+def _first_of_context(rows: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[2:-1]), pa.array(first)], names=_CONTEXT[2:])
+
+
+def _repeated_windows(rows: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in rows[2:-1]], names=_WINDOW[2:-1])
+
+
+def _least_first(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows (name halves, doc_id, ...) of a batch with ``rep`` last: false
+    where a smaller document of the batch has the same name.  Such rows are
+    done with and get a name of their own, so a hot name costs the sort no more
+    than a few rows for each batch."""
+    order = np.lexsort((rows[2], rows[1], rows[0]))
+    na, nb, ids, *rest = (x[order] for x in rows)
+    new = np.concatenate([[True], (na[1:] != na[:-1]) | (nb[1:] != nb[:-1])])
+    rep = ids == ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    spread = _mix(ids.view(np.uint64) * _C1 + np.arange(len(ids), dtype=np.uint64))
+    return [np.where(rep, na.view(np.uint64), spread), np.where(rep, nb.view(np.uint64), np.uint64(0)), ids, *rest, rep]
+
+
+_WINDOW = ["na", "nb", "doc_id", "version", "at", "rep"]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the runs, with its name."""
     offsets = [*range(0, LEAST - 8, 8), LEAST - 8]
     for batch in batches:
         for part in _batches(batch):
@@ -278,18 +342,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
             runs = part["runs"].flatten()
             first, last = (runs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            ids, versions = (part[k].to_numpy(zero_copy_only=False) for k in ("doc_id", "version"))
             n = last - first + 1
             owner = np.repeat(row, n)
             at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
             for k in range(0, len(at), 1 << 18):
                 w, own = at[k : k + (1 << 18)], owner[k : k + (1 << 18)]
                 place = w + texts.bounds[own]
-                low = int(place.min()) if len(place) else 0
-                words = _words(texts.data[low : int(place.max()) + 128]) if len(place) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"].take(pa.array(own)), part["version"].take(pa.array(own)), pa.array(w.astype(np.int32)), *(_long(_hash(words, place - low, offsets, seed)) for seed in (5, 6))],
-                    names=["doc_id", "version", "at", "na", "nb"],
-                )
+                low = int(place.min())
+                words = _words(texts.data[low : int(place.max()) + 128])
+                na, nb = (_hash(words, place - low, offsets, seed) for seed in (5, 6))
+                na, nb, i, v, w, rep = _least_first([na, nb, ids[own], versions[own], w])
+                yield pa.RecordBatch.from_arrays([_long(na), _long(nb), pa.array(i), pa.array(v), pa.array(w.astype(np.int32)), pa.array(rep)], names=_WINDOW)
 
 
 def _merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -332,34 +396,34 @@ def _cut(with_text: bool):
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, version, first, end): ranges of repeated bytes, not yet merged.
 
-    ``docs`` has doc_id, text and version, a hash of the text: rows that share
-    an id but not a text are kept apart.  Null ids must be gone.
+    ``docs`` has doc_id, text and version, which tells rows apart that share an
+    id but not a text.  Null ids must be gone.
     """
     found = docs.select("doc_id", "text").mapInArrow(_suffixes, "name long, doc_id long, at int, kind byte")
     kept = found.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "doc_id long, at int")
     places = common.written(kept.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "suffix-places")
     common.free_shuffles(docs.sparkSession)
 
-    named = docs.join(places, "doc_id").mapInArrow(_contexts, "doc_id long, version long, at int, first int, last int, ua long, ub long, right long, left long")
-    named = common.written(named, "suffix-contexts")
+    named = docs.join(places, "doc_id").select("doc_id", "version", "text", "at").mapInArrow(_contexts, "ua long, ub long, doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
+    ranked = named.repartition("ua").sortWithinPartitions("ua", "ub").mapInArrow(_ranked(_CONTEXT, _first_of_context), "doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
+    ranked = common.written(ranked, "suffix-contexts")
     common.free_shuffles(docs.sparkSession)
-
-    earliest = named.groupBy("ua", "ub").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ua", "ub", "lo")
-    ranked = common.written(named.join(earliest, ["ua", "ub"], "left").drop("ua", "ub"), "suffix-ranked")
-    whole = ranked.where("lo < doc_id").select("doc_id", "version", "first", (F.col("last") + LEAST).alias("end"))
+    whole = ranked.where("not rep").select("doc_id", "version", "first", (F.col("last") + LEAST).alias("end"))
 
     # Windows from `at - _BACK` on cover the 33 bytes to the right, earlier ones those to the left.
     split = F.col("at") - _BACK
     right = F.struct(F.greatest("first", split).alias("first"), F.col("last").alias("last"), F.col("right").alias("name"))
     left = F.struct(F.col("first").alias("first"), F.least(F.col("last"), split - 1).alias("last"), F.col("left").alias("name"))
-    sides = ranked.where("lo is null or lo = doc_id").select("doc_id", "version", F.inline(F.array(right, left))).where("first <= last")
+    sides = ranked.where("rep").select("doc_id", "version", F.inline(F.array(right, left))).where("first <= last")
     common_sides = sides.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
     open_ = sides.join(common_sides, "name", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    windows = docs.join(open_, ["doc_id", "version"]).select("doc_id", "version", "text", "runs").mapInArrow(_windows, "doc_id long, version long, at int, na long, nb long")
-    windows = common.written(windows, "suffix-windows")
+    open_ = common.written(open_, "suffix-open")
+    common.free_shuffles(docs.sparkSession)
+    windows = docs.join(open_, ["doc_id", "version"]).select("doc_id", "version", "text", "runs").mapInArrow(_windows, "na long, nb long, doc_id long, version long, at int, rep boolean")
+    repeated = windows.repartition("na").sortWithinPartitions("na", "nb").mapInArrow(_ranked(_WINDOW, _repeated_windows), "doc_id long, version long, at int")
+    repeated = common.written(repeated, "suffix-windows")
     common.free_shuffles(docs.sparkSession)
-    seen = windows.groupBy("na", "nb").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("na", "nb", "lo")
-    single = windows.join(seen, ["na", "nb"]).where("lo < doc_id").select("doc_id", "version", F.col("at").alias("first"), (F.col("at") + LEAST).alias("end"))
+    single = repeated.select("doc_id", "version", F.col("at").alias("first"), (F.col("at") + LEAST).alias("end"))
     return whole.unionByName(single)
 
 
@@ -371,7 +435,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smaller id.  A null text counts as empty; a document without an id takes no
     part and stays whole; rows that share an id do not count against each other.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shared_ids = not own.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
+    own = own.withColumn("version", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
     runs = repeated_runs(own.where("doc_id is not null")).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     last = "kept binary" if with_text else "kept_sha256 string"
     return own.join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
