@@ -199,8 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = common.written(one.select("doc_id", "s.*"), "near-signatures")
 
     # Documents with equal shingle sets are one class from the start: its least id stands for it.
-    sets = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = signed.join(sets, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), "version", F.when((F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0), F.col("labels")).alias("labels"))
+    sets = signed.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    sets = common.written(sets, "near-copies")  # a table by itself, so that a join with a hot set can be split
+    members = signed.join(sets, ["k1", "k2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"), "version", F.when((F.col("doc_id") == F.coalesce("rep", "doc_id")) & (F.col("n_shingles") > 0), F.col("labels")).alias("labels"))
     members = common.written(members, "near-members")
     reps = members.where("labels is not null")
 
@@ -208,6 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("labels"), t * width + 1, F.lit(width))))
     nodes = reps.select("rep", F.explode(prefixes).alias("node"))
     leaders = nodes.groupBy("node").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("node", "leader")
+    leaders = common.written(leaders, "near-nodes")
     star = nodes.join(leaders, "node").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     clusters = components(star).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
     common.free_shuffles(docs.sparkSession)
