@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -148,19 +149,21 @@ def file_name(url: Column, content_type: Column, disposition: Column) -> Column:
     return let(named, lambda n: F.substring(F.when(F.contains(n, F.lit(".")), n).otherwise(F.concat(n, F.coalesce(F.try_element_at(table, kind), F.lit("")))), 1, 120))
 
 
-@F.pandas_udf("string")
-def resolved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """An absolute http(s) URL from struct(base, href), else null."""
-    from urllib.parse import urljoin
+def resolved(base: Column, href: Column) -> Column:
+    """The absolute http(s) URL of a reference, else null."""
 
-    def join(base: str | None, href: str | None) -> str | None:
-        if not href:
+    def join(b: str | None, h: str | None) -> str | None:
+        if not h:
             return None
         try:
-            url = urljoin(base or "", href.strip().strip("'\""))
+            url = urljoin(b or "", h.strip().strip("'\""))
         except ValueError:
             return None
         return url if url.lower().startswith(("http://", "https://")) else None
 
-    for frame in parts:
-        yield pd.Series([join(b, h) for b, h in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True)], dtype=object)
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for frame in parts:
+            yield pd.Series([join(b, h) for b, h in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True)], dtype=object)
+
+    return run(F.struct(base.alias("base"), href.alias("href")))

@@ -22,7 +22,7 @@ def sheet_fonts(sheets: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all("css", F.lit(r"(?i)@font-face\s*\{[^}]*\}"), F.lit(0))
     hrefs = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?i)url\(([^)]+)\)"), F.lit(1))))
     rows = sheets.select("css_url", F.posexplode(hrefs).alias("ord", "href"))
-    return rows.select("css_url", "ord", resolved(F.struct("css_url", "href")).alias("url")).where("url is not null")
+    return rows.select("css_url", "ord", resolved(F.col("css_url"), F.col("href")).alias("url")).where("url is not null")
 
 
 def sheet_hrefs(css: Column) -> Column:
