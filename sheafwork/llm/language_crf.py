@@ -161,13 +161,21 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key:
     documents with the least hash, of each a segment of ``sample_words`` words
     at a hashed place.  None if no row has a language and a word."""
     key = F.xxhash64(text_col) if key is None else F.xxhash64(key)
-    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    first = Window.partitionBy("lang").orderBy("key", "text")
-    own = own.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
+    # First the keys alone, so that no text moves; then the texts below each language's last key.
+    first = Window.partitionBy("lang").orderBy("key")
+    slim = own.select("lang", "key").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
+    last = slim.groupBy("lang").agg(F.max("key").alias("key")).orderBy("lang").limit(MAX_LANGUAGES).collect()
+    if not last:
+        return None
+    chosen = F.lit(False)
+    for r in last:
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["key"]))
+    own = own.where(chosen)
     words = F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), "")
     own = own.select("lang", "key", words.alias("words")).where(F.size("words") > 0)
     start = F.pmod("key", F.greatest(F.size("words") - sample_words, F.lit(1))) + 1
-    rows = own.select("lang", "key", F.slice("words", start.cast("int"), sample_words).alias("words")).limit(sample_docs * MAX_LANGUAGES).collect()
+    rows = own.select("lang", "key", F.slice("words", start.cast("int"), sample_words).alias("words")).limit(2 * sample_docs * len(last)).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["key"], r["words"]))

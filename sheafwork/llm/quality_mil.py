@@ -116,17 +116,24 @@ def fit(docs: DataFrame, label: Column, text_col: str = "text", *, key: Column |
     None if a label has no document."""
     key = F.xxhash64(text_col) if key is None else F.xxhash64(key)
     own = docs.select(label.cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), key.alias("key")).where("y in (0, 1)")
-    parts = [own.where(F.col("y") == k).orderBy("key", "text").limit(sample_docs) for k in (0, 1)]
+    # First the keys alone, so that no text moves; then the texts up to each label's last key.
+    last = {}
+    for k in (0, 1):
+        keys = own.where(F.col("y") == k).select("key").orderBy("key").limit(sample_docs)
+        last[k] = keys.agg(F.max("key")).first()[0]
+    if None in last.values():
+        return None
+    part = own.where((F.col("key") <= max(last.values())) & (((F.col("y") == 0) & (F.col("key") <= last[0])) | ((F.col("y") == 1) & (F.col("key") <= last[1]))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, "text"):
-                x, passages = encode_passages(part["text"])
+            for piece in _slices(batch, "text"):
+                x, passages = encode_passages(piece["text"])
                 bounds = np.concatenate([[0], np.cumsum(passages)])
                 blobs = [x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part["y"], part["key"], pa.array(blobs, pa.binary())], names=["y", "key", "x"])
+                yield pa.RecordBatch.from_arrays([piece["y"], piece["key"], pa.array(blobs, pa.binary())], names=["y", "key", "x"])
 
-    rows = [r for part in parts for r in part.mapInArrow(features, "y int, key long, x binary").collect()]
+    rows = part.mapInArrow(features, "y int, key long, x binary").limit(4 * sample_docs).collect()
     if len({r["y"] for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r["y"], r["key"], bytes(r["x"])))
