@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafwork.llm import common, mixing, near_dup, packing, quality_mil, secrets
-from sheafwork.llm.queries import DOMAIN, HELD_OUT, MIX_WEIGHTS
+from sheafwork.llm.queries import MIX_WEIGHTS, domain, held_out
 
 #: Share of the tokens that the mixing stage takes; once each at most.
 MIX_SHARE = 0.8
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts.  It learns from the table of
     labels; with no label of either kind nothing is rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    model = quality_mil.fit(docs.where(~HELD_OUT).select("doc_id", "text").join(labels, "doc_id"), F.col("_quality"), key=F.col("doc_id"))
+    model = quality_mil.fit(docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id"), F.col("_quality"), key=F.col("doc_id"))
     scored = quality_mil.score(docs, model, F.struct(*docs.columns).alias("row"))
     return scored.where("predicted = 1").select("row.*")
 
@@ -50,7 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen so that domains, languages and sources meet their
     target weights; each at most once."""
-    mixed = mixing.mix(docs, {"domain": DOMAIN, "language": F.col("lang"), "source": F.col("source")}, budget_share=MIX_SHARE, weights=MIX_WEIGHTS, max_epochs=1)
+    mixed = mixing.mix(docs, {"domain": domain(), "language": F.col("lang"), "source": F.col("source")}, budget_share=MIX_SHARE, weights=MIX_WEIGHTS, max_epochs=1)
     return mixed.select(*docs.columns)
 
 

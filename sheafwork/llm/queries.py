@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, language_crf, mixing, near_dup, packing, quality_mil, quality_rules, secrets, substring_dedup, token_store, topk
@@ -16,26 +16,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that no model learns from.
-HELD_OUT = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+def held_out() -> Column:
+    """Rows that no model learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_crf.fit(docs.where(~HELD_OUT), key=F.col("doc_id"))
-    return language_crf.predict(docs, model, "doc_id", HELD_OUT.alias("held_out"))
+    model = language_crf.fit(docs.where(~held_out()), key=F.col("doc_id"))
+    return language_crf.predict(docs, model, "doc_id", held_out().alias("held_out"))
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_mil.MilModel | None:
     """Learned from the labelled documents of the table that are not held out."""
     labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = _table(spark, sf_dir, "documents").where(~HELD_OUT).join(labels, "doc_id")
+    known = _table(spark, sf_dir, "documents").where(~held_out()).join(labels, "doc_id")
     return quality_mil.fit(known, F.col("quality"), key=F.col("doc_id"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality_mil.score(docs, quality_model(spark, sf_dir), "doc_id", HELD_OUT.alias("held_out"))
+    return quality_mil.score(docs, quality_model(spark, sf_dir), "doc_id", held_out().alias("held_out"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +64,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-#: Domains of the mixing query: sources are dealt to four by their number.
-DOMAIN = F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(4)))
+def domain() -> Column:
+    """Domains of the mixing query: sources are dealt to four by their number."""
+    return F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(4)))
+
+
 #: Target weights by path; paths that are not listed weigh 1.
 MIX_WEIGHTS = {("d0",): 0.4, ("d1",): 0.3, ("d2",): 0.2, ("d3",): 0.1, **{(f"d{k}", "en"): 2.0 for k in range(4)}}
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("domain", DOMAIN)
+    docs = _table(spark, sf_dir, "documents").withColumn("domain", domain())
     levels = {"domain": F.col("domain"), "language": F.col("lang"), "source": F.col("source")}
     mixed = mixing.mix(docs, levels, budget_share=1.0, weights=MIX_WEIGHTS, max_epochs=3)
     return mixed.select("doc_id", "domain", "lang", "source", F.col("_mix_epoch").alias("epoch"), mixing.words().alias("n_tokens"))
