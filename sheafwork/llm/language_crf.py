@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of the training sample: documents of each language, words of each, languages.
 SAMPLE_DOCS = 300
@@ -316,7 +317,7 @@ def label_words(docs: DataFrame, model: CrfModel, *keep: Column | str, text_col:
     (runs of letters) in order; null text has none."""
     own = docs.select(*keep, F.col(text_col).cast("string").alias("_crf_text"))
     kept = own.columns[:-1]
-    schema = own.drop("_crf_text").schema.add("labels", "array<string>")
+    schema = own.drop("_crf_text").schema.add("labels", T.ArrayType(T.StringType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
