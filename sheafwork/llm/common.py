@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,10 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete shuffle files of finished jobs now.
 
-    It does so when the driver's JVM collects garbage, which else may take
-    longer than the operator; on a full disk that matters.
+    It does so when the driver collects garbage, which else may take longer
+    than the operator; on a full disk that matters.  A finished query stays
+    referenced until its last events are handed out: hence the short waits.
     """
-    spark.sparkContext._jvm.System.gc()
+    gc.collect()
+    for _ in range(2):
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def partition_bases(totals: DataFrame, part: str, total: str) -> DataFrame:
