@@ -52,8 +52,9 @@ def colors(text: Column) -> Column:
         return F.lower(F.when(F.length(m) == 4, short).otherwise(F.substring(m, 1, 7)))
 
     def by(pattern: str, of) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: of(*_numbers(m, pattern)))
-        return F.filter(found, lambda c: c.isNotNull() & ~F.contains(c, F.lit("null")))
+        matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.array(*_numbers(m, pattern)))
+        real = F.filter(matches, lambda n: ~F.exists(n, lambda x: x.isNull()))
+        return F.transform(real, lambda n: of(n[0], n[1], n[2]))
 
     return F.concat(F.transform(F.regexp_extract_all(text, F.lit(HEX), F.lit(0)), from_hex), by(RGB, _hex), by(HSL, _from_hsl))
 

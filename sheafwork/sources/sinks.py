@@ -45,4 +45,4 @@ def as_json(frame: DataFrame, *keys: str) -> DataFrame:
 
 def write_transcripts(transcripts: DataFrame, path: str) -> None:
     """A line-terminated text for each row (text)."""
-    transcripts.select(F.concat(F.regexp_replace("text", r"\n+\z", ""), F.lit("\n")).alias("value")).write.text(path, lineSep="\n")
+    transcripts.select(F.regexp_replace("text", r"\n+\z", "").alias("value")).write.text(path, lineSep="\n")
