@@ -416,6 +416,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     left = F.struct(F.col("first").alias("first"), F.least(F.col("last"), split - 1).alias("last"), F.col("left").alias("name"))
     sides = ranked.where("rep").select("doc_id", "version", F.inline(F.array(right, left))).where("first <= last")
     common_sides = sides.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
+    common_sides = common.written(common_sides, "suffix-sides")  # a table by itself, so that a join with a hot name can be split
     open_ = sides.join(common_sides, "name", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     open_ = common.written(open_, "suffix-open")
     common.free_shuffles(docs.sparkSession)
