@@ -148,7 +148,8 @@ def _train(x: np.ndarray, passages: np.ndarray, y: np.ndarray, steps: int, width
     model = MilModel(x.mean(0), x.std(0) + 1e-2, params)
     m, v = ({k: np.zeros(s) for k, s in size.items()} for _ in range(2))
     bounds = np.concatenate([[0], np.cumsum(passages)])
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    # Weights halfway between even labels and none, so that good documents are not lost to the rarer label.
+    weight = np.where(y == 1, np.sqrt(0.5 / max(y.mean(), 1e-9)), np.sqrt(0.5 / max(1 - y.mean(), 1e-9)))
     for step in range(1, steps + 1):
         pick = draw.choice(len(y), min(512, len(y)), replace=False)
         rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in pick])
@@ -171,6 +172,14 @@ def _train(x: np.ndarray, passages: np.ndarray, y: np.ndarray, steps: int, width
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    # Put one half where the fewest training documents fall on the wrong side, amid the widest such gap.
+    logits = model.forward(x, passages)["z"] @ params["c"] + params["cb"]
+    order = np.argsort(logits, kind="stable")
+    ranked = np.concatenate([[logits[order[0]] - 2], logits[order], [logits[order[-1]] + 2]])
+    wrong = np.concatenate([[0], np.cumsum(y[order])]) + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y[order])])
+    gap = np.where(wrong == wrong.min(), np.diff(ranked), -1)
+    at = int(gap.argmax())
+    params["cb"] = params["cb"] - (ranked[at] + ranked[at + 1]) / 2
     return model
 
 
