@@ -52,7 +52,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_store": op9_token_store,
     "op10_mixing": op10_mixing,
 }
+
+
+def _quality_rules_sql(rules: quality_rules.DivergenceRules) -> str:
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{c.replace(chr(39), chr(39) * 2)}+', '', 'g'))" for c in quality_rules.CLASSES)
+    words = " ".join(f"WHEN '{lang}' THEN [" + ", ".join(f"(strlen(p) - strlen(replace(p, ' {w} ', ''))) // (strlen('{w}') + 2)" for w in listed) + "]" for lang, listed in rules.common_words.items())
+    n_class, n_word = len(quality_rules.CLASSES) + 1, len(next(iter(rules.common_words.values()))) + 1
+    share = lambda c, total: f"list_transform(list_append({c}, {total} - list_sum({c})), lambda x: x / greatest({total}, 1)::DOUBLE)"
+    mean = lambda c, n, guard: "[" + ", ".join(f"avg({c}[{k + 1}]) FILTER ({guard})" for k in range(n)) + "]"
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2({a} * 2 / ({a} + {b})) ELSE 0 END"
+    js = lambda a, b, n: f"sqrt(greatest(list_sum(list_transform(range(1, {n + 1}), lambda i: {term(f'{a}[i]', f'{b}[i]')} + {term(f'{b}[i]', f'{a}[i]')})) / 2, 0))"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{quality_rules.SPACE}'), lambda x: x <> '') AS w,
+    ' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', '  ', 'g') || ' ' AS p FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d))),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '{quality_rules.SYMBOLS}', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words, length(t) AS n_chars, [{counts}] AS cc, CASE lang {words} END AS wc
+  FROM d LEFT JOIN r USING (doc_id)),
+s AS (SELECT *, {share("cc", "n_chars")} AS cs, {share("wc", "n_words")} AS ws FROM m),
+f AS (SELECT lang, {mean("cs", n_class, f"n_chars >= {rules.min_chars}")} AS cr, {mean("ws", n_word, f"n_words >= {rules.min_words}")} AS wr FROM s WHERE wc IS NOT NULL GROUP BY lang),
+j AS (SELECT s.*, CASE WHEN cr IS NOT NULL THEN {js("cs", "cr", n_class)} ELSE (SELECT min({js("s.cs", "f.cr", n_class)}) FROM f) END AS cd, {js("ws", "wr", n_word)} AS wd,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s LEFT JOIN f USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {rules.min_chars} AND coalesce(cd > {rules.max_class_distance}, false)) AND NOT (n_words >= {rules.min_words} AND coalesce(wd > {rules.max_word_distance}, false)) AS kept
+FROM j"""
+
+
 #: SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op5_near_duplicates": r"""
@@ -109,6 +136,7 @@ l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
 r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT l.y, r.c FROM r JOIN l ON r.doc_id = l.x)
 SELECT r.doc_id, min(r.c) AS class_id, coalesce(any_value(k.n), 0) AS n_links
 FROM r LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = r.doc_id GROUP BY r.doc_id""",
+    "op6_quality_rules": _quality_rules_sql(quality_rules.DivergenceRules()),
     "op7_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
