@@ -31,11 +31,6 @@ def summary(results: DataFrame) -> DataFrame:
     return rows.where((F.col("kind") != "tier") | F.col("name").isNotNull()).select("kind", "name", "passed", "total", rate.alias("rate"))
 
 
-def _lines(rows: DataFrame, line: Column, *order: Column) -> DataFrame:
-    lists = rows.agg(F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), line.alias("line")))).alias("rows"))
-    return lists.select(F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
-
-
 def percent(rate: Column) -> Column:
     """Whole percents, half to even."""
     return F.bround(rate * 100, 0).cast("int").cast("string")
@@ -46,11 +41,14 @@ def card(totals: DataFrame) -> DataFrame:
     then by name) and by category.  A summary has a row per tier and category."""
     line = (
         F.when(F.col("kind") == "all", F.concat(F.lit("Read **"), F.col("passed"), F.lit("/"), F.col("total"), F.lit("** pages (**"), percent(F.col("rate")), F.lit("%**).")))
-        .when(F.col("kind") == "tier", F.concat(F.lit("- tier `"), F.col("name"), F.lit("`: "), F.col("passed")))
-        .otherwise(F.concat(F.lit("- category `"), F.col("name"), F.lit("`: "), F.col("passed"), F.lit("/"), F.col("total"), F.lit(" ("), percent(F.col("rate")), F.lit("%)")))
+        .when(F.col("kind") == "tier", F.concat(F.lit("- `"), F.col("name"), F.lit("`: "), F.col("passed")))
+        .otherwise(F.concat(F.lit("- `"), F.col("name"), F.lit("`: "), F.col("passed"), F.lit("/"), F.col("total"), F.lit(" ("), percent(F.col("rate")), F.lit("%)")))
     )
-    place = F.when(F.col("kind") == "all", 0).when(F.col("kind") == "tier", 1).otherwise(2)
-    return _lines(totals, line, place, F.when(F.col("kind") == "tier", -F.col("passed")).otherwise(F.lit(0)), F.coalesce("name", F.lit(""))).withColumnRenamed("text", "markdown")
+    place = F.struct(F.when(F.col("kind") == "tier", -F.col("passed")).otherwise(F.lit(0)).alias("a"), F.coalesce("name", F.lit("")).alias("b"), line.alias("line"))
+    of = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, place))), lambda r: r["line"]), "\n")
+    parts = totals.agg(of("all").alias("all"), of("tier").alias("tier"), of("category").alias("category"))
+    tiers = F.when(F.col("tier") != "", F.col("tier")).otherwise(F.lit("- (nothing read)"))
+    return parts.select(F.concat("all", F.lit("\n\n## Which tier carried it\n\n"), tiers, F.lit("\n\n## By category\n\n"), "category").alias("markdown"))
 
 
 def page_lines(results: DataFrame) -> DataFrame:

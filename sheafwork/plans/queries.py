@@ -85,9 +85,9 @@ def search_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query", "rank", "key", F.round("score", 12).alias("score"), "title", "url", "snippet", "source")
 
 
-@query(f"""WITH {_FUSED}, l AS (SELECT query, rank, rank || '. ' || CASE WHEN title <> '' THEN title ELSE '(no title)' END || '  [' || {_SOURCES} || ']' || chr(10) || '   ' || url
-    || CASE WHEN trim(replace(snippet, chr(10), ' ')) <> '' THEN chr(10) || '   ' || trim(replace(snippet, chr(10), ' ')) ELSE '' END AS line FROM f WHERE rank <= 5)
-  SELECT query, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS listing FROM l GROUP BY query""")
+@query(f"""WITH {_FUSED}, l AS (SELECT query, rank, rank || '. ' || CASE WHEN title <> '' THEN title ELSE '(no title)' END || chr(10) || '   ' || url
+    || CASE WHEN trim(replace(snippet, chr(10), ' ')) <> '' THEN chr(10) || '   ' || trim(replace(snippet, chr(10), ' ')) ELSE '' END || chr(10) || '   [' || {_SOURCES} || ']' AS line FROM f WHERE rank <= 5)
+  SELECT query, string_agg(line, chr(10) ORDER BY rank) AS listing FROM l GROUP BY query""")
 def search_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.result_lists(fusion.fused(X.derived(spark, sf_dir, X.SEARCH_HITS), fusion.clamp(5)))
 
@@ -582,8 +582,9 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SUMMARY}, pc AS (SELECT *, CAST(round_even(passed::DOUBLE / total * 100, 0) AS INT) AS pct FROM u)
-  SELECT string_agg(CASE kind WHEN 'all' THEN 'Read **' || passed || '/' || total || '** pages (**' || pct || '%**).' WHEN 'tier' THEN '- tier `' || name || '`: ' || passed ELSE '- category `' || name || '`: ' || passed || '/' || total || ' (' || pct || '%)' END,
-    chr(10) ORDER BY CASE kind WHEN 'all' THEN 0 WHEN 'tier' THEN 1 ELSE 2 END, CASE WHEN kind = 'tier' THEN -passed ELSE 0 END, coalesce(name, '')) AS markdown FROM pc""")
+  SELECT string_agg('Read **' || passed || '/' || total || '** pages (**' || pct || '%**).', '') FILTER (kind = 'all') || chr(10) || chr(10) || '## Which tier carried it' || chr(10) || chr(10)
+    || string_agg('- `' || name || '`: ' || passed, chr(10) ORDER BY passed DESC, name) FILTER (kind = 'tier') || chr(10) || chr(10) || '## By category' || chr(10) || chr(10)
+    || string_agg('- `' || name || '`: ' || passed || '/' || total || ' (' || pct || '%)', chr(10) ORDER BY name) FILTER (kind = 'category') AS markdown FROM pc""")
 def score_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.card(scorecard.summary(_scored(spark, sf_dir)))
 

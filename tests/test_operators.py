@@ -207,7 +207,7 @@ def test_scorecard(spark):
     assert [r["error"] for r in scored.orderBy("name").collect()] == [None, None, "thin content (10 < 500 chars)", "e" * 200]
     totals = scorecard.summary(scored)
     assert rows(totals, "kind", "name") == [("all", None, 2, 4, 0.5), ("category", "x", 2, 2, 1.0), ("category", "y", 0, 2, 0.0), ("tier", "direct", 1, 1, 1.0), ("tier", "relay", 1, 1, 1.0)]
-    assert scorecard.card(totals).first()[0].split("\n") == ["Read **2/4** pages (**50%**).", "- tier `direct`: 1", "- tier `relay`: 1", "- category `x`: 2/2 (100%)", "- category `y`: 0/2 (0%)"]
+    assert scorecard.card(totals).first()[0].split("\n") == ["Read **2/4** pages (**50%**).", "", "## Which tier carried it", "", "- `direct`: 1", "- `relay`: 1", "", "## By category", "", "- `x`: 2/2 (100%)", "- `y`: 0/2 (0%)"]
     assert "| d | y | no | — | 0 |" in [r["line"] for r in scorecard.page_lines(scored).collect()]
     docs = spark.createDataFrame([("s", "system prompt, system prompt"), ("t", "fine")], "source string, text string")
     assert rows(scorecard.injection_rollup(docs), F.col("source").asc_nulls_first(), F.col("pattern").asc_nulls_first()) == [(None, None, 1, 2), ("s", None, 1, 2), ("s", 4, 1, 2)]
