@@ -40,6 +40,31 @@ class EntropyClass:
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _counting(run: str, least: int = 6) -> str:
+    """The first ``least`` characters of ``run`` and as many more as follow."""
+    rest = ""
+    for c in reversed(run[least:]):
+        rest = f"(?:{c}{rest})?"
+    return run[:least] + rest
+
+
+#: Whole parts of a candidate, a part being a run of letters and digits.  Real
+#: words have one case, a capital in front or humps, never three short humps,
+#: seven consonants or a q without u in a row, nor three of j, q, x and z.
+_WORD = (
+    r"(?![A-Za-z]*[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{7})(?![A-Za-z]*[qQ](?=[A-Za-z])[^uU])(?!(?:[A-IK-PR-WYa-ik-pr-wy]*[jqxzJQXZ]){3})"
+    r"(?:[A-Z]+|(?![A-Za-z]*(?:[A-Z][a-z]){3})[a-z]*(?:[A-Z][a-z]+){0,20})"
+)
+_NUMBER = "[0-9]+"
+_PLACEHOLDER = r"(?i:example|sample|dummy|placeholder|changeme)[A-Za-z0-9]*|[xX]{6,}[A-Za-z0-9]{0,4}"
+_COUNT = f"(?i:{_counting(_DIGITS)}|{_counting('1234567890')}|{_counting(_LOWER)}){{1,50}}"
+
+
+def _all_parts(*kinds: str) -> str:
+    """The start of a text all of whose parts are of these kinds."""
+    return rf"^(?!.*(?<![A-Za-z0-9])(?!(?:{'|'.join(kinds)})(?![A-Za-z0-9]))[A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class EntropyRules:
     classes: tuple[EntropyClass, ...] = (
@@ -48,12 +73,12 @@ class EntropyRules:
         EntropyClass("base64", _UPPER + _LOWER + _DIGITS + "+/_-=", 20, 3.6),
     )
     #: A candidate that matches one of these is no secret: words, plain numbers
-    #: (cards, phones, dates), numbered names, counting runs, placeholders.
+    #: (cards, phones, dates), and words and numbers with a placeholder or a
+    #: counting run.  Each tests all parts: a harmless one excuses no other.
     allow: tuple[str, ...] = (
-        r"^[A-Za-z_/=-]+$",
-        r"^[0-9+/_-]+$",
-        r"(?i)example|sample|dummy|placeholder|changeme|x{6}",
-        r"(?i)0123456789|abcdefgh",
+        _all_parts(_WORD) + "[A-Za-z_/=-]+$",
+        "^[0-9+/_-]+$",
+        _all_parts(_WORD, _NUMBER, _PLACEHOLDER, _COUNT) + rf".*(?<![A-Za-z0-9])(?:{_PLACEHOLDER}|{_COUNT})(?![A-Za-z0-9])",
     )
     #: Exact candidates that are known to be harmless.
     allow_values: tuple[str, ...] = field(default=())

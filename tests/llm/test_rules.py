@@ -76,6 +76,19 @@ def test_allow_list_suppresses(spark):
     assert {r["spans"] for r in secrets.digest(frame, rules=rules).collect()} == {""}
 
 
+def test_a_harmless_word_excuses_only_itself(spark):
+    bare = "wJalrXUtnFEMIK7MDENGbPxRfiCYzzq9"
+    secret = [f"EXAMPLE_KEY={bare}", "https://h.io/sample/9fK3xQ7LmZ2vB8nR4tYp1w", f"abcdefgh-{bare}", "key wJalrXUtnFEMIKMDENGbPxRfiCYzzqQ", "zq-xjwkqpvhtrmzbnfgdlcs"]
+    plain = ["Donaudampfschifffahrtsgesellschaft", "usr/share/some_long-path/getElementById", "4111-1111-1111-1111/2024_01_02", "sample_value_of_some-kind/01234567890", "INTERNATIONALISATION_HANDBUCH", "the/ABCDEFGHIJKLMNOPQRSTUVWXYZ/letters", "a/" * 20_000, "Ab" * 500]
+    frame = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(frame).collect()}
+    for k, text in enumerate(secret):
+        last = found[k].split(",")[-1].split(":")
+        assert last[0] == "entropy" and int(last[1]) <= max(text.rfind(c) for c in "=/- ") + 1 and int(last[2]) == len(text)
+    assert [found[k] for k in range(len(secret), len(found))] == [""] * len(plain)
+    assert all(bare not in r["text"] for r in secrets.redact(frame).collect())
+
+
 def measured(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, covered = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4)), set()
