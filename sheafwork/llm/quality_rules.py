@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Frequent words of each language whose shares are compared.
+#: Fixed values for four languages: frequent words whose shares are compared.
+#: Those of any other language are counted in the corpus.
 COMMON_WORDS = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on"),
     "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht"),
@@ -67,17 +68,47 @@ def _share(counts: list[Column], total: Column) -> Column:
     return F.array(*((c / F.greatest(total, F.lit(1))).cast("double") for c in [*counts, rest]))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: DivergenceRules | None = None) -> DataFrame:
+def _padded(text: Column) -> Column:
+    """Lower-case words, each between two spaces of its own."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
+
+
+def learned_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: DivergenceRules | None = None) -> DataFrame:
+    """lang and ``listed``, the most frequent words of all documents of each
+    language that the rules do not list; ties go to the first by name.  Lists
+    are as long as those of the rules: null bytes, which no word has, fill up."""
+    rules = rules or DivergenceRules()
+    n = _list_size(rules)
+    other = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(F.col("lang").isNotNull() & ~F.col("lang").isin(*rules.common_words))
+    counted = other.select("lang", F.explode(F.array_remove(F.split(_padded(F.col("text")), " +"), "")).alias("word")).groupBy("lang", "word").count()
+    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("k") <= n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"])
+    return ranked.groupBy("lang").agg(listed.alias("listed")).select("lang", F.concat("listed", F.array_repeat(F.lit("\0"), F.lit(n) - F.size("listed"))).alias("listed"))
+
+
+def _list_size(rules: DivergenceRules) -> int:
+    sizes = {len(w) for w in rules.common_words.values()} or {16}
+    if len(sizes) != 1:
+        raise ValueError("every language needs as many common words")
+    return sizes.pop()
+
+
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: DivergenceRules | None = None, learned: DataFrame | None = None) -> DataFrame:
     """doc_id, lang, the base counts, and the two histograms as shares.
 
-    ``word_share`` is null where the language has no list of common words.
+    ``learned`` has the common words of languages that the rules do not list;
+    ``word_share`` is null where a language has none in either.
     """
     rules = rules or DivergenceRules()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("words", F.array_remove(F.split("text", SPACE), "")).withColumn("padded", F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "  "), F.lit(" ")))
+    own = own.withColumn("words", F.array_remove(F.split("text", SPACE), "")).withColumn("padded", _padded(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bare = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
     word_share = F.lit(None).cast("array<double>")
+    if learned is not None:
+        own = own.join(F.broadcast(learned.select("lang", "listed")), "lang", "left")
+        times = lambda w: ((F.octet_length("padded") - F.octet_length(F.replace(F.col("padded"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("long")
+        word_share = F.when(F.col("listed").isNotNull(), _let(F.transform("listed", times), lambda c: _share([F.get(c, F.lit(k)) for k in range(_list_size(rules))], F.size("words"))))
     for lang, listed in rules.common_words.items():
         counts = [((F.octet_length("padded") - F.octet_length(F.replace(F.col("padded"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in listed]
         word_share = F.when(F.col("lang") == lang, _share(counts, F.size("words"))).otherwise(word_share)
@@ -101,18 +132,15 @@ def _mean(column: str, size: int, guard: Column) -> Column:
 
 
 def references(measured: DataFrame, rules: DivergenceRules | None = None) -> DataFrame:
-    """Mean histograms of each listed language over all its documents that are
-    long enough: as many rows as languages are listed."""
+    """Mean histograms of every language over all its documents that are long
+    enough: as many rows as there are languages."""
     rules = rules or DivergenceRules()
-    sizes = {len(w) for w in rules.common_words.values()}
-    if len(sizes) != 1:
-        raise ValueError("every language needs as many common words")
     return (
-        measured.where(F.col("lang").isin(*rules.common_words))
+        measured.where(F.col("lang").isNotNull())
         .groupBy("lang")
         .agg(
             _mean("class_share", len(CLASSES) + 1, F.col("n_chars") >= rules.min_chars).alias("class_reference"),
-            _mean("word_share", sizes.pop() + 1, F.col("n_words") >= rules.min_words).alias("word_reference"),
+            _mean("word_share", _list_size(rules) + 1, F.col("n_words") >= rules.min_words).alias("word_reference"),
         )
     )
 
@@ -128,24 +156,25 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, class_distance, word_distance.
 
-    Documents of a listed language are compared with it, by both histograms;
-    others by character classes with the nearest language.  A null text counts
-    as empty: it has no words and fails.  The measures are written once, for
-    the references need all of them before any document can be judged.
+    Documents are compared with their language by both histograms.  Without a
+    language, or a long enough document of it, there is no distance and none
+    rejects.  A null text counts as empty: it has no words and fails.  The
+    measures are written once, for the references need all of them before any
+    document can be judged.
     """
     rules = rules or DivergenceRules()
-    measured = common.written(measures(docs, id_col, text_col, lang_col, rules), "quality-measures")
-    # A row per listed language at most: the lists bound what the driver gets.
-    known = references(measured, rules).collect()
-    numbers = lambda xs: F.array(*(F.lit(x) for x in xs)) if xs and xs[0] is not None else F.lit(None).cast("array<double>")
-    near = [jensen_shannon(F.col("class_share"), numbers(r["class_reference"])) for r in known]
-    class_distance = F.least(*near) if len(near) > 1 else near[0] if near else F.lit(None).cast("double")
-    word_distance = F.lit(None).cast("double")
-    for r, distance in zip(known, near, strict=True):
-        own = F.col("lang") == r["lang"]
-        class_distance = F.when(own, F.coalesce(distance, class_distance)).otherwise(class_distance)
-        word_distance = F.when(own, jensen_shannon(F.col("word_share"), numbers(r["word_reference"]))).otherwise(word_distance)
-    joined = measured.withColumns({"class_distance": class_distance, "word_distance": word_distance})
+    other = F.col(lang_col).isNotNull() & ~F.col(lang_col).cast("string").isin(*rules.common_words)
+    learned = None if docs.where(other).isEmpty() else common.written(learned_words(docs, text_col, lang_col, rules), "quality-words")
+    measured = common.written(measures(docs, id_col, text_col, lang_col, rules, learned), "quality-measures")
+    known = common.written(references(measured, rules), "quality-references")
+    # A row per language: small beside the documents.
+    both = measured.join(F.broadcast(known), "lang", "left")
+    joined = both.withColumns(
+        {
+            "class_distance": F.when(F.col("class_reference")[0].isNotNull(), jensen_shannon(F.col("class_share"), F.col("class_reference"))),
+            "word_distance": F.when(F.col("word_reference")[0].isNotNull(), jensen_shannon(F.col("word_share"), F.col("word_reference"))),
+        }
+    )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     odd = (F.col("n_chars") >= rules.min_chars) & F.coalesce(F.col("class_distance") > rules.max_class_distance, F.lit(False))
     odd = odd | ((F.col("n_words") >= rules.min_words) & F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False)))

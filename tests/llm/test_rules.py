@@ -115,6 +115,22 @@ def test_divergence_rejects_symbols_and_keeps_prose(docs):
     assert not kept[78] and not kept[71] and not kept[70]
 
 
+def test_every_language_has_its_own_reference(spark):
+    import random
+
+    draw = random.Random(3)
+    words = "и в не на что он как это по но дом река окно утро письмо сад тихо камень улица вода".split()
+    clean = [" ".join(draw.choice(words) + draw.choice(["", "а", "ом", "ы"]) for _ in range(120)) + "." for _ in range(30)]
+    rows = [(k, t, "ru") for k, t in enumerate(clean)] + [(30, clean[0], None), (31, clean[1], "tiny"), (32, " ".join(f"#{k}$" for k in range(120)), "ru")]
+    rows += [(33 + k, " ".join(draw.choice(["the", "of", "river", "house", "that", "stone", "with", "garden"]) for _ in range(120)), "en") for k in range(5)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rules=quality_rules.DivergenceRules(max_word_distance=0.6)).collect()}
+    assert [k for k in range(32) if not got[k]["kept"]] == [] and not got[32]["kept"]
+    assert all(got[k]["word_distance"] is not None for k in range(30)) and got[30]["class_distance"] is None
+    learned = {r["lang"]: r["listed"] for r in quality_rules.learned_words(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    counts = Counter(w for _, t, lang in rows if lang == "ru" for w in re.findall(r"[^\W\d_]+", t.lower()))
+    assert set(learned) == {"ru", "tiny"} and learned["ru"] == sorted(counts, key=lambda w: (-counts[w], w))[:16]
+
+
 def test_jensen_shannon(spark):
     from pyspark.sql import functions as F
 
