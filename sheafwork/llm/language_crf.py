@@ -19,19 +19,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the training sample: documents of each language, words of each, languages.
+#: Bounds of the training sample: documents of each language, words of each, and
+#: documents of all; with many languages each gives fewer, one at least.
 SAMPLE_DOCS = 300
 SAMPLE_WORDS = 200
-MAX_LANGUAGES = 64
+SAMPLE_ALL = 64 * SAMPLE_DOCS
 #: A chain is at most so many words of one document; the next starts anew.
 CHAIN = 64
 _GRAM_BITS, _LEX_BITS = 16, 18
 _SLICE_BYTES = 4_000_000
+#: Chains and words that are scored at a time.
+_CHAINS, _WORDS = 4096, 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Salts of the features: inner n-grams, prefixes, suffixes.
 _SALTS = {(kind, n): np.uint64(1000 * k + n) for k, kind in enumerate(("gram", "prefix", "suffix")) for n in (1, 2, 3, 4)}
 
 
+def _at_a_time(most: int, languages: int) -> int:
+    """``most``, or less where there are so many languages that memory counts."""
+    return max(1, most * 64 // max(languages, 64))
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     h = h * _M
     h ^= h >> np.uint64(32)
@@ -88,8 +96,11 @@ class WordFeatures:
 
     def scores(self, weights: np.ndarray, lexicon: np.ndarray, lex_weights: np.ndarray) -> np.ndarray:
         """(words, languages)"""
-        by_place = weights[self.grams[:, 0]] + weights[self.grams[:, 1]] + weights[self.grams[:, 2]]
-        out = np.add.reduceat(by_place, self.start, 0) if len(self.start) else np.zeros((0, weights.shape[1]), weights.dtype)
+        out = np.zeros((len(self.start), weights.shape[1]), weights.dtype)
+        for a in range(0, len(out), _WORDS):
+            at = self.start[a : a + _WORDS]
+            g = self.grams[at[0] : at[-1] + self.size[a + len(at) - 1]]
+            out[a : a + _WORDS] = np.add.reduceat(weights[g[:, 0]] + weights[g[:, 1]] + weights[g[:, 2]], at - at[0], 0)
         for k in range(self.affixes.shape[1]):
             out = out + weights[self.affixes[:, k]]
         return out + lexicon[self.word] @ lex_weights
@@ -160,23 +171,24 @@ class CrfModel:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, epochs: int = 6, seed: int = 11) -> CrfModel | None:
     """Learn from a bounded sample: of each language the ``sample_docs``
     documents with the least hash, of each a segment of ``sample_words`` words
-    at a hashed place.  None if no row has a language and a word."""
+    at a hashed place.  All languages are learned: if they are so many that
+    SAMPLE_ALL documents would not do, each gives fewer.  None if no row has a
+    language and a word."""
     key = F.xxhash64(text_col) if key is None else F.xxhash64(key)
     own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
     # First the keys alone, so that no text moves; then the texts below each language's last key.
     first = Window.partitionBy("lang").orderBy("key")
     slim = own.select("lang", "key").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
-    last = slim.groupBy("lang").agg(F.max("key").alias("key")).orderBy("lang").limit(MAX_LANGUAGES).collect()
-    if not last:
+    n_langs = own.select("lang").distinct().count()
+    if not n_langs:
         return None
-    chosen = F.lit(False)
-    for r in last:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["key"]))
-    own = own.where(chosen)
+    sample_docs = min(sample_docs, max(1, SAMPLE_ALL // n_langs))
+    last = slim.where(F.col("n") <= sample_docs).groupBy("lang").agg(F.max("key").alias("_last"))
+    own = own.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("_last"))
     words = F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), "")
     own = own.select("lang", "key", words.alias("words")).where(F.size("words") > 0)
     start = F.pmod("key", F.greatest(F.size("words") - sample_words, F.lit(1))) + 1
-    rows = own.select("lang", "key", F.slice("words", start.cast("int"), sample_words).alias("words")).limit(2 * sample_docs * len(last)).collect()
+    rows = own.select("lang", "key", F.slice("words", start.cast("int"), sample_words).alias("words")).limit(2 * sample_docs * n_langs).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["key"], r["words"]))
@@ -227,10 +239,10 @@ def _train(texts: list[list[str]], langs: list[str], epochs: int, seed: int) ->
         for k in range(n):
             by_word[:, k] = np.bincount(x.ravel(), error[..., k].ravel(), len(by_word))
         grad = np.zeros_like(weights)
-        spread = by_word[place_word]
         for k in range(n):
+            spread = by_word[:, k][place_word]
             for g in range(3):
-                grad[:, k] += np.bincount(features.grams[:, g], spread[:, k], len(grad))
+                grad[:, k] += np.bincount(features.grams[:, g], spread, len(grad))
             for g in range(features.affixes.shape[1]):
                 grad[:, k] += np.bincount(features.affixes[:, g], by_word[:, k], len(grad))
         grad[-1] = 0
@@ -264,9 +276,10 @@ def _label(model: CrfModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     post = np.empty((len(word), n), np.float32)
     size = np.bincount(chain, minlength=int(chains.sum()))
     by_chain = np.concatenate([[0], np.cumsum(size)])
-    for a in range(0, len(size), 4096):
-        low, high = by_chain[a], by_chain[min(a + 4096, len(size))]
-        grid = np.zeros((min(4096, len(size) - a), CHAIN, n), np.float32)
+    width = _at_a_time(_CHAINS, n)
+    for a in range(0, len(size), width):
+        low, high = by_chain[a], by_chain[min(a + width, len(size))]
+        grid = np.zeros((min(width, len(size) - a), CHAIN, n), np.float32)
         mask = np.zeros(grid.shape[:2], bool)
         c, t = chain[low:high] - a, step[low:high]
         grid[c, t] = scores[word[low:high]]
@@ -288,11 +301,12 @@ def predict(docs: DataFrame, model: CrfModel | None, *keep: Column | str, text_c
     schema = own.drop("_crf_text").schema.add("lang_pred", "string").add("score", "double").add("n_words", "long").add("n_switched", "long")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_bytes = _at_a_time(_SLICE_BYTES, len(model.languages) if model else 0)
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["_crf_text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             start = 0
             while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _SLICE_BYTES, "right")))
+                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + slice_bytes, "right")))
                 part = batch.slice(start, stop - start)
                 start = stop
                 k = part.num_rows

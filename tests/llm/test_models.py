@@ -21,6 +21,17 @@ def test_languages_of_held_out_documents(docs, rows, empty):
     assert {r["lang_pred"] for r in language_crf.predict(docs, None, "doc_id").collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    letters = "bcdfghklmnpqrstvwz"
+    words = {f"l{k:02}": [letters[k % 18] + v + letters[k // 18] + w + letters[(k + 5) % 18] for v in "aeiou" for w in "aeiou"] for k in range(70)}
+    rows = [(10 * k + j, " ".join(own[j:] + own[:j]), lang) for k, (lang, own) in enumerate(words.items()) for j in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_crf.fit(frame, key=F.col("doc_id"), epochs=30)
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.predict(frame, model, "doc_id").collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_words_of_switched_text(spark, docs):
     model = language_crf.fit(docs.where(~held_out()), key=F.col("doc_id"), epochs=4)
     text = "the house and the river with their garden " * 2 + "der garten und das haus mit sich zu den von die und das " * 2
