@@ -3,11 +3,13 @@
 Both public vocabularies split a text before they merge, so a text's ids are
 those of its pieces in order.  Pieces repeat, so each task encodes a distinct
 piece once and looks the rest up.  The cache is bounded and only saves time.
+Texts that hold an added token of the vocabulary are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import filterfalse
@@ -39,7 +41,10 @@ class BulkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A space after other white space may join it in one token; \x01 marks cuts.
+        whole = [*added, *([r"[\s\x1c-\x1f\x{85}\p{Z}] ", r"\x01"] if leading_space else [])]
+        self.whole = "(?i)" + "|".join(whole) if whole else None
         self.leading_space = leading_space
         self._clear()
 
@@ -84,12 +89,11 @@ class BulkEncoder:
         """(all ids in order, ids per text).  Texts must not be null."""
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        # Texts that go in whole.
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.whole else None
         if self.leading_space:
-            # A space after other white space may join it in one token: such texts go in whole.
-            odd = pc.match_substring_regex(texts, r"[\s\x1c-\x1f\x{85}\p{Z}] |\x01").to_numpy(zero_copy_only=False)
             pieces = pc.split_pattern(pc.replace_substring_regex(texts, _STOP, "\\1 \x01\\2"), " ")
         else:
-            odd = None
             pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), _STOP, r"\1 \2"))
         flat = pieces.flatten()
         coded = flat.dictionary_encode()

@@ -45,6 +45,16 @@ def test_bulk_encoder_equals_plain(path, spaced, rows):
     assert ids.tolist() == [i for t in texts for i in one(t)]
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_added_tokens_are_matched(path, spaced):
+    one = Tokenizer.from_file(path)
+    texts = ["plain words", "a<|endoftext|>b", "", "x <|endoftext|> y<|startoftext|>", "A<|ENDOFTEXT|>b. c", "end <|endoftext", "|> a"]
+    ids, counts = BulkEncoder(path, spaced).encode(pa.array(texts))
+    expected = [one.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(e) for e in expected]
+    assert ids.tolist() == [i for e in expected for i in e]
+
+
 def test_packing_covers_every_id_once(docs, rows, empty):
     length, one = 128, plain(WORD)
     pieces = packing.pack(docs, WORD, length).collect()
