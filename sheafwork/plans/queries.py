@@ -151,7 +151,7 @@ def failed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sanitised_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.derived(spark, sf_dir, X.UNTRUSTED_DOCS)
-    return fusion.sanitised(docs.select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", -80, 80).alias("snippet")))
+    return fusion.sanitised(docs.select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("snippet")))
 
 
 # ---- URLs ---------------------------------------------------------------------
