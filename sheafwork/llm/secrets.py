@@ -84,54 +84,93 @@ class EntropyRules:
     allow_values: tuple[str, ...] = field(default=())
 
 
+_SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
+#: What stands for a count of 0 in a string of counts.
+_ZERO = 64
+#: Elements of an array that are scanned together.
+_BLOCK = 256
+#: Characters of the parts that a text is cut into before spans are cut out.
+_PART = 4096
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, zero: int, op) -> Column:
+    """For each element ``op`` over all earlier ones, ``zero`` for the first.
+
+    Built-in functions have no running fold, and one that appends to an array
+    copies it at each step.  So it runs within blocks of 256 elements, and
+    over the blocks: n * 256 + (n / 256)^2 copies instead of n^2.
+    """
+    empty = F.array().cast("array<int>")
+
+    def run(x: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), empty.alias("out"))
+        return F.aggregate(x, start, lambda s, v: F.struct(op(s["now"], v).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")), lambda s: s["out"])
+
+    whole = lambda x: F.aggregate(x, F.lit(zero), op)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.greatest((F.size(v) - 1) / _BLOCK, F.lit(0)).cast("int")), lambda k: F.slice(v, k * _BLOCK + 1, _BLOCK))
+    blocks = lambda x: F.flatten(F.zip_with(x, run(F.transform(x, whole), F.lit(zero)), run))
+    return _let(_let(values, cut), blocks)
+
+
 def _spans(text: Column, pattern: str, kind: int, value_length: int = 0) -> Column:
     """array<struct<start, kind, end, hit>> of a pattern's matches, leftmost and
     not overlapping, in code points; empty where there is none."""
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if value_length else hits
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
-        keep = F.length(x["value"]) >= value_length
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda hit, gap: F.length(gap) + F.length(hit))
+        ends = _let(sizes, lambda x: F.zip_with(_before(x, 0, lambda s, n: s + n), x, lambda before, n: before + n))
+        return F.zip_with(found, ends, lambda hit, end: F.struct((end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hit.alias("hit")))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(hits)), F.arrays_zip(hits.alias("hit"), values.alias("value")), lambda gap, x: F.struct(gap.alias("gap"), x["hit"].alias("hit"), x["value"].alias("value")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda state: state["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    spans = _let(hits, placed)
+    if value_length:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        spans = F.transform(F.filter(F.arrays_zip(spans.alias("span"), values.alias("value")), lambda x: F.length(x["value"]) >= value_length), lambda x: x["span"])
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
 
 def _suspicious(span: Column, of: EntropyClass) -> Column:
     """The part of a candidate that suspicious windows cover, or null.
 
-    Counts of the window's characters change by one arrival and one departure a
-    step, and with them the sum of c*log2(c), held in whole 2^-32 parts so that
-    no rounding gathers; entropy = log2(w) - sum/w.
+    A window's counts stand in a string, a character for each letter of the
+    alphabet; a step changes two of them, the arrival's and the departure's,
+    and with them the sum of c*log2(c), held in whole 2^-32 parts so that no
+    rounding gathers; entropy = log2(w) - sum/w.  A step costs the same
+    however long the candidate is.
     """
     w, table = of.window, [0, *(round(c * math.log2(c) * _SCALE) for c in range(1, of.window + 2))]
     weight = F.array(*(F.lit(x).cast("long") for x in table))
     most = round(w * (math.log2(w) - of.bits) * _SCALE)
-    code = lambda i: F.instr(F.lit(of.alphabet), F.substring(span["hit"], i, F.lit(1))) - 1
+    count = lambda counts, code: F.ascii(F.substring(counts, code, F.lit(1))) - _ZERO
+    put = lambda counts, code, n: F.overlay(counts, F.char(n + _ZERO), code, F.lit(1))
 
-    def step(s: Column, i: Column) -> Column:
-        a, b = code(i), F.when(i > w, code(F.greatest(i - w, F.lit(1)))).otherwise(F.lit(-1))
-        ca, cb = F.get(s["n"], a), F.coalesce(F.get(s["n"], F.greatest(b, F.lit(0))), F.lit(0))
-        gain = F.get(weight, ca + 1) - F.get(weight, ca) + F.when(b >= 0, F.get(weight, F.greatest(cb - 1, F.lit(0))) - F.get(weight, cb)).otherwise(F.lit(0))
+    def step(s: Column, x: Column) -> Column:
+        a, b, i = x["a"], x["b"], s["i"] + 1
+        ca, cb = count(s["n"], a), count(s["n"], b)
+        gain = F.get(weight, ca + 1) - F.get(weight, ca) + F.when(b > 0, F.get(weight, cb - 1) - F.get(weight, cb)).otherwise(F.lit(0))
         total = F.when(a == b, s["sum"]).otherwise(s["sum"] + gain)
-        counts = F.when(a == b, s["n"]).otherwise(F.transform(s["n"], lambda c, k: c + F.when(k == a, 1).otherwise(0) - F.when(k == b, 1).otherwise(0)))
+        arrived = put(s["n"], a, ca + 1)
+        counts = F.when(a == b, s["n"]).when(b > 0, put(arrived, b, cb - 1)).otherwise(arrived)
         hot = (i >= w) & (total <= most)
         return F.struct(
+            i.alias("i"),
             counts.alias("n"),
             total.cast("long").alias("sum"),
             F.when(hot & (s["first"] < 0), i - w).otherwise(s["first"]).alias("first"),
             F.when(hot, i).otherwise(s["last"]).alias("last"),
         )
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(of.alphabet)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    part = F.aggregate(F.sequence(F.lit(1), F.length(span["hit"])), zero, step)
-    return F.transform(F.array(part), lambda p: F.struct((span["start"] + p["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (span["start"] + p["last"]).alias("end"), p["first"].alias("first")))[0]
+    codes = F.transform(F.slice(F.split(span["hit"], ""), 1, F.length(span["hit"])), lambda c: F.instr(F.lit(of.alphabet), c))
+    # The letter w places before leaves as one arrives; 0 stands for none.
+    moves = lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(0), w), c), 1, F.size(c)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(chr(_ZERO) * len(of.alphabet)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    part = F.aggregate(_let(codes, moves), zero, step)
+    return _let(part, lambda p: F.struct((span["start"] + p["first"]).alias("start"), F.lit(KINDS.index("entropy")).alias("kind"), (span["start"] + p["last"]).alias("end"), p["first"].alias("first")))
 
 
 def _entropy_spans(text: Column, of: EntropyClass, rules: EntropyRules) -> Column:
@@ -160,7 +199,8 @@ def scan(docs: DataFrame, text_col: str = "text", rules: EntropyRules | None = N
 
     The first three are the base patterns, always kept whole.  The last holds
     the suspicious part of each candidate of each character class, once if two
-    classes agree.  A null text counts as empty.  Row by row: no shuffle.
+    classes agree.  A null text counts as empty.  Columns of docs that have one
+    of these names are replaced.  Row by row: no shuffle.
     """
     rules = rules or EntropyRules()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -190,18 +230,26 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 def redact(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]", rules: EntropyRules | None = None) -> DataFrame:
     """Every document with each secret in its text replaced by ``marker``;
-    overlapping or touching spans count as one.  Other columns stay."""
-    prefix = "_secret_"
-    found = scan(docs, text_col, rules, prefix)
-    spans = F.sort_array(F.concat(*(f"{prefix}{k}" for k in KINDS)))
-
-    def cut(state: Column, s: Column) -> Column:
-        joins = s["start"] <= state["at"]
-        gap = F.substring(F.col(text_col), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(joins & (state["at"] > 0), state["out"]).otherwise(F.concat(state["out"], F.array(gap))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(F.col(f"{prefix}spans"), start, cut, lambda s: F.concat(s["out"], F.array(F.substring(F.col(text_col), s["at"] + 1, F.length(F.col(text_col))))))
-    found = found.withColumn(f"{prefix}spans", spans)
-    clean = F.when(F.size(f"{prefix}spans") > 0, F.array_join(whole, marker)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    overlapping or touching spans count as one.  Other columns stay, whatever
+    their names; a null text stays null."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = scan(own, "text", rules, "")
+    spans = F.sort_array(F.concat(*(F.col(k) for k in KINDS)))
+
+    def cut(x: Column) -> Column:
+        """The text between the spans, joined by the marker."""
+        done = _before(F.transform(x, lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b))
+        gaps = F.filter(F.zip_with(x, done, lambda s, d: F.struct(d.alias("a"), s["start"].alias("b"))), lambda g, k: (k == 0) | (g["b"] > g["a"]))
+        last = F.struct(F.array_max(F.transform(x, lambda s: s["end"])).alias("a"), F.length("text").alias("b"))
+        # Cut out of parts of the text, not of the whole: a gap costs its own length.
+        parts = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+
+        def piece(p: Column, g: Column) -> Column:
+            first = F.floor(g["a"] / _PART).cast("int")
+            near = F.array_join(F.slice(p, first + 1, F.floor(g["b"] / _PART).cast("int") - first + 1), "")
+            return F.substring(near, g["a"] - first * _PART + 1, g["b"] - g["a"])
+
+        return _let(parts, lambda p: F.array_join(F.transform(F.concat(gaps, F.array(last)), lambda g: piece(p, g)), marker))
+
+    clean = found.select("row", "text", spans.alias("spans")).select("row", F.when(F.size("spans") > 0, _let(F.col("spans"), cut)).otherwise(F.col("text")).alias("text"))
+    return clean.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

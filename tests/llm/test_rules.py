@@ -68,6 +68,61 @@ def test_redaction_covers_all_spans(docs, rows, empty):
     assert secrets.redact(empty).count() == 0
 
 
+def noise(n, seed=1):
+    import random
+
+    draw = random.Random(seed)
+    return "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def test_long_candidates_and_many_spans_match_brute_force(spark):
+    """Runs longer than a block of the running fold, hits in hundreds, and
+    spans that reach over the parts a text is cut into."""
+    rules = secrets.EntropyRules()
+    many = " ".join(f"token=abcdefghij{k:06d} {'x y ' * (k % 40)}" for k in range(700))
+    texts = [(1, "x " + noise(3000) + " y"), (2, many), (3, "é " * 5000 + noise(5000, 2) + " \U0001f600 end " * 900), (4, noise(30, 3) + " " + noise(30, 4)), (5, "AKIA" + "A" * 20)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    names = ["assign", "access", "hex", "entropy"]
+    want = {i: sorted(base(t) + entropy(t, rules)) for i, t in texts}
+    got = {r["doc_id"]: r for r in secrets.digest(frame).collect()}
+    assert {i: r["spans"] for i, r in got.items()} == {i: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans) for i, spans in want.items()}
+    clean = {}
+    for i, t in texts:
+        out, at = [], 0
+        for k, (a, _, b) in enumerate(want[i]):
+            if k == 0 or a > at:
+                out.append(t[at:a])
+            at = max(at, b)
+        clean[i] = "[SECRET]".join([*out, t[at:]])
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()} == clean
+
+
+def test_a_long_run_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        frame = spark.createDataFrame([(1, noise(n))], "doc_id long, text string")
+        secrets.digest(frame).collect()
+        query = secrets.digest(frame)
+        began = time.perf_counter()
+        assert query.first()["spans"].startswith("entropy:0:")
+        return time.perf_counter() - began
+
+    assert seconds(100_000) < 10
+    assert seconds(200_000) < 20
+
+
+def test_columns_that_clash_with_spans(spark):
+    text = 'password = "abcdef0123456789" end'
+    names = ["text", *(f"{p}{k}" for p in ("secret_", "_secret_", "") for k in ("assign", "access", "hex", "entropy", "spans", "row"))]
+    frame = spark.createDataFrame([(text, *map(str, range(len(names) - 1)))], names)
+    clean = secrets.redact(frame)
+    assert clean.columns == names
+    assert tuple(clean.first()) == ('[SECRET]" end', *map(str, range(len(names) - 1)))
+    found = secrets.scan(frame)
+    assert found.first()["secret_assign"] and found.first()["_secret_assign"] == frame.first()["_secret_assign"]
+
+
 def test_allow_list_suppresses(spark):
     frame = spark.createDataFrame([(1, "k9Zq3Xv7Lm2Pw8Rt5Yb1"), (2, "EXAMPLEk9Zq3Xv7Lm2Pw8Rt5Yb1"), (3, "abcdefghijklmnopqrstuvwx")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in secrets.digest(frame).collect()}
