@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 #: Text of pages that stand in front of the real one.
 BLOCK_PHRASES = (
     "just a moment...",
@@ -60,12 +65,12 @@ def lower_headers(headers: Column) -> Column:
 
 def has_block_phrase(text: Column) -> Column:
     """Is one of the phrases in the first characters?  Cut before lower-casing,
-    which may lengthen."""
-    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, HEAD_CHARS))
-    found = F.lit(False)
-    for phrase in BLOCK_PHRASES:
-        found = found | F.contains(head, F.lit(phrase))
-    return found
+    which may lengthen; the head is made once for all phrases."""
+
+    def found(head: Column) -> Column:
+        return reduce(or_, (F.contains(head, F.lit(phrase)) for phrase in BLOCK_PHRASES))
+
+    return let(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, HEAD_CHARS)), found)
 
 
 def _header(headers: Column, name: str) -> Column:
