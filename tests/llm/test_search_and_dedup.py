@@ -144,13 +144,81 @@ def test_substring_removal_of_patterned_texts(spark, monkeypatch):
     assert all(hashlib.sha256(kept[g[0]]).hexdigest() == g[4] for g in got)
 
 
-def test_allocation_prefers_siblings():
+def divided(share, weights, caps):
+    """Whole shares by weight, one full child after the other."""
+    out, left, active = [0] * len(caps), share, [k for k, w in enumerate(weights) if w > 0 and caps[k] > 0]
+    while active:
+        total = sum(weights[k] for k in active)
+        full = [k for k in active if caps[k] * total <= left * weights[k]]
+        if not full:
+            exact = {k: left * weights[k] / total for k in active}
+            for k in active:
+                out[k] = int(exact[k])
+            over = left - sum(out[k] for k in active)
+            for k in sorted(active, key=lambda k: (out[k] - exact[k], k))[:over]:
+                out[k] += 1
+            return out
+        for k in full:
+            out[k] = caps[k]
+            left -= caps[k]
+        active = [k for k in active if k not in full]
+    return out
+
+
+def allocation(budget, caps, weights):
+    order = lambda path: tuple("" if v is None else "=" + v for v in path)
+    usable = {p: c if all(weights.get(p[:k], 1) > 0 for k in range(1, len(p) + 1)) else 0 for p, c in caps.items()}
+
+    def spread(share, prefix):
+        if prefix in caps:
+            return {prefix: share}
+        names = sorted({p[: len(prefix) + 1] for p in caps if p[: len(prefix)] == prefix}, key=order)
+        own = divided(share, [weights.get(n, 1) for n in names], [sum(c for p, c in usable.items() if p[: len(n)] == n) for n in names])
+        return {p: t for n, s in zip(names, own, strict=True) for p, t in spread(s, n).items()}
+
+    return spread(budget, ()) if caps else {}
+
+
+def allocated(spark, budget, caps, weights):
+    rows = [(*("" if v is None else "=" + v for v in p), c) for p, c in caps.items()]
+    names = [f"l{k}" for k in range(len(next(iter(caps))))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", cap long")
+    return {tuple(None if r[n] == "" else r[n][1:] for n in names): r["target"] for r in mixing.allocate(frame, names, budget, weights).collect()}
+
+
+def test_allocation_prefers_siblings(spark):
     caps = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}
-    assert mixing.allocate(100, caps, {}) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
-    assert mixing.allocate(180, caps, {}) == {("a", "x"): 10, ("a", "y"): 80, ("b", "x"): 90}
-    assert mixing.allocate(500, caps, {}) == caps
-    assert mixing.allocate(100, caps, {("a",): 3.0}) == {("a", "x"): 10, ("a", "y"): 65, ("b", "x"): 25}
-    assert mixing.allocate(10, {}, {}) == {}
+    assert allocation(100, caps, {}) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}
+    assert allocated(spark, 180, caps, {}) == {("a", "x"): 10, ("a", "y"): 80, ("b", "x"): 90}
+    assert allocated(spark, 100, caps, {("a",): 3.0}) == {("a", "x"): 10, ("a", "y"): 65, ("b", "x"): 25}
+
+
+def test_a_weight_of_zero_loses_no_budget(spark):
+    caps = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 100}
+    assert allocated(spark, 100, caps, {("a", "y"): 0}) == {("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 90}
+    assert allocation(100, caps, {("b",): 0}) == {("a", "x"): 10, ("a", "y"): 90, ("b", "z"): 0}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_allocation_matches_plain_division(spark, seed):
+    draw = np.random.default_rng(seed)
+    names = [None, "", "a", "b", "c"]
+    caps = {(x, y, z): int(draw.integers(0, 200)) for x in names for y in names for z in names if draw.random() < 0.5}
+    weights = {p[:k]: float(draw.choice([0, 0.5, 1, 3])) for p in caps for k in (1, 2, 3) if draw.random() < 0.4}
+    usable = sum(c for p, c in caps.items() if all(weights.get(p[:k], 1) > 0 for k in (1, 2, 3)))
+    for budget in (usable // 3, usable - 1):
+        got = allocated(spark, budget, caps, weights)
+        assert got == allocation(budget, caps, weights)
+        assert sum(got.values()) == min(budget, usable)
+
+
+def test_mixing_over_very_many_leaves(spark):
+    """No list of leaves is made, so there is no limit to them."""
+    frame = spark.range(0, 120_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.col("id").cast("string").alias("source"), F.lit(1).alias("_mix_epoch"), F.lit(2).alias("_mix_0"))
+    mixed = mixing.mix(frame, {"half": F.col("doc_id") % 2, "source": F.col("source")}, budget_share=0.5)
+    assert mixed.columns == ["doc_id", "text", "source", "_mix_0", "_mix_epoch"]
+    assert mixed.where("_mix_epoch <> 0").isEmpty()
+    assert mixed.count() == 0  # each leaf's share is a word, and no document is cut
 
 
 @pytest.mark.parametrize(("share", "epochs", "cut"), [(0.5, 1, 256), (1.6, 3, 2)])
@@ -161,8 +229,8 @@ def test_mixing_takes_prefixes_of_seeded_epochs(docs, rows, empty, monkeypatch,
     mixed = mixing.mix(docs, levels, budget_share=share, weights=weights, max_epochs=epochs, seed=5).collect()
     sizes = defaultdict(int)
     for _, t, lang, source, *_ in rows:
-        sizes[lang or "", source or ""] += len((t or "").split())
-    target = mixing.allocate(int(share * sum(sizes.values())), {k: epochs * v for k, v in sizes.items()}, weights)
+        sizes[lang, source] += len((t or "").split())
+    target = allocation(int(share * sum(sizes.values())), {k: epochs * v for k, v in sizes.items()}, weights)
     order = {}
     hashes = docs.select("doc_id", "text", *(F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(5), F.lit(e).cast("long")).alias(f"h{e}") for e in range(epochs + 1))).collect()
     for r in hashes:
@@ -170,7 +238,7 @@ def test_mixing_takes_prefixes_of_seeded_epochs(docs, rows, empty, monkeypatch,
             order[r["doc_id"], r["text"], e] = r[f"h{e}"] % (1 << 64)
     expected = []
     for leaf, n in sizes.items():
-        own = [r for r in rows if (r[2] or "", r[3] or "") == leaf]
+        own = [r for r in rows if (r[2], r[3]) == leaf]
         full = target[leaf] // n if n else epochs
         left = target[leaf] - full * n
         for e in range(full):
