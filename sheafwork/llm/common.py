@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,25 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below :func:`shared_dir` and read it back: lineage ends here,
-    so a lost executor costs a reread and not a recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete shuffle files of finished jobs now.
 
-    It does so when the driver collects garbage, which else may take longer
-    than the operator; on a full disk that matters.  A finished query stays
-    referenced until its last events are handed out: hence the short waits.
-    """
-    gc.collect()
-    for _ in range(2):
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below :func:`shared_dir` and read it back: lineage ends here,
+    so a lost executor costs a reread and not a recomputation.  Shuffle files
+    of the write go as soon as it is done, for nothing needs them any more."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partition_bases(totals: DataFrame, part: str, total: str) -> DataFrame:

@@ -76,13 +76,13 @@ def allocate(leaves: DataFrame, names: Sequence[str], budget: int, weights: Mapp
         nodes = _weights(nodes, names[:k], weights)
         usable = F.col("_on") if k > 1 else F.lit(True)
         nodes = nodes.withColumn("_on", usable & (F.col("weight") > 0)).withColumnRenamed("weight", f"_weight{k}")
-    nodes = common.written(nodes.withColumn("cap", F.when(F.col("_on"), F.col("cap")).otherwise(F.lit(0).cast("long"))), "mix-tree")
+    nodes = nodes.withColumn("cap", F.when(F.col("_on"), F.col("cap")).otherwise(F.lit(0).cast("long")))
     shares = nodes.sparkSession.createDataFrame([(0, int(budget))], "_root int, share long")
     for k in range(1, len(names) + 1):
         above = ["_root", *names[: k - 1]]
         level = nodes.groupBy(*names[:k]).agg(F.sum("cap").alias("cap"), F.first(f"_weight{k}").alias("weight")).withColumn("_root", F.lit(0))
         divided = water_fill(level.join(shares, above), above, names[:k])
-        shares = common.written(divided.select("_root", *names[:k], F.col("own").alias("share")), "mix-shares")
+        shares = divided.select("_root", *names[:k], F.col("own").alias("share"))
     return leaves.join(shares.select(*names, F.col("share").alias("target")), list(names))
 
 

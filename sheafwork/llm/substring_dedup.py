@@ -402,12 +402,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").mapInArrow(_suffixes, "name long, doc_id long, at int, kind byte")
     kept = found.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "doc_id long, at int")
     places = common.written(kept.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "suffix-places")
-    common.free_shuffles(docs.sparkSession)
 
     named = docs.join(places, "doc_id").select("doc_id", "version", "text", "at").mapInArrow(_contexts, "ua long, ub long, doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
     ranked = named.repartition("ua").sortWithinPartitions("ua", "ub").mapInArrow(_ranked(_CONTEXT, _first_of_context), "doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
     ranked = common.written(ranked, "suffix-contexts")
-    common.free_shuffles(docs.sparkSession)
     whole = ranked.where("not rep").select("doc_id", "version", "first", (F.col("last") + LEAST).alias("end"))
 
     # Windows from `at - _BACK` on cover the 33 bytes to the right, earlier ones those to the left.
@@ -419,11 +417,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     common_sides = common.written(common_sides, "suffix-sides")  # a table by itself, so that a join with a hot name can be split
     open_ = sides.join(common_sides, "name", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     open_ = common.written(open_, "suffix-open")
-    common.free_shuffles(docs.sparkSession)
     windows = docs.join(open_, ["doc_id", "version"]).select("doc_id", "version", "text", "runs").mapInArrow(_windows, "na long, nb long, doc_id long, version long, at int, rep boolean")
     repeated = windows.repartition("na").sortWithinPartitions("na", "nb").mapInArrow(_ranked(_WINDOW, _repeated_windows), "doc_id long, version long, at int")
     repeated = common.written(repeated, "suffix-windows")
-    common.free_shuffles(docs.sparkSession)
     single = repeated.select("doc_id", "version", F.col("at").alias("first"), (F.col("at") + LEAST).alias("end"))
     return whole.unionByName(single)
 

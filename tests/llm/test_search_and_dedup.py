@@ -81,9 +81,43 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == classes({i: shingles(t) for i, t in texts})
 
 
-def test_depth_is_shortened_to_the_target():
-    depth = near_dup.depth_for(0.8)
-    assert 1 - (1 - 0.8**depth) ** near_dup.TREES >= near_dup.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** near_dup.TREES
+def test_prefixes_are_shortened_to_the_target():
+    least = near_dup.depth_for(0.8) - 2
+    draw = np.random.default_rng(1)
+    sizes = np.sort(draw.integers(1, 200, (50, near_dup.TREES, near_dup.DEPTH - least + 1)).astype(np.uint8), 2)[:, :, ::-1]
+    sizes[0] = 1  # nobody else anywhere
+    sizes[1, :20] = 1  # crowded in twelve trees only
+    depth = near_dup.chosen_depths(sizes, 0.8, near_dup.TARGET_RECALL, least)
+    recall = 1 - np.prod(1 - 0.8**depth.astype(float), 1)
+    assert (recall >= near_dup.TARGET_RECALL).all() and (recall < 1 - (1 - near_dup.TARGET_RECALL) / 2).all()
+    assert (depth[1, 20:] == near_dup.DEPTH).all() and depth.min() == least
+
+
+def test_recall_of_candidates_at_the_threshold(spark, monkeypatch):
+    """Pairs at just over 0.8 among texts that share a boilerplate, over many
+    partitions, nodes compared whole and in part: every link is found."""
+    monkeypatch.setattr(near_dup, "NODE_DOCS", 6)
+    monkeypatch.setattr(near_dup, "_HELD_ROWS", 40)
+    draw = np.random.default_rng(9)
+    word = lambda: f"w{draw.integers(0, 10**9)}"
+    shared, texts = [word() for _ in range(60)], []
+    for k in range(60):
+        own = [word() for _ in range(55)]
+        near = list(own)
+        near[20] = word()
+        near[47] = word()
+        tail = shared[: 30 * (k % 3)]
+        texts += [(3 * k, " ".join(own + tail)), (3 * k + 1, " ".join(near + tail)), (3 * k + 2, " ".join([*own[:30], *(word() for _ in range(25)), *tail]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r["doc_id"]: tuple(r)[1:] for r in near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = classes({i: shingles(t) for i, t in texts})
+    linked = [i for i in want if want[i][1]]
+    assert len(linked) == 40
+    assert sum(got[i] == want[i] for i in linked) / len(linked) == 1 and got == want
 
 
 @pytest.mark.parametrize(("n", "m", "chain"), [(60, 45, 0), (200, 190, 60), (10, 0, 0)])
