@@ -1,14 +1,20 @@
 """Removal of repeated byte strings, by prefix doubling over sparse suffixes.
 
 A string of ``least`` bytes (50) counts as repeated if it also starts in a
-document with a smaller id.  Prefix doubling names every suffix by its first
-16 bytes, then by pairs of names at growing offsets, and drops a suffix once its
-name is unique.  Here it starts from the suffixes that the text itself picks:
-of any 35 neighbouring positions the one with the least 16-byte name (the
-leftmost of equals).  So equal 50-byte strings pick the same place in
-themselves, and about one position in eighteen takes part.
-
-1. Names of 16 bytes: Spark sorts (name, document) pairs; a picked position
+document with a smaller id.  Prefix doubling names every suffix by its first 16
+bytes and then by pairs of names at an offset: two names of 16 bytes 17 apart
+are one of 33, two of 33 that overlap, 17 apart, are one of 50, which is past
+the threshold.  After each step Spark sorts the names, and suffixes whose name
+is unique are dropped.  A name is a hash of its pair and not the pair's place
+in the sorted order: only equality matters, and nothing has to be sent back.
+
+A sort of all suffixes would move some twenty times the input, so it starts from
+the suffixes that the text itself picks: of any 35 neighbouring positions the
+one with the least 16-byte name (the leftmost of equals).  Equal 50-byte strings
+pick the same place in themselves, so no repeat is lost, and about one
+position in eighteen takes part.
+
+1. Names of 16 bytes: Spark sorts (name, document) rows; a picked position
    whose name occurs in no other document is dropped.
 2. Names of the whole context: all windows of 50 bytes that picked a position
    form one string.  If a smaller document has the same one, all are repeated.
@@ -16,8 +22,9 @@ themselves, and about one position in eighteen takes part.
    to the left (every window covers one of them): unique ones are dropped.
 4. Names of 50 bytes for the windows that are left: the threshold.
 
-Contexts and windows are named by 128-bit hashes; shorter names only decide
-what is dropped, where a chance collision costs work and nothing else.
+Contexts and windows have names of 128 bits, made of two independent names of
+16 bytes; shorter names only decide what is dropped, where a chance collision
+costs work and nothing else.
 """
 
 from __future__ import annotations
@@ -59,9 +66,9 @@ def _words(data: np.ndarray) -> np.ndarray:
     return four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
 
 
-def _names(words: np.ndarray) -> np.ndarray:
+def _names(words: np.ndarray, seed: int = 0) -> np.ndarray:
     """Names of the 16 bytes from each position; never 0."""
-    h = words[:-8] * _C1
+    h = words[:-8] * _C1 + np.uint64(seed * 0x27D4EB2F165667C5)
     h ^= h >> np.uint64(32)
     h += words[8:]
     h *= _C3
@@ -71,11 +78,9 @@ def _names(words: np.ndarray) -> np.ndarray:
     return h | np.uint64(1)
 
 
-def _hash(words: np.ndarray, at: np.ndarray, offsets: list[int], seed: int) -> np.ndarray:
-    h = np.full(len(at), seed, np.uint64) * _C3
-    for k in offsets:
-        h = _mix(h + words[at + k] * _C1) + np.uint64(k)
-    return _mix(h)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of two names."""
+    return _mix(_mix(a * _C1 + _C3) + b * _C2)
 
 
 def _slide(x: np.ndarray, n: int, of) -> np.ndarray:
@@ -135,7 +140,7 @@ def contexts(texts: Texts, at: np.ndarray) -> dict[str, np.ndarray]:
         if len(own) == 0:
             continue
         words = _words(texts.data[low : a + CHUNK + 256])
-        h = _names(words)
+        h, other = _names(words), _names(words, 1)
         for k in range(0, len(own), 1 << 15):
             p = own[k : k + (1 << 15)]
             near = np.arange(1 - REACH, REACH)
@@ -152,15 +157,14 @@ def contexts(texts: Texts, at: np.ndarray) -> dict[str, np.ndarray]:
             p, first_w, last_w = p[ok], first_w[ok], last_w[ok]
             size, base = last_w - first_w + LEAST, first_w - low
             names = []
-            for seed in (1, 2):
-                g = (size + (seed << 32)).astype(np.uint64) * _C3 + (p - first_w).astype(np.uint64) * _C1
-                for j in range(0, LEAST + REACH, 8):
-                    inside = j + 8 <= size
-                    g = _mix(g + np.where(inside, words[np.minimum(base + j, len(words) - 1)], np.uint64(0)) * _C1) + np.uint64(j)
-                names.append(_mix(g + words[base + size - 8] * _C1))
-            side = [0, 8, 16, 24, SIDE - 8]
-            right = _hash(words, p - low, side, 3)
-            left = _hash(words, np.maximum(p - _BACK - low, 0), side, 4)
+            for n16 in (h, other):
+                g = _mix(size.astype(np.uint64) * _C3 + (p - first_w).astype(np.uint64) * _C1)
+                for j in range(0, LEAST + REACH, NAME):
+                    g = np.where(j + NAME <= size, _pair(g, n16[np.minimum(base + j, len(n16) - 1)]), g)
+                names.append(_pair(g, n16[base + size - NAME]))
+            right = _pair(h[p - low], h[p + _BACK - low])
+            before = np.maximum(p - _BACK - low, 0)
+            left = _pair(h[before], h[before + _BACK])
             parts.append((p, first_w, last_w, *names, right, left))
     keys = ("at", "first", "last", "ua", "ub", "right", "left")
     if not parts:
@@ -194,7 +198,7 @@ _PLAIN, _SURE, _STANDS = 0, 1, 2
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, doc_id, at, kind) of picked positions.  A name that many documents
+    """(name, doc_id, version, at, kind) of picked positions.  A name that many documents
     of a batch share is sent once: a hot one costs a row for each batch."""
     for batch in batches:
         for part in _batches(batch):
@@ -203,9 +207,9 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at) == 0:
                 continue
             owner = texts.owner(at)
-            ids = part["doc_id"].to_numpy(zero_copy_only=False)[owner]
+            ids, versions = (part[k].to_numpy(zero_copy_only=False)[owner] for k in ("doc_id", "version"))
             order = np.argsort(names, kind="stable")
-            names, ids, at = names[order], ids[order], (at - texts.bounds[owner])[order]
+            names, ids, versions, at = names[order], ids[order], versions[order], (at - texts.bounds[owner])[order]
             start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
             shared = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
             sure = np.repeat(shared, np.diff(np.append(start, len(names))))
@@ -215,10 +219,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     _long(np.concatenate([np.where(sure, spread, names), names[stands]])),
                     _long(np.concatenate([ids, ids[stands]])),
+                    _long(np.concatenate([versions, versions[stands]])),
                     pa.array(np.concatenate([at, at[stands]]).astype(np.int32)),
                     pa.array(np.concatenate([np.where(sure, _SURE, _PLAIN), np.full(len(stands), _STANDS)]).astype(np.int8)),
                 ],
-                names=["name", "doc_id", "at", "kind"],
+                names=["name", "doc_id", "version", "at", "kind"],
             )
 
 
@@ -227,18 +232,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A name is taken up again with the next batch by its last rows."""
 
     def keep(rows: list[np.ndarray]) -> pa.RecordBatch:
-        name, ids, at, kind = rows
+        name, ids, versions, at, kind = rows
         start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         free = kind != _SURE
         low = np.minimum.reduceat(np.where(free, ids, np.iinfo(np.int64).max), start)
         high = np.maximum.reduceat(np.where(free, ids, np.iinfo(np.int64).min), start)
         wide = np.repeat(low < high, np.diff(np.append(start, len(name))))
         ok = (kind == _SURE) | (wide & (kind == _PLAIN))
-        return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(at[ok])], names=["doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(versions[ok]), pa.array(at[ok])], names=["doc_id", "version", "at"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("name", "doc_id", "at", "kind")]
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("name", "doc_id", "version", "at", "kind")]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if len(rows[0]) == 0:
@@ -260,9 +265,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = _list_bounds(part["at"])
             row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
             at = part["at"].flatten().to_numpy(zero_copy_only=False) + texts.bounds[row]
-            # Another text with this id may have given a position: only picked ones count.
-            at = np.intersect1d(at[at < texts.bounds[row + 1]], picked(texts)[0])
-            c = contexts(texts, at)
+            c = contexts(texts, np.sort(at))
             owner = texts.owner(c["at"])
             base = texts.bounds[owner]
             ids, versions = (part[k].to_numpy(zero_copy_only=False)[owner] for k in ("doc_id", "version"))
@@ -332,9 +335,14 @@ def _least_first(rows: list[np.ndarray]) -> list[np.ndarray]:
 _WINDOW = ["na", "nb", "doc_id", "version", "at", "rep"]
 
 
+def _windows_of(n16: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Names of 50 bytes: two names of 33, each of two names of 16."""
+    a, b, c = n16[at], n16[at + _BACK], n16[at + 2 * _BACK]
+    return _pair(_pair(a, b), _pair(b, c))
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each window of the runs, with its name."""
-    offsets = [*range(0, LEAST - 8, 8), LEAST - 8]
     for batch in batches:
         for part in _batches(batch):
             texts = Texts(part["text"])
@@ -351,7 +359,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = w + texts.bounds[own]
                 low = int(place.min())
                 words = _words(texts.data[low : int(place.max()) + 128])
-                na, nb = (_hash(words, place - low, offsets, seed) for seed in (5, 6))
+                na, nb = (_windows_of(_names(words, seed), place - low) for seed in (0, 1))
                 na, nb, i, v, w, rep = _least_first([na, nb, ids[own], versions[own], w])
                 yield pa.RecordBatch.from_arrays([_long(na), _long(nb), pa.array(i), pa.array(v), pa.array(w.astype(np.int32)), pa.array(rep)], names=_WINDOW)
 
@@ -399,11 +407,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id, text and version, which tells rows apart that share an
     id but not a text.  Null ids must be gone.
     """
-    found = docs.select("doc_id", "text").mapInArrow(_suffixes, "name long, doc_id long, at int, kind byte")
-    kept = found.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "doc_id long, at int")
-    places = common.written(kept.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "suffix-places")
+    found = docs.select("doc_id", "version", "text").mapInArrow(_suffixes, "name long, doc_id long, version long, at int, kind byte")
+    kept = found.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "doc_id long, version long, at int")
+    # A set, for repeated rows give a position more than once.
+    places = common.written(kept.groupBy("doc_id", "version").agg(F.collect_set("at").alias("at")), "suffix-places")
 
-    named = docs.join(places, "doc_id").select("doc_id", "version", "text", "at").mapInArrow(_contexts, "ua long, ub long, doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
+    named = docs.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "at").mapInArrow(_contexts, "ua long, ub long, doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
     ranked = named.repartition("ua").sortWithinPartitions("ua", "ub").mapInArrow(_ranked(_CONTEXT, _first_of_context), "doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
     ranked = common.written(ranked, "suffix-contexts")
     whole = ranked.where("not rep").select("doc_id", "version", "first", (F.col("last") + LEAST).alias("end"))
