@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 #: Bounds of the training sample: documents of each language, words of each, and
 #: documents of all; with many languages each gives fewer, one at least.
 SAMPLE_DOCS = 300
 SAMPLE_WORDS = 200
 SAMPLE_ALL = 64 * SAMPLE_DOCS
-#: A chain is at most so many words of one document; the next starts anew.
-CHAIN = 64
+#: Words of a block; messages are carried from block to block of a text.
+BLOCK = 64
 _GRAM_BITS, _LEX_BITS = 16, 18
 _SLICE_BYTES = 4_000_000
 #: Chains and words that are scored at a time.
@@ -136,26 +138,55 @@ def forward_backward(scores: np.ndarray, move: np.ndarray, start: np.ndarray, ma
     return post / post.sum(2, keepdims=True), pairs
 
 
-def _posteriors(scores: np.ndarray, move: np.ndarray, start: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """As :func:`forward_backward`, without the transitions."""
-    chains, steps, n = scores.shape
-    e = np.exp(scores - scores.max(2, keepdims=True)).transpose(1, 0, 2).copy()
-    m = mask.T.copy()
-    e[~m] = 1.0
+def posteriors(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, start: np.ndarray, width: int = _CHAINS) -> np.ndarray:
+    """As :func:`forward_backward`, without the transitions, for many chains of
+    any length: ``scores`` (words, labels) has them end to end, ``counts`` their
+    lengths.  Chains go in blocks of BLOCK words, ``width`` blocks at a time:
+    all first blocks, then all second ones with the messages of the first, and
+    back again; so memory is that of the scores, however long a chain is.
+    """
+    n = scores.shape[1]
+    e = np.exp(scores - scores.max(1, keepdims=True, initial=-np.inf))
     a = np.exp(move).astype(e.dtype)
+    at_start = np.exp(start - start.max()).astype(e.dtype)
     post = np.empty_like(e)
-    now = e[0] * np.exp(start).astype(e.dtype)
-    post[0] = now / now.sum(1, keepdims=True)
-    for t in range(1, steps):
-        now = (post[t - 1] @ a) * e[t]
-        post[t] = np.where(m[t, :, None], now / now.sum(1, keepdims=True), post[t - 1])
-    beta = np.full((chains, n), 1.0 / n, e.dtype)
-    for t in range(steps - 2, -1, -1):
-        now = (e[t + 1] * beta) @ a.T
-        beta = np.where(m[t + 1, :, None], now / now.sum(1, keepdims=True), beta)
-        own = post[t] * beta
-        post[t] = own / own.sum(1, keepdims=True)
-    return post.transpose(1, 0, 2)
+    first = np.cumsum(counts) - counts
+    # The longest chains first, so that those that go on are a prefix.
+    order = np.argsort(-counts, kind="stable")
+    long = counts[order]
+    steps = [(k, own) for k in range(0, int(counts.max(initial=0)), BLOCK) for own in _parts_of(int(np.searchsorted(-long, -k, "left")), width)]
+
+    def grid(k: int, own: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the block's words, and which are there."""
+        t = np.arange(k, k + BLOCK)
+        there = t[None, :] < long[own, None]
+        return np.where(there, first[order[own], None] + t[None, :], 0), there
+
+    now = np.tile(at_start, (len(counts), 1))
+    for k, own in steps:
+        place, there = grid(k, own)
+        alpha = now[own]
+        for t in range(int(there.any(0).sum())):
+            moved = alpha if k + t == 0 else alpha @ a
+            new = moved * e[place[:, t]]
+            alpha = np.where(there[:, t, None], new / new.sum(1, keepdims=True), alpha)
+            post[place[there[:, t], t]] = alpha[there[:, t]]
+        now[own] = alpha
+    now = np.ones((len(counts), n), e.dtype)
+    for k, own in reversed(steps):
+        place, there = grid(k, own)
+        beta = now[own]
+        for t in reversed(range(int(there.any(0).sum()))):
+            here = there[:, t]
+            post[place[here, t]] *= beta[here]
+            new = (e[place[:, t]] * beta) @ a.T
+            beta = np.where(here[:, None], new / new.sum(1, keepdims=True), beta)
+        now[own] = beta
+    return post / post.sum(1, keepdims=True)
+
+
+def _parts_of(n: int, width: int) -> list[slice]:
+    return [slice(k, min(k + width, n)) for k in range(0, n, width)]
 
 
 @dataclass
@@ -172,23 +203,26 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, key:
     """Learn from a bounded sample: of each language the ``sample_docs``
     documents with the least hash, of each a segment of ``sample_words`` words
     at a hashed place.  All languages are learned: if they are so many that
-    SAMPLE_ALL documents would not do, each gives fewer.  None if no row has a
+    SAMPLE_ALL documents would not do, each gives fewer.  Rows that are equal in
+    key and text count once, so ties do not matter.  None if no row has a
     language and a word."""
-    key = F.xxhash64(text_col) if key is None else F.xxhash64(key)
-    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    # First the keys alone, so that no text moves; then the texts below each language's last key.
-    first = Window.partitionBy("lang").orderBy("key")
-    slim = own.select("lang", "key").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
-    n_langs = own.select("lang").distinct().count()
+    key = F.xxhash64(text_col) if key is None else F.xxhash64(key, F.col(text_col))
+    words = F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), "")
+    own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
+    counted = common.written(own.groupBy("lang").count(), "languages")
+    n_langs = counted.count()
     if not n_langs:
         return None
     sample_docs = min(sample_docs, max(1, SAMPLE_ALL // n_langs))
-    last = slim.where(F.col("n") <= sample_docs).groupBy("lang").agg(F.max("key").alias("_last"))
-    own = own.join(F.broadcast(last), "lang").where(F.col("key") <= F.col("_last"))
-    words = F.array_remove(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), "")
-    own = own.select("lang", "key", words.alias("words")).where(F.size("words") > 0)
+    # Keys are even, so of a language's documents about twice as many as wanted have a key up to this share of all.
+    share = F.least(F.lit(1.0), (2 * sample_docs + 100) / F.col("count"))
+    bound = counted.select("lang", (F.lit(-float(1 << 63)) + share * float(1 << 64)).alias("_bound"))
+    few = own.join(F.broadcast(bound), "lang").where(F.col("key") <= F.col("_bound"))  # a row for each language
+    # Equal documents have one key and count once; a bounded number of keys is ranked.
+    first = Window.partitionBy("lang").orderBy("key")
+    few = few.groupBy("lang", "key").agg(F.min("text").alias("text")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs)
     start = F.pmod("key", F.greatest(F.size("words") - sample_words, F.lit(1))) + 1
-    rows = own.select("lang", "key", F.slice("words", start.cast("int"), sample_words).alias("words")).limit(2 * sample_docs * n_langs).collect()
+    rows = few.select("lang", "key", words.alias("words")).select("lang", "key", F.slice("words", start.cast("int"), sample_words).alias("words")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["key"], r["words"]))
@@ -269,22 +303,7 @@ def _label(model: CrfModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np
         return np.zeros((0, n), np.float32), counts, np.zeros(0, np.int64)
     scores = WordFeatures(coded.dictionary).scores(model.weights, model.lexicon, model.lex_weights)
     word = coded.indices.to_numpy()
-    in_doc = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)
-    chains = -(-counts // CHAIN)
-    chain = np.repeat(np.cumsum(chains) - chains, counts) + in_doc // CHAIN
-    step = in_doc % CHAIN
-    post = np.empty((len(word), n), np.float32)
-    size = np.bincount(chain, minlength=int(chains.sum()))
-    by_chain = np.concatenate([[0], np.cumsum(size)])
-    width = _at_a_time(_CHAINS, n)
-    for a in range(0, len(size), width):
-        low, high = by_chain[a], by_chain[min(a + width, len(size))]
-        grid = np.zeros((min(width, len(size) - a), CHAIN, n), np.float32)
-        mask = np.zeros(grid.shape[:2], bool)
-        c, t = chain[low:high] - a, step[low:high]
-        grid[c, t] = scores[word[low:high]]
-        mask[c, t] = True
-        post[low:high] = _posteriors(grid, model.move, model.start, mask)[c, t]
+    post = posteriors(scores[word], counts, model.move, model.start, _at_a_time(_CHAINS, n))
     return post, counts, word
 
 

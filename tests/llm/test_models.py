@@ -57,7 +57,27 @@ def test_forward_backward_equals_enumeration():
     post, moved = language_crf.forward_backward(scores, move, start, mask)
     np.testing.assert_allclose(post[0], want / total, atol=1e-9)
     np.testing.assert_allclose(moved, pairs / total, atol=1e-9)
-    np.testing.assert_allclose(language_crf._posteriors(scores, move, start, mask)[0], want / total, atol=1e-9)
+    np.testing.assert_allclose(language_crf.posteriors(scores[0], np.array([5]), move, start), want / total, atol=1e-9)
+
+
+def test_messages_cross_the_blocks():
+    draw = np.random.default_rng(1)
+    counts = np.array([3, 0, 64, 200, 1, 65, 129])
+    scores, move, start = draw.normal(size=(counts.sum(), 4)), 3 * draw.normal(size=(4, 4)), draw.normal(size=4)
+    got, at = language_crf.posteriors(scores, counts, move, start, width=2), 0
+    for n in counts:
+        if n:
+            want, _ = language_crf.forward_backward(scores[None, at : at + n], move, start, np.ones((1, n), bool))
+            np.testing.assert_allclose(got[at : at + n], want[0], atol=1e-9)
+        at += n
+
+
+def test_sample_is_bounded_and_ties_do_not_matter(spark):
+    rows = [(None if k % 2 else 7, f"wort{k % 50} haus", "de") for k in range(2000)] + [(k, "the house", "en") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_crf.fit(f, key=F.col("doc_id"), epochs=1, sample_docs=20) for f in (frame, frame.orderBy(F.desc("text")))]
+    assert models[0].languages == ["de", "en"]
+    np.testing.assert_array_equal(models[0].weights, models[1].weights)
 
 
 def test_quality_of_held_out_documents(spark, empty):
