@@ -86,6 +86,24 @@ class DacReader:
             start, stop, at = low, low + int(more.sum()), at[more]
         return out
 
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids at these places: a rank for each and level, nothing else."""
+        if len(at) and not 0 <= at.min() <= at.max() < len(self):
+            raise IndexError((at.min(), at.max()))
+        out, own, at = np.zeros(len(at), np.uint32), np.arange(len(at)), at.astype(np.int64)
+        for k, (chunks, bits, ranks) in enumerate(self.levels):
+            out[own] |= chunks[at].astype(np.uint32) << np.uint32(8 * k)
+            goes_on = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            own, at = own[goes_on], at[goes_on]
+            if len(own) == 0:
+                break
+            block = at // RANK_BITS
+            used, which = np.unique(block, return_inverse=True)
+            pad = np.concatenate([bits, np.zeros(RANK_BITS // 8, np.uint8)])
+            before = np.cumsum(np.unpackbits(pad[used[:, None] * (RANK_BITS // 8) + np.arange(RANK_BITS // 8)], axis=1, bitorder="little"), 1, dtype=np.int64)
+            at = ranks[block].astype(np.int64) + before[which, at % RANK_BITS] - 1  # its own bit is set
+        return out
+
     def get(self, at: int) -> int:
         return int(self.slice(at, at + 1)[0])
 
@@ -95,7 +113,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 
     Spark deals the documents out in ranges of ids and sorts each range; a task
     streams its range into segments.  A document is never cut by a segment.
-    Null ids come first.  Repeated ids keep the order of their texts.
+    Null ids come first.  Repeated ids go by their texts' hashes, then texts,
+    so that one that holds many rows is dealt to many tasks.
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +149,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
             yield closed()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, _SEGMENTS).write.parquet(path)
+    hashed = own.withColumn("h", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(segments, _SEGMENTS).write.parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -160,18 +180,33 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_segments(spark, path).select("codes", "doc_ids", "doc_tokens", "start").mapInArrow(documents, _READ)
 
 
+#: Positions of a segment that are read together.
+_TOGETHER = 1 << 16
+
+
 def read_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
-    """Random access: rows (position) become (position, id).
+    """Random access: a row (position, id) for each distinct position.
 
-    A position is looked up in the segment that holds it; positions outside the
-    store are dropped.  Only the segments' offsets are compared, by a range join.
+    Segments are found by their offsets alone: positions and segments meet in
+    stretches of as many ids as a segment has, so the join is by equality and
+    a position meets the few segments of its stretch.  Then a segment's
+    positions are gathered, some 65,000 at a time, and its codes are opened
+    once for them.  Positions outside the store, and null, are dropped.
     """
-    bounds = read_segments(spark, path).select("start", "n_ids", "codes")
-    hit = positions.join(bounds, (positions["position"] >= bounds["start"]) & (positions["position"] < bounds["start"] + bounds["n_ids"]))
+    bounds = read_segments(spark, path).select("part", "segment", "start", "n_ids").where("n_ids > 0")
+    stretch = lambda c: F.floor(c / SEGMENT_IDS)
+    cover = F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("n_ids") - 1))
+    bounds = common.written(bounds.withColumn("stretch", F.explode(cover)), "token-bounds")
+    asked = positions.select(F.col("position").cast("long").alias("position")).distinct().withColumn("stretch", stretch(F.col("position")))
+    hit = asked.join(bounds, "stretch").where("position >= start and position < start + n_ids")
+    groups = hit.groupBy("part", "segment", "start", F.floor((F.col("position") - F.col("start")) / _TOGETHER).alias("k")).agg(F.collect_list("position").alias("positions"))
+    codes = spark.read.schema(_SEGMENTS).parquet(path).select("part", "segment", "codes")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [DacReader(c.as_py()).get(p.as_py() - s.as_py()) for p, s, c in zip(batch["position"], batch["start"], batch["codes"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["position"], pa.array(own, pa.int64())], names=["position", "id"])
+            for row in range(batch.num_rows):
+                own = np.sort(batch["positions"][row].values.to_numpy())
+                found = DacReader(batch["codes"][row].as_py()).take(own - batch["start"][row].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found.astype(np.int64))], names=["position", "id"])
 
-    return hit.select(F.col("position").cast("long"), "start", "codes").mapInArrow(ids, "position long, id long")
+    return groups.join(codes, ["part", "segment"]).select("positions", "start", "codes").mapInArrow(ids, "position long, id long")

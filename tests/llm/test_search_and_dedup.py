@@ -17,15 +17,15 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     draw = np.random.default_rng(3)
     vectors = [(k, [float(np.float32(v)) for v in draw.normal(size=4).round(1)]) for k in range(330)]
     vectors += [(400 + k, vectors[5][1]) for k in range(60)]  # ties
-    vectors += [(500, None), (600, [1.0, None, 0.0, 0.0]), (700, [float("nan"), 0.0, 0.0, 0.0]), (800, [float("inf")] * 4), (900, []), (1000, [0.5, 0.5]), (vectors[7][0], vectors[7][1])]
+    vectors += [(500, None), (600, [1.0, None, 0.0, 0.0]), (700, [float("nan"), 0.0, 0.0, 0.0]), (800, [float("inf")] * 4), (900, []), (901, []), (1000, [0.5, 0.5]), (1100, [1e300, -1e300]), (1101, [1e300, 3e15]), (1102, [2.5e12, 0.125]), (vectors[7][0], vectors[7][1])]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("vector", F.lit(1))
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
     monkeypatch.setattr(topk, "BINS", 8)
     got = sorted(tuple(r) for r in topk.exact_top_k(frame, frame.where("vec_id % 100 = 0"), 10).collect())
-    fine = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for q, v in {i: v for i, v in fine if i % 100 == 0}.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q and len(w) == len(v))[:10]
+        scored = sorted((-max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in fine if i != q and len(w) == len(v))[:10]
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     assert got == sorted(expected)
     assert topk.exact_top_k(frame.limit(0), frame.limit(0)).count() == 0
