@@ -1,8 +1,10 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of a fixed number of words.  Each passage is
-encoded; gated attention weighs the encodings; the weighted sum is scored.
-Encoder, attention and scorer are learned together from document labels.
+encoded from what its characters and repetitions count and from learned vectors
+of its words and word pairs; gated attention weighs the encodings; the
+weighted sum is scored.  Vectors, encoder, attention and scorer are learned
+together from document labels.
 """
 
 from __future__ import annotations
@@ -16,8 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: documents of each label, and characters of all their texts.
+#: Bounds of the training sample: documents of each label, and passages of each,
+#: evenly over the whole text.
 SAMPLE_DOCS = 1500
+SAMPLE_PASSAGES = 64
+#: Hashed words, as many hashed word pairs, and the length of their vectors.
+CODES = 1 << 12
+CODE_WIDTH = 8
 PASSAGE_WORDS = 48
 _SLICE_BYTES = 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -30,9 +37,27 @@ _N_CLASS = len(_GROUPS) + 1
 N_FEATURES = _N_CLASS + 6
 
 
-def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, passages of each text); a text without words
-    is one empty passage.  Null counts as empty."""
+@dataclass
+class Passages:
+    """Passages of some texts, end to end: figures of each, passages of each
+    text, words of each passage, and two codes of each word (it, and it with
+    the next one of its passage)."""
+
+    x: np.ndarray
+    passages: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+
+    def take(self, at: np.ndarray, passages: np.ndarray) -> Passages:
+        """The passages ``at``, as texts of so many ``passages`` each."""
+        first = np.cumsum(self.words) - self.words
+        size = self.words[at]
+        own = np.arange(size.sum()) + np.repeat(first[at] - (np.cumsum(size) - size), size)
+        return Passages(self.x[at], passages, size, self.codes[own])
+
+
+def encode_passages(texts: pa.Array) -> Passages:
+    """A text without words is one empty passage.  Null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
@@ -80,6 +105,11 @@ def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         new[order[1:]] = key[1:] != key[:-1]
         return new
 
+    # The next word of the same passage, 0 for the last one.
+    ahead = np.zeros(len(code), np.uint64)
+    ahead[:-1] = np.where(word_passage[1:] == word_passage[:-1], code[1:], np.uint64(0))
+    top = lambda h: (h * _M >> np.uint64(52)).astype(np.uint16)  # noqa: E731  CODES = 2^12
+    codes = np.stack([top(code), top(code * np.uint64(3) + (ahead ^ ahead >> np.uint64(31)) * np.uint64(5)) + np.uint16(CODES)], 1) if len(code) else np.zeros((0, 2), np.uint16)
     new_word = fresh(code, word_passage)
     triple = code.copy()
     if len(code) > 2:
@@ -88,7 +118,7 @@ def encode_passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     share = lambda hit: np.bincount(word_passage, hit, total).astype(np.float32) / np.maximum(n_words, 1)
     letters = counts[:, 0] + counts[:, 1] + counts[:, -1]
     dense = [np.log1p(size[:, 0]) / 8, n_words / PASSAGE_WORDS, np.minimum(letters / np.maximum(n_words, 1) / 10, 3), share(new_word), share(new_triple), np.minimum(counts[:, 4] / np.maximum(n_words, 1) * 4, 4)]
-    return np.concatenate([np.sqrt(counts / size), np.stack(dense, 1)], 1).astype(np.float32), passages
+    return Passages(np.concatenate([np.sqrt(counts / size), np.stack(dense, 1)], 1).astype(np.float32), passages, n_words.astype(np.int64), codes)
 
 
 @dataclass
@@ -97,89 +127,121 @@ class MilModel:
     scale: np.ndarray
     params: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, passages: np.ndarray) -> dict[str, np.ndarray]:
-        p, first = self.params, np.cumsum(passages) - passages
+    def forward(self, of: Passages) -> dict[str, np.ndarray]:
+        p, passages = self.params, of.passages
+        first = np.cumsum(passages) - passages
         bag = np.repeat(np.arange(len(passages)), passages)
-        h = np.tanh(((x - self.mean) / self.scale) @ p["w"] + p["wb"])
+        mean = np.zeros((len(of.x), CODE_WIDTH), p["e"].dtype)
+        some = np.flatnonzero(of.words)
+        if len(some):
+            vectors = p["e"][of.codes[:, 0]] + p["e"][of.codes[:, 1]]
+            mean[some] = np.add.reduceat(vectors, (np.cumsum(of.words) - of.words)[some], 0) / of.words[some, None]
+        x = np.concatenate([(of.x - self.mean) / self.scale, mean], 1)
+        h = np.tanh(x @ p["w"] + p["wb"])
         t, g = np.tanh(h @ p["v"] + p["vb"]), 1 / (1 + np.exp(-(h @ p["u"] + p["ub"])))
         raw = (t * g) @ p["a"]
         a = np.exp(raw - np.maximum.reduceat(raw, first)[bag])
         a /= np.add.reduceat(a, first)[bag]
         z = np.add.reduceat(a[:, None] * h, first, 0)
-        return {"h": h, "t": t, "g": g, "a": a, "z": z, "bag": bag, "score": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["cb"], -30, 30)))}
+        return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "bag": bag, "score": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["cb"], -30, 30)))}
+
+    def gradient(self, of: Passages, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean cross-entropy, by parameter."""
+        f, p, first = self.forward(of), self.params, np.cumsum(of.passages) - of.passages
+        bag = f["bag"]
+        dz = ((f["score"] - y) * weight / len(y))[:, None]
+        grad = {"c": f["z"].T @ dz[:, 0], "cb": dz.sum()}
+        dbag = dz * p["c"]
+        inner = (f["h"] * dbag[bag]).sum(1)
+        draw = f["a"] * (inner - np.add.reduceat(f["a"] * inner, first)[bag])
+        gate = draw[:, None] * p["a"]
+        dt, dg = gate * f["g"] * (1 - f["t"] ** 2), gate * f["t"] * f["g"] * (1 - f["g"])
+        grad |= {"a": (f["t"] * f["g"]).T @ draw, "v": f["h"].T @ dt, "vb": dt.sum(0), "u": f["h"].T @ dg, "ub": dg.sum(0)}
+        dh = (f["a"][:, None] * dbag[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
+        grad |= {"w": f["x"].T @ dh, "wb": dh.sum(0), "e": np.zeros_like(p["e"])}
+        if len(of.codes):
+            share = (dh @ p["w"][-CODE_WIDTH:].T) / np.maximum(of.words, 1)[:, None]
+            flat = of.codes.ravel()
+            order = np.argsort(flat, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
+            owner = np.repeat(np.arange(len(of.words)), of.words)
+            grad["e"][flat[order][start]] = np.add.reduceat(share[owner[order // 2]], start, 0)
+        return grad
 
 
 def fit(docs: DataFrame, label: Column, text_col: str = "text", *, key: Column | None = None, sample_docs: int = SAMPLE_DOCS, steps: int = 400, width: int = 24, seed: int = 5) -> MilModel | None:
     """Learn from a bounded sample: of either label the ``sample_docs``
-    documents with the least hash.  ``label`` is 1 or 0; other rows are left
-    out.  What reaches the driver are the passages' features, not the texts.
-    None if a label has no document."""
-    key = F.xxhash64(text_col) if key is None else F.xxhash64(key)
+    documents with the least hash, of each SAMPLE_PASSAGES passages at most,
+    evenly over the whole text.  ``label`` is 1 or 0; other rows are left out.
+    Rows that are equal in key and text count once, so ties do not matter.
+    What reaches the driver are the passages' features, not the texts.  None if
+    a label has no document."""
+    key = F.xxhash64(text_col) if key is None else F.xxhash64(key, F.col(text_col))
     own = docs.select(label.cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), key.alias("key")).where("y in (0, 1)")
     # First the keys alone, so that no text moves; then the texts up to each label's last key.
     last = {}
     for k in (0, 1):
-        keys = own.where(F.col("y") == k).select("key").orderBy("key").limit(sample_docs)
+        keys = own.where(F.col("y") == k).select("key").distinct().orderBy("key").limit(sample_docs)
         last[k] = keys.agg(F.max("key")).first()[0]
     if None in last.values():
         return None
     part = own.where((F.col("key") <= max(last.values())) & (((F.col("y") == 0) & (F.col("key") <= last[0])) | ((F.col("y") == 1) & (F.col("key") <= last[1]))))
+    part = part.groupBy("y", "key").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _slices(batch, "text"):
-                x, passages = encode_passages(piece["text"])
-                bounds = np.concatenate([[0], np.cumsum(passages)])
-                blobs = [x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([piece["y"], piece["key"], pa.array(blobs, pa.binary())], names=["y", "key", "x"])
+                of = encode_passages(piece["text"])
+                blobs, first = [], np.cumsum(of.passages) - of.passages
+                for at, n in zip(first.tolist(), of.passages.tolist(), strict=True):
+                    some = at + np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).round().astype(np.int64))
+                    own = of.take(some, np.array([len(some)]))
+                    blobs.append((own.x.tobytes(), own.words.astype("<i8").tobytes(), own.codes.tobytes()))
+                columns = [pa.array([b[k] for b in blobs], pa.binary()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([piece["y"], piece["key"], *columns], names=["y", "key", "x", "words", "codes"])
 
-    rows = part.mapInArrow(features, "y int, key long, x binary").limit(4 * sample_docs).collect()
-    if len({r["y"] for r in rows}) < 2:
-        return None
-    rows.sort(key=lambda r: (r["y"], r["key"], bytes(r["x"])))
-    own_x = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
-    return _train(np.concatenate(own_x).astype(np.float64), np.array([len(x) for x in own_x]), np.array([r["y"] for r in rows], float), steps, width, seed)
-
-
-def _train(x: np.ndarray, passages: np.ndarray, y: np.ndarray, steps: int, width: int, seed: int) -> MilModel:
-    draw, half = np.random.default_rng(seed), width // 2
-    size = {"w": (x.shape[1], width), "wb": (width,), "v": (width, half), "vb": (half,), "u": (width, half), "ub": (half,), "a": (half,), "c": (width,), "cb": ()}
-    params = {k: draw.normal(0, 1 / np.sqrt(s[0]), s) if k in "wvuac" and s else np.zeros(s) for k, s in size.items()}
-    model = MilModel(x.mean(0), x.std(0) + 1e-2, params)
-    m, v = ({k: np.zeros(s) for k, s in size.items()} for _ in range(2))
-    bounds = np.concatenate([[0], np.cumsum(passages)])
+    rows = part.mapInArrow(features, "y int, key long, x binary, words binary, codes binary").collect()  # 2 * sample_docs at most
+    rows.sort(key=lambda r: (r["y"], r["key"]))
+    every = lambda c, kind: np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind)
+    counts = np.array([len(r["words"]) // 8 for r in rows])
+    of = Passages(every("x", np.float32).reshape(-1, N_FEATURES), counts, every("words", np.int64), every("codes", np.uint16).reshape(-1, 2))
+    return _train(of, np.array([r["y"] for r in rows], float), steps, width, seed)
+
+
+def new_model(of: Passages, width: int, draw: np.random.Generator) -> MilModel:
+    half = width // 2
+    size = {"e": (2 * CODES, CODE_WIDTH), "w": (of.x.shape[1] + CODE_WIDTH, width), "wb": (width,), "v": (width, half), "vb": (half,), "u": (width, half), "ub": (half,), "a": (half,), "c": (width,), "cb": ()}
+    params = {k: draw.normal(0, 1 / np.sqrt(s[0]), s) if k in "ewvuac" and s else np.zeros(s) for k, s in size.items()}
+    return MilModel(of.x.mean(0, dtype=np.float64), of.x.std(0, dtype=np.float64) + 1e-2, params)
+
+
+def _train(of: Passages, y: np.ndarray, steps: int, width: int, seed: int) -> MilModel:
+    draw = np.random.default_rng(seed)
+    model = new_model(of, width, draw)
+    params = model.params
+    m, v = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
+    bounds = np.concatenate([[0], np.cumsum(of.passages)])
     # Weights halfway between even labels and none, so that good documents are not lost to the rarer label.
     weight = np.where(y == 1, np.sqrt(0.5 / max(y.mean(), 1e-9)), np.sqrt(0.5 / max(1 - y.mean(), 1e-9)))
     for step in range(1, steps + 1):
-        pick = draw.choice(len(y), min(512, len(y)), replace=False)
-        rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in pick])
-        xs, bags = x[rows], passages[pick]
-        f = model.forward(xs, bags)
-        p, first, bag = params, np.cumsum(bags) - bags, f["bag"]
-        dz = ((f["score"] - y[pick]) * weight[pick] / len(pick))[:, None]
-        grad = {"c": f["z"].T @ dz[:, 0], "cb": dz.sum()}
-        dbag = dz * p["c"]
-        inner = (f["h"] * dbag[bag]).sum(1)
-        draw_a = f["a"] * (inner - np.add.reduceat(f["a"] * inner, first)[bag])
-        gate = draw_a[:, None] * p["a"]
-        dt, dg = gate * f["g"] * (1 - f["t"] ** 2), gate * f["t"] * f["g"] * (1 - f["g"])
-        grad |= {"a": (f["t"] * f["g"]).T @ draw_a, "v": f["h"].T @ dt, "vb": dt.sum(0), "u": f["h"].T @ dg, "ub": dg.sum(0)}
-        dh = (f["a"][:, None] * dbag[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
-        grad |= {"w": ((xs - model.mean) / model.scale).T @ dh, "wb": dh.sum(0)}
+        pick = draw.choice(len(y), min(256, len(y)), replace=False)
+        at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in pick])
+        grad = model.gradient(of.take(at, of.passages[pick]), y[pick], weight[pick])
         rate = 0.02 * min(1, 2 * (1 - step / (steps + 1)))
         for k, g in grad.items():
-            g = g + 1e-4 * p[k]
+            g = g + 1e-4 * params[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     # Put one half where the fewest training documents fall on the wrong side, amid the widest such gap.
-    logits = model.forward(x, passages)["z"] @ params["c"] + params["cb"]
+    logits = model.forward(of)["z"] @ params["c"] + params["cb"]
     order = np.argsort(logits, kind="stable")
     ranked = np.concatenate([[logits[order[0]] - 2], logits[order], [logits[order[-1]] + 2]])
     wrong = np.concatenate([[0], np.cumsum(y[order])]) + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y[order])])
     gap = np.where(wrong == wrong.min(), np.diff(ranked), -1)
     at = int(gap.argmax())
     params["cb"] = params["cb"] - (ranked[at] + ranked[at + 1]) / 2
+    params["e"] = params["e"].astype(np.float32)
     return model
 
 
@@ -206,12 +268,13 @@ def score(docs: DataFrame, model: MilModel | None, *keep: Column | str, text_col
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, "_mil_text"):
-                x, passages = encode_passages(part["_mil_text"])
+                of = encode_passages(part["_mil_text"])
+                passages = of.passages
                 value, top = np.full(part.num_rows, 0.5), np.zeros(part.num_rows, np.int64)
                 if model is not None:
-                    f = model.forward(x, passages)
+                    f = model.forward(of)
                     value, first = f["score"].astype(np.float64), np.cumsum(passages) - passages
-                    order = np.lexsort((np.arange(len(x)), -f["a"], f["bag"]))
+                    order = np.lexsort((np.arange(len(of.x)), -f["a"], f["bag"]))
                     top = order[first] - first
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(passages.astype(np.int64)), pa.array(top)], names=[*kept, "score", "predicted", "n_passages", "top_passage"])
 

@@ -160,9 +160,9 @@ def _bounds(candidates: DataFrame, scorer: _Scorer, longest: float, k: int) -> n
     """A score for each query of the block at or above which there are at least
     k candidates (or all), and not many more unless they tie."""
     # Python's integers: the range may be wider than a long can say.
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):
         reach = np.sqrt((scorer.queries**2).sum(1)) * longest
-    most = [min(int(x) + 1, _MOST) for x in np.minimum(np.ceil(reach), 2.0**63)]
+    most = [min(int(x) + 1, _MOST) for x in np.minimum(np.ceil(np.nan_to_num(reach, nan=2.0**63)), 2.0**63)]
     low, high = np.array([-m for m in most], object), np.array([m + 1 for m in most], object)
     open_ = np.ones(len(low), bool)
     while open_.any():

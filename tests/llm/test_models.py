@@ -101,14 +101,76 @@ def test_quality_of_held_out_documents(spark, empty):
     assert quality_mil.score(frame, None, "doc_id").first()["score"] == 0.5
 
 
-def test_attention_gradient():
-    """The loss falls along the analytic gradient: training separates bags that
-    differ in one passage."""
+def test_quality_is_seen_in_words(spark):
+    """Good and bad texts that differ in nothing but which words they use: no
+    count of characters or repetitions tells them apart."""
+    import random
+
+    draw, rows = random.Random(4), []
+    letters = "abcdefgh"
+    stock = ["".join(draw.choice(letters) for _ in range(6)) for _ in range(400)]
+    for k in range(300):
+        good = k % 2
+        rows.append((k, " ".join(draw.choice(stock[:200] if good else stock[200:]) for _ in range(60 + k % 100)), good))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_mil.fit(frame.where(~held_out()), F.col("quality"), key=F.col("doc_id"), steps=200)
+    got = quality_mil.score(frame.where(held_out()), model, "quality").collect()
+    assert sum(r["predicted"] == r["quality"] for r in got) / len(got) >= 0.95
+
+
+TEXTS = ["one two three. " * 40, "", None, "A! B? c " * 100 + "\n\n" + "x y", "é ü ß 中文 " * 30, "a b a b"]
+
+
+def test_attention_gradient_equals_differences():
+    import pyarrow as pa
+
     draw = np.random.default_rng(1)
-    passages = draw.integers(1, 6, 200)
-    y = draw.integers(0, 2, 200).astype(float)
-    x = draw.normal(size=(passages.sum(), quality_mil.N_FEATURES))
-    first = np.cumsum(passages) - passages
-    x[first[y == 0] + draw.integers(0, passages[y == 0]), 3] += 6
-    model = quality_mil._train(x, passages, y, 300, 16, 0)
-    assert ((model.forward(x, passages)["score"] >= 0.5) == (y == 1)).mean() >= 0.97
+    of = quality_mil.encode_passages(pa.array(TEXTS))
+    of.x = of.x.astype(np.float64)
+    model = quality_mil.new_model(of, 6, draw)
+    y, weight = draw.integers(0, 2, len(TEXTS)).astype(float), draw.random(len(TEXTS)) + 0.5
+
+    def loss():
+        score = model.forward(of)["score"]
+        return -(weight * (y * np.log(score) + (1 - y) * np.log(1 - score))).mean()
+
+    grad = model.gradient(of, y, weight)
+    for name, value in model.params.items():
+        places = [()] if value.shape == () else [tuple(draw.integers(0, value.shape)) for _ in range(12)]
+        if name == "e":
+            places += [(int(c), k % 8) for k, c in enumerate(of.codes[:6].ravel())]
+        for at in places:
+            was = float(value[at])
+            model.params[name] = value = np.array(value)
+            value[at] = was + 1e-5
+            above = loss()
+            value[at] = was - 1e-5
+            below = loss()
+            value[at] = was
+            assert abs((above - below) / 2e-5 - np.asarray(grad[name])[at]) < 1e-6, (name, at)
+
+
+def test_forward_pass_matches_a_plain_one():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    of = quality_mil.encode_passages(pa.array(TEXTS))
+    model = quality_mil.new_model(of, 6, draw)
+    p, got = model.params, model.forward(of)
+    passage = word = 0
+    for k, text in enumerate(TEXTS):
+        words = (text or "").split()
+        n = max(1, -(-len(words) // quality_mil.PASSAGE_WORDS))
+        assert of.passages[k] == n
+        hidden, raw = [], []
+        for j in range(n):
+            size = len(words[j * quality_mil.PASSAGE_WORDS : (j + 1) * quality_mil.PASSAGE_WORDS])
+            assert of.words[passage] == size
+            mean = sum((p["e"][a] + p["e"][b] for a, b in of.codes[word : word + size]), np.zeros(quality_mil.CODE_WIDTH)) / max(size, 1)
+            h = np.tanh(np.concatenate([(of.x[passage] - model.mean) / model.scale, mean]) @ p["w"] + p["wb"])
+            hidden.append(h)
+            raw.append((np.tanh(h @ p["v"] + p["vb"]) / (1 + np.exp(-(h @ p["u"] + p["ub"])))) @ p["a"])
+            passage, word = passage + 1, word + size
+        weight = np.exp(raw) / np.exp(raw).sum()
+        score = 1 / (1 + np.exp(-(sum(w * h for w, h in zip(weight, hidden, strict=True)) @ p["c"] + p["cb"])))
+        assert abs(score - got["score"][k]) < 1e-9
