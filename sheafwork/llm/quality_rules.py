@@ -22,6 +22,8 @@ COMMON_WORDS = {
 }
 #: Character classes; what is in none of them is the last bin.
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", r"[#*$%&|<>@=+/\\_~^{}\[\]`]")
+#: White space among them.
+_SPACES = 3
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("words", F.array_remove(F.split("text", SPACE), "")).withColumn("padded", _padded(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    bare = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
+    # The classes share no character: each is counted in what the ones before have left.
+    own = own.withColumn("rest0", F.col("text"))
+    for k, c in enumerate(CLASSES):
+        own = own.withColumn(f"rest{k + 1}", F.regexp_replace(f"rest{k}", c + "+", ""))
+    classes = [F.length(f"rest{k}") - F.length(f"rest{k + 1}") for k in range(len(CLASSES))]
     word_share = F.lit(None).cast("array<double>")
     if learned is not None:
         own = own.join(F.broadcast(learned.select("lang", "listed")), "lang", "left")
@@ -112,13 +118,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     for lang, listed in rules.common_words.items():
         counts = [((F.octet_length("padded") - F.octet_length(F.replace(F.col("padded"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in listed]
         word_share = F.when(F.col("lang") == lang, _share(counts, F.size("words"))).otherwise(word_share)
-    classes = [F.length("text") - bare(c + "+") for c in CLASSES]
     return own.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - bare(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.length("text") - classes[_SPACES]).cast("long").alias("word_chars"),
+        # Symbols are of the last class.
+        (F.length(f"rest{len(CLASSES) - 1}") - F.length(F.regexp_replace(f"rest{len(CLASSES) - 1}", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.length("text").alias("n_chars"),

@@ -22,6 +22,8 @@ def held_out() -> Column:
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, n_words, n_switched of all documents,
+    by a model of those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = language_crf.fit(docs.where(~held_out()), key=F.col("doc_id"))
     return language_crf.predict(docs, model, "doc_id", held_out().alias("held_out"))
@@ -35,32 +37,39 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality_mil.MilModel | No
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_passages, top_passage of all documents."""
     docs = _table(spark, sf_dir, "documents")
     return quality_mil.score(docs, quality_model(spark, sf_dir), "doc_id", held_out().alias("held_out"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of all documents."""
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in sequences of 2048 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links of all documents, by five-word shingles at 0.8."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of all documents."""
     return quality_rules.judge(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best others of every hundredth vector: query_id, rank, vec_id, score."""
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all documents."""
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
@@ -74,6 +83,8 @@ MIX_WEIGHTS = {("d0",): 0.4, ("d1",): 0.3, ("d2",): 0.2, ("d3",): 0.1, **{(f"d{k
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that three seeded epochs at most give to meet the weights,
+    a row for each epoch."""
     docs = _table(spark, sf_dir, "documents").withColumn("domain", domain())
     levels = {"domain": F.col("domain"), "language": F.col("lang"), "source": F.col("source")}
     mixed = mixing.mix(docs, levels, budget_share=1.0, weights=MIX_WEIGHTS, max_epochs=3)
@@ -81,6 +92,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of all documents, read back from the files."""
     path = common.new_path(spark, "token-store")
     token_store.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_store.read_documents(spark, path)
@@ -111,14 +123,17 @@ def _quality_rules_sql(rules: quality_rules.DivergenceRules) -> str:
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{quality_rules.SPACE}'), lambda x: x <> '') AS w,
     ' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', '  ', 'g') || ' ' AS p FROM documents),
+lw AS (SELECT lang, list(w ORDER BY n DESC, w)[1:{n_word - 1}] AS listed FROM (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_filter(regexp_split_to_array(p, ' +'), lambda x: x <> '')) AS w
+    FROM d WHERE lang IS NOT NULL AND lang NOT IN ({", ".join(f"'{x}'" for x in rules.common_words)})) GROUP BY 1, 2) GROUP BY lang),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d))),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY doc_id),
 m AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '{quality_rules.SYMBOLS}', '', 'g')) AS n_symbols,
-    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words, length(t) AS n_chars, [{counts}] AS cc, CASE lang {words} END AS wc
-  FROM d LEFT JOIN r USING (doc_id)),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(r.n, 0) AS n_repeat_words, length(t) AS n_chars, [{counts}] AS cc,
+    CASE lang {words} ELSE list_resize(list_transform(listed, lambda x: (strlen(p) - strlen(replace(p, ' ' || x || ' ', ''))) // (strlen(x) + 2)), {n_word - 1}, 0) END AS wc
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN lw USING (lang)),
 s AS (SELECT *, {share("cc", "n_chars")} AS cs, {share("wc", "n_words")} AS ws FROM m),
-f AS (SELECT lang, {mean("cs", n_class, f"n_chars >= {rules.min_chars}")} AS cr, {mean("ws", n_word, f"n_words >= {rules.min_words}")} AS wr FROM s WHERE wc IS NOT NULL GROUP BY lang),
-j AS (SELECT s.*, CASE WHEN cr IS NOT NULL THEN {js("cs", "cr", n_class)} ELSE (SELECT min({js("s.cs", "f.cr", n_class)}) FROM f) END AS cd, {js("ws", "wr", n_word)} AS wd,
+f AS (SELECT lang, {mean("cs", n_class, f"n_chars >= {rules.min_chars}")} AS cr, {mean("ws", n_word, f"n_words >= {rules.min_words}")} AS wr FROM s WHERE lang IS NOT NULL GROUP BY lang),
+j AS (SELECT s.*, CASE WHEN cr[1] IS NOT NULL THEN {js("cs", "cr", n_class)} END AS cd, CASE WHEN wr[1] IS NOT NULL THEN {js("ws", "wr", n_word)} END AS wd,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s LEFT JOIN f USING (lang))
 SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (n_chars >= {rules.min_chars} AND coalesce(cd > {rules.max_class_distance}, false)) AND NOT (n_words >= {rules.min_words} AND coalesce(wd > {rules.max_word_distance}, false)) AS kept

@@ -170,6 +170,36 @@ def test_divergence_rejects_symbols_and_keeps_prose(docs):
     assert not kept[78] and not kept[71] and not kept[70]
 
 
+def test_kept_matches_brute_force_with_the_rules_as_they_are(docs, rows):
+    rules = quality_rules.DivergenceRules()
+
+    def shares(counts, total):
+        return [c / max(total, 1) for c in [*counts, total - sum(counts)]]
+
+    def distance(p, q):
+        term = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(sum(term(a, (a + b) / 2) + term(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2, 0))
+
+    seen = []
+    for i, t, lang, *_ in rows:
+        t = t or ""
+        words, letters = re.findall(r"[^\x20\x09-\x0D]+", t), Counter(re.findall(r"[^\W\d_]+", t.lower()))
+        words_share = shares([letters[w] for w in rules.common_words[lang]], len(words)) if lang else None
+        seen.append((i, lang, t, len(words), shares([len(re.findall(c, t)) for c in quality_rules.CLASSES], len(t)), words_share))
+    mean = lambda own: [sum(x) / len(own) for x in zip(*own, strict=True)] if own else None
+    by_class = {k: mean([s[4] for s in seen if s[1] == k and len(s[2]) >= rules.min_chars]) for k in ("en", "de", "fr")}
+    by_word = {k: mean([s[5] for s in seen if s[1] == k and s[3] >= rules.min_words]) for k in ("en", "de", "fr")}
+    expected = []
+    for i, lang, t, n, c, w in seen:
+        m = measured(t)
+        odd = lang and len(t) >= rules.min_chars and distance(c, by_class[lang]) > rules.max_class_distance
+        odd = odd or lang and n >= rules.min_words and distance(w, by_word[lang]) > rules.max_word_distance
+        expected.append((i, not (m[0] < 10 or 100 * m[4] > 20 * m[0] or odd)))
+    got = [(r["doc_id"], r["kept"]) for r in quality_rules.judge(docs).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert 10 < sum(k for _, k in got) < len(got)
+
+
 def test_every_language_has_its_own_reference(spark):
     import random
 
