@@ -401,7 +401,7 @@ def _cut(with_text: bool):
     return results
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
     """(doc_id, version, first, end): ranges of repeated bytes, not yet merged.
 
     ``docs`` has doc_id, text and version, which tells rows apart that share an
@@ -409,8 +409,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """
     found = docs.select("doc_id", "version", "text").mapInArrow(_suffixes, "name long, doc_id long, version long, at int, kind byte")
     kept = found.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "doc_id long, version long, at int")
-    # A set, for repeated rows give a position more than once.
-    places = common.written(kept.groupBy("doc_id", "version").agg(F.collect_set("at").alias("at")), "suffix-places")
+    gathered = F.collect_set("at") if repeated_ids else F.collect_list("at")
+    places = common.written(kept.groupBy("doc_id", "version").agg(gathered.alias("at")), "suffix-places")
 
     named = docs.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "at").mapInArrow(_contexts, "ua long, ub long, doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
     ranked = named.repartition("ua").sortWithinPartitions("ua", "ub").mapInArrow(_ranked(_CONTEXT, _first_of_context), "doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
@@ -444,6 +444,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared_ids = not own.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
     own = own.withColumn("version", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
-    runs = repeated_runs(own.where("doc_id is not null")).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    runs = repeated_runs(own.where("doc_id is not null"), shared_ids).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     last = "kept binary" if with_text else "kept_sha256 string"
     return own.join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
