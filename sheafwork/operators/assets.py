@@ -36,8 +36,9 @@ def page_fonts(assets: DataFrame, sheets: DataFrame) -> DataFrame:
     """The assets and the fonts of each page's first 20 style sheets, new ones
     after those the page names.  ``assets`` has (page_id, kind, ord, url)."""
     linked = assets.where((F.col("kind") == "css") & (F.col("ord") < MAX_SHEETS)).select("page_id", F.col("ord").alias("sheet"), F.col("url").alias("css_url"))
-    more = linked.join(sheet_fonts(sheets), "css_url").select("page_id", F.lit("fonts").alias("kind"), (F.lit(1 << 16) + F.col("sheet") * 1024 + F.col("ord")).alias("ord"), "url")
-    every = assets.unionByName(more).groupBy("page_id", "kind", "url").agg(F.min("ord").alias("ord"))
+    more = linked.join(sheet_fonts(sheets), "css_url").select("page_id", F.lit("fonts").alias("kind"), F.struct(F.lit(1).alias("a"), F.col("sheet").alias("b"), F.col("ord").alias("c")).alias("ord"), "url")
+    own = assets.select("page_id", "kind", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("ord").alias("c")).alias("ord"), "url")
+    every = own.unionByName(more).groupBy("page_id", "kind", "url").agg(F.min("ord").alias("ord"))
     place = Window.partitionBy("page_id", "kind").orderBy("ord")
     return every.select("page_id", "kind", (F.row_number().over(place) - 1).alias("ord"), "url")
 
@@ -95,7 +96,23 @@ def download_plan(fetches: DataFrame, *, kinds: tuple[str, ...] = KINDS[:5], max
 
 def unique_names(named: DataFrame) -> DataFrame:
     """``name`` made unique within (page_id, kind): the second and later ones
-    get -1, -2, ... before the suffix, passing over names that are there."""
+    get -1, -2, ... before the suffix, passing over names that are there.
+
+    A repeat's number is its place among those of its name.  Only folders where
+    a name so made is there already go name by name.
+    """
+    stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    again = F.row_number().over(Window.partitionBy("page_id", "kind", "name").orderBy("ord", "url"))
+    numbered = named.select("page_id", "kind", F.col("ord").cast("int").alias("ord"), "url", "name", again.alias("k"))
+    made = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), F.col("k") - 1, F.substring("name", F.length(stem) + 1, F.length("name"))))
+    numbered = numbered.select("page_id", "kind", "ord", "url", "name", made.alias("path"))
+    twice = numbered.groupBy("page_id", "kind", "path").count().where("count > 1").select("page_id", "kind").distinct()
+    clear = numbered.join(twice, ["page_id", "kind"], "left_anti")
+    return clear.unionByName(_one_by_one(named.join(twice, ["page_id", "kind"], "left_semi")))
+
+
+def _one_by_one(named: DataFrame) -> DataFrame:
+    """The rule of :func:`unique_names` as a fold over each folder's names."""
     rows = named.groupBy("page_id", "kind").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "name"))).alias("rows"))
     taken = "array<struct<ord:int,url:string,name:string,path:string>>"
 

@@ -44,13 +44,13 @@ def fused(hits: DataFrame, max_results: int = 10, *, by: str = "query") -> DataF
     ``hits`` has (query, provider_ord, rank from 0, title, url, snippet,
     source).  Hits meet by canonical URL; each occurrence adds 1/(60+rank+1),
     in order; the longest title and snippet stay, of equals the first, and the
-    first URL.  Scores that tie go by key.  One shuffle, by query: it serves
-    the grouping by (query, key) and the window.
+    first URL.  Scores that tie go by key.  Hits are grouped by (query, key), so
+    that a query with very many is dealt out; then each query's best meet.
     """
     order = F.col("provider_ord").cast("long") * _STEP + F.col("rank")
     own = hits.select(by, canonical(F.col("url")).alias("key"), order.alias("o"), (1 / (RRF_K + F.col("rank") + 1)).alias("part"), F.coalesce("title", F.lit("")).alias("title"), "url", F.coalesce("snippet", F.lit("")).alias("snippet"), F.coalesce("source", F.lit("")).alias("source"))
     longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col("o")))
-    grouped = own.repartition(by).groupBy(by, "key").agg(
+    grouped = own.groupBy(by, "key").agg(
         F.array_sort(F.collect_list(F.struct("o", "part", "source"))).alias("rows"),
         longest("title").alias("title"),
         longest("snippet").alias("snippet"),

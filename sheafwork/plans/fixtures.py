@@ -23,11 +23,12 @@ SELECT h.user_id AS query, h.event_type AS provider,
 FROM (SELECT *, (event_id * 31) % (SELECT count(*) FROM pages) AS at FROM events) h JOIN pages p ON p.page_id = h.at
 """
 
+#: Whole pages; one in six is a capture that broke off.
 FETCH_ATTEMPTS = """
 SELECT e.event_id AS attempt_id, e.ts, p.url,
   CASE e.event_type WHEN 'error' THEN 'relay' WHEN 'view' THEN 'browser' ELSE 'direct' END AS backend,
   CAST(CASE WHEN e.event_id % 17 = 0 THEN NULL WHEN e.event_id % 7 = 0 THEN 403 WHEN e.event_id % 29 = 0 THEN 999 ELSE 200 END AS INT) AS status,
-  CASE WHEN e.event_id % 5 = 0 THEN '<title>Just a moment...</title>' ELSE '' END || substring(p.html, 1, CAST(100 + e.event_id % 2000 AS INT)) AS body,
+  CASE WHEN e.event_id % 5 = 0 THEN '<title>Just a moment...</title>' ELSE '' END || CASE WHEN e.event_id % 6 = 0 THEN substring(p.html, 1, CAST(100 + e.event_id % 2000 AS INT)) ELSE p.html END AS body,
   CASE WHEN e.event_id % 23 = 0 THEN 'challenge' WHEN e.event_id % 31 = 0 THEN 'none' END AS cf_mitigated
 FROM (SELECT *, (event_id * 31) % (SELECT count(*) FROM pages) AS at FROM events) e JOIN pages p ON p.page_id = e.at
 """

@@ -122,30 +122,34 @@ def provider_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.read_hits(_payloads(X.derived(spark, sf_dir, X.SEARCH_HITS)), 10)
 
 
+#: Providers that many users lack: there is one for each rank of a list.
+_ASKED = ("click-12", "error-13", "purchase-14")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    hits = X.derived(spark, sf_dir, X.SEARCH_HITS).where("query % 5 <> 0 and rank % 2 = 0")
-    names = fusion.requested(F.lit(" Click, error ,purchase,NEW,click"))
+    hits = X.derived(spark, sf_dir, X.SEARCH_HITS).withColumn("provider", F.concat("provider", F.lit("-"), "rank"))
+    names = fusion.requested(F.lit(" Click-12, error-13 ,purchase-14,NEW,click-12"))
     asked = _table(spark, sf_dir, "events").select(F.col("user_id").alias("query")).distinct().select("query", F.posexplode(names).alias("provider_ord", "provider"))
-    errors = asked.where("query % 3 = 0 and provider = 'error'").select("query", "provider", F.lit("Timeout: slow").alias("error"))
+    errors = asked.where("query % 3 = 0 and provider = 'error-13'").select("query", "provider", F.lit("Timeout: slow").alias("error"))
     return asked, hits, errors
 
 
 _OUTCOMES = f"""
-a AS (SELECT q.query, p.provider, CAST(p.o AS INT) AS provider_ord FROM (SELECT DISTINCT user_id AS query FROM events) q, (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('new', 3)) p(provider, o)),
-n AS (SELECT query, provider, count(*) AS n FROM ({X.SEARCH_HITS}) WHERE query % 5 <> 0 AND rank % 2 = 0 GROUP BY 1, 2),
-o AS (SELECT a.*, CASE WHEN a.provider = 'new' THEN 'unknown-provider' WHEN a.query % 3 = 0 AND a.provider = 'error' THEN 'Timeout: slow' WHEN n.n IS NULL THEN 'no-results' END AS reason FROM a LEFT JOIN n USING (query, provider))
+a AS (SELECT q.query, p.provider, CAST(p.o AS INT) AS provider_ord FROM (SELECT DISTINCT user_id AS query FROM events) q, (VALUES ('click-12', 0), ('error-13', 1), ('purchase-14', 2), ('new', 3)) p(provider, o)),
+n AS (SELECT query, provider || '-' || rank AS provider, count(*) AS n FROM ({X.SEARCH_HITS}) GROUP BY 1, 2),
+o AS (SELECT a.*, CASE WHEN a.provider = 'new' THEN 'unknown-provider' WHEN a.query % 3 = 0 AND a.provider = 'error-13' THEN 'Timeout: slow' WHEN n.n IS NULL THEN 'no-results' END AS reason FROM a LEFT JOIN n USING (query, provider))
 """
 
 
 @query(f"WITH {_OUTCOMES} SELECT * FROM o")
 def provider_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.outcomes(*_asked(spark, sf_dir), tuple(_PAYLOAD_NAMES))
+    return fusion.outcomes(*_asked(spark, sf_dir), _ASKED)
 
 
 @query(f"""WITH {_OUTCOMES} SELECT query, 'all search providers failed for ''' || query || ''' -> ' || string_agg(provider || ': ' || reason, '; ' ORDER BY provider_ord) AS message
   FROM o GROUP BY query HAVING count(*) = count(reason)""")
 def failed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.failures(fusion.outcomes(*_asked(spark, sf_dir), tuple(_PAYLOAD_NAMES)))
+    return fusion.failures(fusion.outcomes(*_asked(spark, sf_dir), _ASKED))
 
 
 @query()
@@ -194,12 +198,28 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", urls.file_name(F.col("url"), mime, given).alias("name"))
 
 
-@query("""WITH a AS (SELECT page_id % 20 AS page_id, 'images' AS kind, CAST(page_id AS INT) AS ord, 'f' || (page_id % 3) || '.png' AS name FROM pages)
-  SELECT page_id, kind, ord, name, regexp_replace(name, '[.]png$', '') || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END || '.png' AS path
+@query(f"""WITH a AS (SELECT page_id, kind, ord, 'f' || (ord % 3) || '.bin' AS name FROM ({X.ASSET_FETCHES}))
+  SELECT page_id, kind, ord, name, 'f' || (ord % 3) || CASE WHEN k > 1 THEN '-' || (k - 1) ELSE '' END || '.bin' AS path
   FROM (SELECT *, row_number() OVER (PARTITION BY page_id, kind, name ORDER BY ord) AS k FROM a)""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("page_id"), F.lit("images").alias("kind"), F.col("page_id").cast("int").alias("ord"), "url", F.format_string("f%d.png", F.col("page_id") % 3).alias("name"))
-    return assets.unique_names(named).drop("url")
+    fetched = X.derived(spark, sf_dir, X.ASSET_FETCHES)
+    return assets.unique_names(fetched.select("page_id", "kind", "ord", "url", F.format_string("f%d.bin", F.col("ord") % 3).alias("name"))).drop("url")
+
+
+# ---- pages as text --------------------------------------------------
+
+_NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _unescape(t: str) -> str:
+    for name, c in _NAMED:
+        t = f"replace({t}, '{name}', '{c}')"
+    return t
+
+
+_TEXT = _unescape(r"regexp_replace(regexp_replace({html}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g')")
+#: The text of a page, with {html} for the column.
+_PLAIN = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(160))"
 
 
 # ---- responses and captures ------------------------------------------------------
@@ -257,12 +277,14 @@ def domain_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.domain_memory(capture.judged(X.fetch_attempts(spark, sf_dir)))
 
 
-@query(f"""WITH {_CHOICE} SELECT a.url, a.url AS final_url, strftime(a.ts, '%Y-%m-%dT%H:%M:%SZ') AS fetched_at, a.backend, a.status, length(a.body) AS chars, a.body AS text
-  FROM c JOIN ({X.FETCH_ATTEMPTS}) a ON a.attempt_id = c.attempt_id WHERE NOT c.thin""")
+@query(rf"""WITH {_CHOICE}, p AS (SELECT a.url, a.ts, a.backend, a.status, a.body, {_PLAIN.format(html="a.body")} AS plain FROM c JOIN ({X.FETCH_ATTEMPTS}) a ON a.attempt_id = c.attempt_id WHERE NOT c.thin)
+  SELECT url, url AS final_url, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS fetched_at, backend, status, length(CASE WHEN backend = 'relay' THEN body ELSE plain END) AS chars, CASE WHEN backend = 'relay' THEN body ELSE plain END AS text FROM p""")
 def page_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relay's body is text already; of the others' the page's text is kept."""
     log = X.fetch_attempts(spark, sf_dir)
     rows = capture.bodies(capture.selected(capture.judged(log)), log)
-    clean = rows.withColumn("s", text.scrubbed(F.col("body")))
+    own = rows.withColumn("own", F.when(F.col("backend") == "relay", F.col("body")).otherwise(html.plain_text(F.col("body"))))
+    clean = own.withColumn("s", text.scrubbed(F.col("own")))
     return sinks.receipts(clean.select("url", F.lit(None).cast("string").alias("final_url"), F.col("ts").alias("fetched_at"), "backend", "status", "s.text", "s.findings"))
 
 
@@ -320,19 +342,7 @@ def scrub_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- pages ------------------------------------------------------------------------
 
-_NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-
-def _unescape(t: str) -> str:
-    for name, c in _NAMED:
-        t = f"replace({t}, '{name}', '{c}')"
-    return t
-
-
-_TEXT = _unescape(r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g')")
-
-
-@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace({_TEXT}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(160)) AS text FROM pages")
+@query(f"SELECT page_id, {_PLAIN.format(html='html')} AS text FROM pages")
 def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html.plain_text(F.col("html")).alias("text"))
 
@@ -597,7 +607,12 @@ def _landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-")
     base = f"{top}/landing-{uuid.uuid4().hex}"
     X.fetch_attempts(spark, sf_dir).repartitionByRange(4, "attempt_id").write.parquet(f"{base}/in")
     return landing.landing(spark, f"{base}/in", files_per_trigger=1), base
