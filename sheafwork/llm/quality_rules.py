@@ -44,9 +44,19 @@ def _let(value: Column, body) -> Column:
 
 def repeated_words(words: Column, n: int = 5) -> Column:
     """Words that lie in an ``n``-word window found twice or more, the first
-    included.  Windows are compared by 64-bit hashes; equal ones are found by
-    sorting, so a long text costs n log n."""
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n)))
+    included.  Windows are compared by 64-bit hashes, made of those of two
+    shorter windows at an offset, so each word is hashed once; equal ones are
+    found by sorting, so a long text costs n log n."""
+
+    def joined(h: Column, offset: int) -> Column:
+        return _let(h, lambda h: F.zip_with(h, F.slice(h, offset + 1, F.size(words)), lambda a, b: F.xxhash64(a, b)))
+
+    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while width < n:
+        longer = min(2 * width, n)
+        hashes, width = joined(hashes, longer - width), longer
+    # The last n - 1 are of windows that reach over the end.
+    hashes = F.slice(hashes, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
@@ -63,11 +73,12 @@ def repeated_words(words: Column, n: int = 5) -> Column:
 
 
 def _share(counts: list[Column], total: Column) -> Column:
-    """Shares of the counts and of what is left of the total."""
-    rest = total
-    for c in counts:
-        rest = rest - c
-    return F.array(*((c / F.greatest(total, F.lit(1))).cast("double") for c in [*counts, rest]))
+    """Shares of the counts and of what is left of the total, each count
+    computed once."""
+    whole = F.greatest(total, F.lit(1))
+    rest = lambda c: F.aggregate(c, total.cast("long"), lambda left, x: left - x)
+    shares = lambda c: F.transform(F.array_append(c, rest(c)), lambda x: (x / whole).cast("double"))
+    return _let(F.array(*(c.cast("long") for c in counts)), shares)
 
 
 def _padded(text: Column) -> Column:
