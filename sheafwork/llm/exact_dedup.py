@@ -46,7 +46,8 @@ def candidates(table: DataFrame) -> DataFrame:
     """(code): xxhash64 of digests that may be heavy, CANDIDATES rows at most."""
     coded = table.select(F.xxhash64("digest").alias("code"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("way"))
     some = coded.groupBy("way").agg(F.expr(f"approx_top_k_accumulate(code, {COUNTERS})").alias("sketch"))
-    whole = some.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    # Grouped by what is the same in all rows: without a group the sketch of an empty partition cannot be merged.
+    whole = some.groupBy(F.col("way") < 0).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     return whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {CANDIDATES})")).alias("found")).select(F.col("found.item").alias("code"))
 
 

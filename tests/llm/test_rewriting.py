@@ -211,4 +211,9 @@ def test_heavy_digests_are_found_and_bounded(spark):
     found = {r.group_size for r in exact_dedup.heavy(table).collect()}
     assert {20_000} <= found and all(n >= 60 for n in found) and len(found) == 2
     assert exact_dedup.candidates(table).count() <= exact_dedup.CANDIDATES
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", "90")
+    wide.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    many = exact_dedup.digests(wide.createDataFrame([(k, "same") for k in range(300)], "doc_id long, text string").repartition(40))
+    assert [r.group_size for r in exact_dedup.heavy(many).collect()] == [300]
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
