@@ -192,14 +192,14 @@ def _list_bounds(lists: pa.Array) -> np.ndarray:
 
 
 #: What a row of the first sort is: an occurrence; one that shares its name with
-#: another document of its own batch, and so need not be sorted; one
-#: occurrence that stands for these in the sort.
+#: another document of its own batch, and so need not be sorted; one of
+#: two rows, with the least and the greatest id, that stand for these in the sort.
 _PLAIN, _SURE, _STANDS = 0, 1, 2
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, doc_id, version, at, kind) of picked positions.  A name that many documents
-    of a batch share is sent once: a hot one costs a row for each batch."""
+    of a batch share is sent twice: a hot one costs two rows for each batch."""
     for batch in batches:
         for part in _batches(batch):
             texts = Texts(part["text"])
@@ -211,14 +211,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(names, kind="stable")
             names, ids, versions, at = names[order], ids[order], versions[order], (at - texts.bounds[owner])[order]
             start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-            shared = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
+            low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
+            shared = low != high
             sure = np.repeat(shared, np.diff(np.append(start, len(names))))
-            stands = start[shared]
+            # Both ends of the range of ids: either may be the one that another batch lacks.
+            stands, ends = np.repeat(start[shared], 2), np.stack([low[shared], high[shared]], 1).ravel()
             spread = _mix(ids.view(np.uint64) * _C1 + at.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
                     _long(np.concatenate([np.where(sure, spread, names), names[stands]])),
-                    _long(np.concatenate([ids, ids[stands]])),
+                    _long(np.concatenate([ids, ends])),
                     _long(np.concatenate([versions, versions[stands]])),
                     pa.array(np.concatenate([at, at[stands]]).astype(np.int32)),
                     pa.array(np.concatenate([np.where(sure, _SURE, _PLAIN), np.full(len(stands), _STANDS)]).astype(np.int8)),

@@ -309,3 +309,22 @@ def test_pipeline_stages(spark, docs, tmp_path):
     pieces = pipeline.STAGES[-1][1](spark, now, base)
     assert pieces.where("start = 0").count() == now.count()
     assert pipeline.run(spark, base).count() == pieces.count()
+
+
+def test_substring_removal_of_an_id_in_two_batches(spark):
+    """A name that two documents of a batch share must meet the same id elsewhere."""
+    p = "".join(chr(97 + (k * k + 7 * k) % 26) for k in range(400))
+    here, there = [(5, "A" * 60 + p), (1, "B" * 60 + p)], [(5, "C" * 60 + p)]
+    schema = "doc_id long, text string"
+    frame = spark.createDataFrame(here, schema).coalesce(1).unionByName(spark.createDataFrame(there, schema).coalesce(1))
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect())
+    assert got == sorted(removed(here + there)) and [g[2] for g in got] == [0, 400, 400]
+
+
+@pytest.mark.parametrize(("seed", "parts"), [(1, 3), (2, 9)])
+def test_substring_removal_with_repeated_ids_over_partitions(spark, seed, parts):
+    draw = np.random.default_rng(seed)
+    shared = ["".join(draw.choice(list("abcdefgh"), 90)) for _ in range(8)]
+    rows = [(int(draw.integers(0, 9)), "".join(draw.choice(list("uvwxyz"), draw.integers(0, 50))) + "".join(draw.choice(shared, draw.integers(0, 4)))) for _ in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect()) == sorted(removed(rows))
