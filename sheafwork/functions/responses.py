@@ -107,8 +107,8 @@ def is_thin(text: Column, allow_thin: Column | None = None, least: int = MIN_CHA
     return thin if allow_thin is None else thin & ~F.coalesce(allow_thin, F.lit(False))
 
 
-def thin_reason(text: Column) -> Column:
-    return F.concat(F.lit("thin-"), F.length(F.coalesce(text, F.lit(""))).cast("string"), F.lit("b"))
+def thin_reason(size: Column) -> Column:
+    return F.concat(F.lit("thin-"), size.cast("string"), F.lit("b"))
 
 
 def rejected(backend: Column, status: Column, content_type: Column, body: Column) -> Column:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from urllib.parse import urljoin
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,21 +147,57 @@ def file_name(url: Column, content_type: Column, disposition: Column) -> Column:
     return let(named, lambda n: F.substring(F.when(F.contains(n, F.lit(".")), n).otherwise(F.concat(n, F.coalesce(F.try_element_at(table, kind), F.lit("")))), 1, 120))
 
 
+def _without_dots(segments: Column) -> Column:
+    """A path's segments with ``.`` and ``..`` worked off, by a fold."""
+
+    def step(stack: Column, part: Column) -> Column:
+        popped = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.when(part == "..", popped).when(part == ".", stack).otherwise(F.array_append(stack, part))
+
+    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(F.try_element_at(segments, F.lit(-1)).isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded)
+
+
+def _joined_path(base_path: Column, path: Column) -> Column:
+    """A reference's path seen from a base's: beside its last segment, or from
+    the root.  Empty segments within it go."""
+    before = F.split(base_path, "/")
+    folder = F.when(F.element_at(before, -1) != "", F.slice(before, 1, F.size(before) - 1)).otherwise(before)
+    whole = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(F.concat(folder, F.split(path, "/")))
+
+    def tidy(parts: Column) -> Column:
+        within = F.filter(parts, lambda x, k: (x != "") | (k == 0) | (k == F.size(parts) - 1))
+        return F.array_join(_without_dots(within), "/")
+
+    return let(let(whole, tidy), lambda p: F.when(p == "", F.lit("/")).when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)))
+
+
 def resolved(base: Column, href: Column) -> Column:
-    """The absolute http(s) URL of a reference, else null."""
-
-    def join(b: str | None, h: str | None) -> str | None:
-        if not h:
-            return None
-        try:
-            url = urljoin(b or "", h.strip().strip("'\""))
-        except ValueError:
-            return None
-        return url if url.lower().startswith(("http://", "https://")) else None
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for frame in parts:
-            yield pd.Series([join(b, h) for b, h in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True)], dtype=object)
-
-    return run(F.struct(base.alias("base"), href.alias("href")))
+    """The absolute http(s) URL of a reference as a page writes it, else null.
+
+    White space and quotes around it go, tabs and line breaks within it too.  A
+    reference with another scheme than the base's stands as it is; one with the
+    base's scheme and no authority is relative; an empty authority counts as
+    none, and ``;`` is a character of a path like any other.  Null where the
+    reference is null or empty, or where an authority has half a pair of brackets.
+    """
+    clean = lambda u: F.regexp_replace(F.coalesce(u, F.lit("")), r"[\t\r\n]", "")
+    own = F.regexp_replace(strip(F.regexp_replace(strip(href), r"""^['"]+|['"]+$""", "")), r"[\t\r\n]", "")
+
+    def of(s: Column) -> Column:
+        b, u = s["b"], s["u"]
+        b_scheme, scheme = F.lower(_part(b, 1)), F.lower(_part(u, 1))
+        same = (scheme == "") | (scheme == b_scheme)
+        query, fragment = (F.when(_part(u, n) != "", F.concat(F.lit(mark), _part(u, n))).otherwise(F.lit("")) for n, mark in ((4, "?"), (5, "#")))
+        b_query = F.when(_part(b, 4) != "", F.concat(F.lit("?"), _part(b, 4))).otherwise(F.lit(""))
+        path = _part(u, 3)
+        rooted = lambda p: F.when((p == "") | F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
+        away = F.concat(b_scheme, F.lit("://"), _part(u, 2), rooted(path), query, fragment)
+        here = F.concat(b_scheme, F.lit("://"), _part(b, 2))
+        stays = F.concat(here, rooted(_part(b, 3)), F.when(query != "", query).otherwise(b_query), fragment)
+        moved = F.concat(here, _joined_path(_part(b, 3), path), query, fragment)
+        joined = F.when((b == "") | ~same, u).when(_part(u, 2) != "", away).when(path == "", stays).otherwise(moved)
+        broken = lambda n: F.contains(n, F.lit("[")) != F.contains(n, F.lit("]"))
+        return F.when((u != "") & ~broken(_part(u, 2)) & ~broken(_part(b, 2)) & joined.rlike("(?i)^https?://"), joined)
+
+    return let(F.struct(clean(base).alias("b"), own.alias("u")), of)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.design import MAX_COLORS, colors, fonts
-from ..functions.html import KINDS
+from ..functions.html import KINDS, asset_hrefs
 from ..functions.urls import resolved
+from .streams import fold_sorted
 
 MAX_SHEETS = 20
 MAX_ASSETS = 60
@@ -16,20 +17,27 @@ MAX_BYTES = 50 * 1024 * 1024
 PLAN_ORDER = ("images", "icons", "svg", "css", "fonts", "scripts")
 
 
+def sheet_hrefs(css: Column) -> Column:
+    """The url()s of @font-face blocks as written."""
+    blocks = F.regexp_extract_all(css, F.lit(r"(?i)@font-face\s*\{[^}]*\}"), F.lit(0))
+    return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?i)url\(([^)]+)\)"), F.lit(1))))
+
+
 def sheet_fonts(sheets: DataFrame) -> DataFrame:
     """(css_url, ord, url): every url() of each @font-face block, absolute.
     Done once for each sheet, however many pages share it."""
-    blocks = F.regexp_extract_all("css", F.lit(r"(?i)@font-face\s*\{[^}]*\}"), F.lit(0))
-    hrefs = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?i)url\(([^)]+)\)"), F.lit(1))))
-    rows = sheets.select("css_url", F.posexplode(hrefs).alias("ord", "href"))
+    rows = sheets.select("css_url", F.posexplode(sheet_hrefs(F.col("css"))).alias("ord", "href"))
     return rows.select("css_url", "ord", resolved(F.col("css_url"), F.col("href")).alias("url")).where("url is not null")
 
 
-def sheet_hrefs(css: Column) -> Column:
-    """The url()s of @font-face blocks as written."""
-    blocks = F.regexp_extract_all(css, F.lit(r"(?i)@font-face\s*\{[^}]*\}"), F.lit(0))
-    hrefs = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"(?i)url\(([^)]+)\)"), F.lit(1))))
-    return F.transform(hrefs, lambda h: F.regexp_replace(F.trim(h), r"""^['"]+|['"]+$""", ""))
+def pattern_assets(pages: DataFrame) -> DataFrame:
+    """(page_id, kind, ord, url): assets of pages (page_id, url, html) that patterns
+    find, absolute, unique by kind in the order in which they are found."""
+    found = pages.select("page_id", "url", F.posexplode(asset_hrefs(F.col("html"))).alias("at", "a"))
+    urls = found.select("page_id", F.col("a.kind").alias("kind"), "at", resolved(F.col("url"), F.col("a.href")).alias("url")).where("url is not null")
+    first = urls.groupBy("page_id", "kind", "url").agg(F.min("at").alias("at"))
+    place = Window.partitionBy("page_id", "kind").orderBy("at")
+    return first.select("page_id", "kind", (F.row_number().over(place) - 1).alias("ord"), "url")
 
 
 def page_fonts(assets: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -64,34 +72,63 @@ def wanted_kinds(listed: Column, scripts: Column) -> Column:
     return F.array_distinct(F.when(scripts, F.concat(own, F.array(F.lit("scripts")))).otherwise(own))
 
 
+def _planner(max_assets: int, max_bytes: int):
+    def begin():
+        n = total = 0
+
+        def step(row: dict) -> dict | None:
+            nonlocal n, total
+            if n >= max_assets:
+                return None
+            size = row["bytes"] or 0
+            fits = total + size <= max_bytes
+            if row["ok"] and fits:
+                n, total = n + 1, total + size
+                return {**row, "error": None}
+            return {**row, "bytes": None, "error": "size-cap" if row["ok"] else row["error"] or "failed", "ok": False}
+
+        return step
+
+    return begin
+
+
 def download_plan(fetches: DataFrame, *, kinds: tuple[str, ...] = KINDS[:5], max_assets: int = MAX_ASSETS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(page_id, kind, ord, url, ok, bytes, error) of what a page's download
-    would take, in order of kind and place.
+    """What a page's download would take, in order of kind and place: the columns
+    of ``fetches`` (page_id, kind, ord, url, ok, bytes, error and any others).
 
     A URL counts once; after ``max_assets`` are taken nothing more is looked
     at; one that would pass ``max_bytes`` is refused and the next one is tried.
-    ``fetches`` has (page_id, kind, ord, url, ok, bytes, error).
+    Which one is refused hangs on all before it, so each page's rows are gone
+    through in order, as a stream: the state is two numbers.
     """
     place = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for n, k in enumerate(PLAN_ORDER)), F.lit(len(PLAN_ORDER)))
-    rows = fetches.where(F.col("kind").isin(*kinds)).select("page_id", F.struct(place.alias("place"), F.col("ord"), F.col("kind"), F.col("url"), F.col("ok"), F.col("bytes"), F.col("error")).alias("r"))
-    once = rows.groupBy("page_id", "r.url").agg(F.min("r").alias("r"))
-    lists = once.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    out = "array<struct<kind:string,ord:int,url:string,ok:boolean,bytes:bigint,error:string>>"
-
-    def step(s: Column, r: Column) -> Column:
-        fits = s["bytes"] + F.coalesce(r["bytes"], F.lit(0)) <= max_bytes
-        taken = F.coalesce(r["ok"], F.lit(False)) & fits
-        error = F.when(~F.coalesce(r["ok"], F.lit(False)), F.coalesce(r["error"], F.lit("failed"))).when(~fits, F.lit("size-cap"))
-        row = F.struct(r["kind"].alias("kind"), r["ord"].cast("int").alias("ord"), r["url"].alias("url"), taken.alias("ok"), F.when(taken, r["bytes"].cast("long")).alias("bytes"), error.alias("error"))
-        go = s["n"] < max_assets
-        return F.struct(
-            F.when(go & taken, s["n"] + 1).otherwise(s["n"]).alias("n"),
-            F.when(go & taken, s["bytes"] + r["bytes"]).otherwise(s["bytes"]).alias("bytes"),
-            F.when(go, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast(out).alias("out"))
-    return lists.select("page_id", F.inline(F.aggregate("rows", zero, step, lambda s: s["out"])))
+    rows = fetches.where(F.col("kind").isin(*kinds)).withColumn("_place", place)
+    first = F.struct("_place", "ord", "kind", "ok", "bytes", "error")
+    once = rows.groupBy("page_id", "url").agg(F.min_by(F.struct(*rows.columns), first).alias("r")).select("r.*")
+    types = fetches.select(*(F.col(c).cast("boolean" if c == "ok" else "bigint" if c == "bytes" else t).alias(c) for c, t in fetches.dtypes)).schema
+    return fold_sorted(once.withColumn("bytes", F.col("bytes").cast("bigint")), ["page_id"], ["_place", "ord"], _planner(max_assets, max_bytes), types)
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def _namer():
+    """A folder's names in order: what is taken, and for each name the number
+    from which a free one is looked for; lower ones stay taken."""
+    taken, numbers = set(), {}
+
+    def step(row: dict) -> dict:
+        path = row["name"]
+        if path in taken:
+            stem, k = row["stem"], numbers.get(path, 1)
+            while (path := f"{stem}-{k}{row['name'][len(stem) :]}") in taken:
+                k += 1
+            numbers[row["name"]] = k + 1
+        taken.add(path)
+        return {**{c: row[c] for c in ("page_id", "kind", "ord", "url", "name")}, "path": path}
+
+    return step
 
 
 def unique_names(named: DataFrame) -> DataFrame:
@@ -99,32 +136,16 @@ def unique_names(named: DataFrame) -> DataFrame:
     get -1, -2, ... before the suffix, passing over names that are there.
 
     A repeat's number is its place among those of its name.  Only folders where
-    a name so made is there already go name by name.
+    a name so made is there already are gone through in order, as a stream.
     """
-    stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
     again = F.row_number().over(Window.partitionBy("page_id", "kind", "name").orderBy("ord", "url"))
-    numbered = named.select("page_id", "kind", F.col("ord").cast("int").alias("ord"), "url", "name", again.alias("k"))
-    made = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), F.col("k") - 1, F.substring("name", F.length(stem) + 1, F.length("name"))))
-    numbered = numbered.select("page_id", "kind", "ord", "url", "name", made.alias("path"))
+    numbered = named.select("page_id", "kind", F.col("ord").cast("int").alias("ord"), "url", "name", again.alias("k"), _stem(F.col("name")).alias("stem"))
+    made = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("stem", F.lit("-"), F.col("k") - 1, F.substring("name", F.length("stem") + 1, F.length("name"))))
+    numbered = numbered.select("page_id", "kind", "ord", "url", "name", made.alias("path"), "stem")
     twice = numbered.groupBy("page_id", "kind", "path").count().where("count > 1").select("page_id", "kind").distinct()
-    clear = numbered.join(twice, ["page_id", "kind"], "left_anti")
-    return clear.unionByName(_one_by_one(named.join(twice, ["page_id", "kind"], "left_semi")))
-
-
-def _one_by_one(named: DataFrame) -> DataFrame:
-    """The rule of :func:`unique_names` as a fold over each folder's names."""
-    rows = named.groupBy("page_id", "kind").agg(F.array_sort(F.collect_list(F.struct("ord", "url", "name"))).alias("rows"))
-    taken = "array<struct<ord:int,url:string,name:string,path:string>>"
-
-    def step(s: Column, r: Column) -> Column:
-        paths = F.transform(s, lambda x: x["path"])
-        stem = F.regexp_replace(r["name"], r"(?<=.)\.[^.]*$", "")
-        suffix = F.substring(r["name"], F.length(stem) + 1, F.length(r["name"]))
-        other = F.transform(F.sequence(F.lit(1), F.size(s) + 1), lambda k: F.concat(stem, F.lit("-"), k.cast("string"), suffix))
-        path = F.when(F.array_contains(paths, r["name"]), F.filter(other, lambda o: ~F.array_contains(paths, o))[0]).otherwise(r["name"])
-        return F.concat(s, F.array(F.struct(r["ord"].cast("int").alias("ord"), r["url"].alias("url"), r["name"].alias("name"), path.alias("path"))))
-
-    return rows.select("page_id", "kind", F.inline(F.aggregate("rows", F.array().cast(taken), step)))
+    clear = numbered.join(twice, ["page_id", "kind"], "left_anti").drop("stem")
+    clashing = numbered.join(twice, ["page_id", "kind"], "left_semi").drop("path")
+    return clear.unionByName(fold_sorted(clashing, ["page_id", "kind"], ["ord", "url"], _namer, clear.schema))
 
 
 def manifests(pages: DataFrame, assets: DataFrame, plan: DataFrame) -> DataFrame:

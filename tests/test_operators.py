@@ -1,7 +1,8 @@
 """Operators on small examples of our own."""
 
 import json
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -109,6 +110,46 @@ def test_memory(spark):
     assert rows(capture.domain_memory(judged)) == [("a.com", "direct")]
 
 
+def test_captures_are_judged_by_their_text(spark):
+    """A page of 3 kB may hold 100 characters of text."""
+    head, script = "<html><head><script>" + "var x = 1;" * 150 + "</script><style>", "p{color:red}" * 100 + "</style></head>"
+    shell = head + script + "<body><div class='wrap'>" + "t" * 100 + "</div></body></html>"
+    full = "<p>" + "&amp;" * 600 + "</p>"
+    log = attempts(spark, [("https://a.com", "direct", 200, shell, {}), ("https://a.com", "browser", 200, full, {}), ("https://b.com", "relay", 200, shell, {}), ("https://c.com", "direct", 200, shell + "px-captcha", {}), ("https://d.com", "direct", 200, shell, {}), ("https://e.com", "direct", 200, None, None)])
+    assert len(shell) > 2800
+    ledger = capture.ledger(log)
+    assert rows(ledger.select("attempt_id", "size", "reason"), "attempt_id") == [(0, 100, "thin-100b"), (1, 600, None), (2, len(shell), None), (3, None, "challenge"), (4, 100, "thin-100b"), (5, 0, "thin-0b")]
+    got = {r["url"]: r for r in capture.selected(ledger).collect()}
+    assert (got["https://a.com"]["attempt_id"], got["https://a.com"]["trace"]) == (1, "direct: thin-100b")
+    assert got["https://d.com"]["attempt_id"] is None
+    best = capture.texts(capture.selected(ledger, allow_thin=True), log)
+    assert {r["url"]: r["text"] for r in best.collect()}["https://d.com"] == "t" * 100
+    assert rows(capture.domain_memory(ledger), "domain") == [("a.com", "browser"), ("b.com", "relay")]
+
+
+def test_a_person_comes_last(spark):
+    page = lambda n: "<p>" + "y" * n + "</p>"
+    log = attempts(
+        spark,
+        [
+            ("https://a.com", "direct", 200, page(80), {}),
+            ("https://a.com", "human", 200, page(700), {}),
+            ("https://b.com", "direct", 200, page(80), {}),
+            ("https://b.com", "human", 200, page(80), {}),
+            ("https://c.com", "direct", 200, page(80), {}),
+            ("https://c.com", "human", 200, page(81), {}),
+            ("https://d.com", "direct", 200, page(900), {}),
+            ("https://d.com", "human", 200, page(950), {}),
+            ("https://e.com", "human", 200, "px-captcha" + page(900), {}),
+            ("https://f.com", "human", 200, "", {}),
+        ],
+    )
+    ledger = capture.ledger(log, ladder=("direct", "relay", "browser", "human"))
+    got = {r["url"][8]: (r["attempt_id"], r["thin"], r["trace"]) for r in capture.selected(ledger, allow_thin=True).collect()}
+    assert got == {"a": (1, False, "direct: thin-80b"), "b": (2, True, "direct: thin-80b"), "c": (5, True, "direct: thin-80b"), "d": (6, False, ""), "e": (None, False, ""), "f": (None, False, "")}
+    assert rows(capture.domain_memory(ledger)) == [("d.com", "direct")]
+
+
 def test_chat_first(spark):
     shared = spark.createDataFrame([("u1", "claude", "md")], "url string, provider string, markdown string")
     pages = spark.createDataFrame([("u1", "direct", 200, "page"), ("u2", "relay", 200, "p2")], "url string, backend string, status int, text string")
@@ -127,6 +168,36 @@ def test_download_plan_skips_and_goes_on(spark):
     assert got[2]["found"]["images"] == 0 and got[2]["downloaded"] == 0
 
 
+def test_a_page_of_very_many_fetches(spark):
+    """A batch and two numbers are all that a worker holds."""
+    n = 1_000_000
+    fetches = spark.range(n).selectExpr("1L AS page_id", "'images' AS kind", "CAST(id AS INT) AS ord", "concat('u', id) AS url", "id % 5 <> 0 AS ok", "IF(id % 1000 = 1, 900000L, 10L) AS bytes", "CAST(NULL AS STRING) AS error")
+    plan = assets.download_plan(fetches, max_assets=n, max_bytes=5_000_000)
+    taken = total = capped = 0
+    for k in range(n):
+        size = 900000 if k % 1000 == 1 else 10
+        if k % 5 and total + size <= 5_000_000:
+            taken, total = taken + 1, total + size
+        elif k % 5:
+            capped += 1
+    assert plan.agg(F.count_if("ok"), F.sum("bytes"), F.count_if(F.col("error") == "size-cap"), F.count("*")).first() == (taken, total, capped, n)
+
+
+def test_names_that_clash(spark):
+    draw = random.Random(6)
+    given = [(draw.randrange(3), "css", k, f"u{k}", draw.choice(["a", "a-1", "a-1-1", "a-2", "b.x.y", "b.x-1.y", ".h", "c-3"]) + draw.choice(["", ".png", ".png"])) for k in range(300)]
+    want, taken = {}, set()
+    for page, kind, k, _, name in given:
+        stem, suffix = (name.rsplit(".", 1)[0], "." + name.rsplit(".", 1)[1]) if "." in name[1:] else (name, "")
+        path, i = name, 1
+        while (page, path) in taken:
+            path, i = f"{stem}-{i}{suffix}", i + 1
+        taken.add((page, path))
+        want[k] = path
+    named = spark.createDataFrame(given, "page_id long, kind string, ord int, url string, name string").repartition(5)
+    assert {r["ord"]: r["path"] for r in assets.unique_names(named).collect()} == want
+
+
 def test_names_and_sheets(spark):
     named = spark.createDataFrame([(1, "images", k, f"u{k}", n) for k, n in enumerate(["a.png", "a-1.png", "a.png", "a.png", "b"])], "page_id long, kind string, ord int, url string, name string")
     assert [r["path"] for r in assets.unique_names(named).orderBy("ord").collect()] == ["a.png", "a-1.png", "a-2.png", "a-3.png", "b"]
@@ -206,13 +277,28 @@ def test_scorecard(spark):
     assert [r["ok"] for r in scored.orderBy("name").collect()] == [True, True, False, False]
     assert [r["error"] for r in scored.orderBy("name").collect()] == [None, None, "thin content (10 < 500 chars)", "e" * 200]
     totals = scorecard.summary(scored)
-    assert rows(totals, "kind", "name") == [("all", None, 2, 4, 0.5), ("category", "x", 2, 2, 1.0), ("category", "y", 0, 2, 0.0), ("tier", "direct", 1, 1, 1.0), ("tier", "relay", 1, 1, 1.0)]
+    assert rows(totals.drop("first"), "kind", "name") == [("all", None, 2, 4, 0.5), ("category", "x", 2, 2, 1.0), ("category", "y", 0, 2, 0.0), ("tier", "direct", 1, 1, 1.0), ("tier", "relay", 1, 1, 1.0)]
     assert scorecard.card(totals).first()[0].split("\n") == ["Read **2/4** pages (**50%**).", "", "## Which tier carried it", "", "- `direct`: 1", "- `relay`: 1", "", "## By category", "", "- `x`: 2/2 (100%)", "- `y`: 0/2 (0%)"]
     assert "| d | y | no | — | 0 |" in [r["line"] for r in scorecard.page_lines(scored).collect()]
     docs = spark.createDataFrame([("s", "system prompt, system prompt"), ("t", "fine")], "source string, text string")
     assert rows(scorecard.injection_rollup(docs), F.col("source").asc_nulls_first(), F.col("pattern").asc_nulls_first()) == [(None, None, 1, 2), ("s", None, 1, 2), ("s", 4, 1, 2)]
 
 
+def test_whole_scorecard(spark, tmp_path):
+    """Of tiers that read as much the first seen comes first."""
+    cases = spark.createDataFrame([("a", "u1", "x", "", False, 0), ("b", "u2", "y", "", False, 1), ("c", "u3", "x", "", False, 2)], "name string, url string, category string, note string, allow_thin boolean, ord int")
+    caps = spark.createDataFrame([("u1", "relay", 200, 900, None), ("u2", "direct", 200, 700, None)], "url string, backend string, status int, chars long, error string")
+    results = scorecard.scored(cases, caps)
+    assert scorecard.card(scorecard.summary(results)).first()[0].split("\n")[4:6] == ["- `relay`: 1", "- `direct`: 1"]
+    scorecard.write_card(results, str(tmp_path / "card"))
+    want = ["# Capture scorecard", "", "Read **2/3** pages (**67%**).", "", "## Which tier carried it", "", "- `relay`: 1", "- `direct`: 1", "", "## By category", "", "- `x`: 1/2 (50%)", "- `y`: 1/1 (100%)", "", "## Per page", ""]
+    want += ["| Page | Category | Read | Tier | Chars |", "|------|----------|:----:|------|------:|", "| a | x | yes | `relay` | 900 |", "| b | y | yes | `direct` | 700 |", "| c | x | no | — | 0 |"]
+    files = sorted((tmp_path / "card").glob("part-*"))
+    assert "".join(f.read_text() for f in files).splitlines() == want
+    none = scorecard.scored(cases, caps.limit(0))
+    assert "- (nothing read)" in [r["line"] for r in scorecard.lines(none).collect()]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     long = "x" * 600
     log = attempts(spark, [("https://a.com/1", "relay", 200, long + "​", {}), ("https://a.com/2", "direct", 200, long, {}), ("https://b.com/3", "relay", 403, long, {}), ("https://b.com/4", "direct", 200, "system prompt" + long, {})])
@@ -224,3 +310,28 @@ def test_streams_equal_batches(spark, tmp_path):
     best = landing.latest_backend(landing.classified(landing.landing(spark, str(tmp_path / "in"), files_per_trigger=1)))
     best.writeStream.outputMode("complete").format("memory").queryName("best").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("best"), "domain") == rows(landing.latest_backend(batch), "domain")
+
+
+def test_memory_expires_and_survives_a_restart(spark, tmp_path):
+    """Three runs from one checkpoint, each ended and begun anew: a domain goes when
+    the watermark passes it, comes back, and late pages change nothing."""
+    long, own = "x" * 600, landing.with_rocksdb(spark)
+
+    def run(first, given):
+        frame = spark.createDataFrame([(first + k, datetime(2026, 1, d, h), u, b, 200, long, {}) for k, (d, h, u, b) in enumerate(given)], payloads.FETCH)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = landing.remembered(landing.classified(landing.landing(own, str(tmp_path / "in"))), timedelta(hours=24))
+
+        def keep(batch, epoch):
+            batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"epoch={epoch}"))
+
+        query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return rows(landing.remembered_now(spark.read.parquet(str(tmp_path / "out")), "epoch"), "domain")
+
+    assert run(0, [(1, 0, "https://a.com", "direct"), (1, 5, "https://b.com", "relay"), (1, 3, "https://a.com", "relay"), (1, 4, "https://c.com", "human")]) == [("a.com", "relay"), ("b.com", "relay")]
+    # a.com is 26 hours old when b.com's page comes; c.com's page is new.
+    assert run(10, [(2, 5, "https://c.com", "browser"), (2, 1, "https://b.com", "direct")]) == [("b.com", "direct"), ("c.com", "browser")]
+    assert run(20, [(2, 6, "https://a.com", "browser"), (2, 2, "https://c.com", "direct")]) == [("a.com", "browser"), ("b.com", "direct"), ("c.com", "browser")]
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(changes.where("forgotten").select("domain", "backend")) == [("a.com", "relay")]
