@@ -188,6 +188,11 @@ def _entropy_spans(text: Column, of: EntropyClass, rules: EntropyRules) -> Colum
     return F.transform(F.filter(parts, lambda p: p["first"] >= 0), lambda p: F.struct(p["start"], p["kind"], p["end"]))
 
 
+def _distinct(spans: Column) -> Column:
+    """Sorted and each once: a span goes if it equals the one before it."""
+    return _let(F.sort_array(spans), lambda x: F.filter(x, lambda s, k: (k == 0) | (s != F.get(x, k - 1))))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
@@ -210,7 +215,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: EntropyRules | None = N
             f"{prefix}assign": bare(_spans(text, ASSIGN, 0, ASSIGN_VALUE)),
             f"{prefix}access": bare(_spans(text, ACCESS, 1)),
             f"{prefix}hex": bare(_spans(text, HEX, 2)),
-            f"{prefix}entropy": F.sort_array(F.array_distinct(F.concat(*(_entropy_spans(text, c, rules) for c in rules.classes)))),
+            f"{prefix}entropy": _distinct(F.concat(*(_entropy_spans(text, c, rules) for c in rules.classes))),
         }
     )
 
