@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.design import MAX_COLORS, colors, fonts
-from ..functions.html import KINDS, asset_hrefs
-from ..functions.urls import resolved
+from ..functions.html import KINDS, asset_hrefs, theme_color, title
+from ..functions.urls import file_name, resolved
 from .streams import fold_sorted
 
 MAX_SHEETS = 20
@@ -72,6 +72,10 @@ def wanted_kinds(listed: Column, scripts: Column) -> Column:
     return F.array_distinct(F.when(scripts, F.concat(own, F.array(F.lit("scripts")))).otherwise(own))
 
 
+def _plan_place() -> Column:
+    return F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for n, k in enumerate(PLAN_ORDER)), F.lit(len(PLAN_ORDER)))
+
+
 def _planner(max_assets: int, max_bytes: int):
     def begin():
         n = total = 0
@@ -101,8 +105,7 @@ def download_plan(fetches: DataFrame, *, kinds: tuple[str, ...] = KINDS[:5], max
     Which one is refused hangs on all before it, so each page's rows are gone
     through in order, as a stream: the state is two numbers.
     """
-    place = F.coalesce(*(F.when(F.col("kind") == k, F.lit(n)) for n, k in enumerate(PLAN_ORDER)), F.lit(len(PLAN_ORDER)))
-    rows = fetches.where(F.col("kind").isin(*kinds)).withColumn("_place", place)
+    rows = fetches.where(F.col("kind").isin(*kinds)).withColumn("_place", _plan_place())
     first = F.struct("_place", "ord", "kind", "ok", "bytes", "error")
     once = rows.groupBy("page_id", "url").agg(F.min_by(F.struct(*rows.columns), first).alias("r")).select("r.*")
     types = fetches.select(*(F.col(c).cast("boolean" if c == "ok" else "bigint" if c == "bytes" else t).alias(c) for c, t in fetches.dtypes)).schema
@@ -148,11 +151,48 @@ def unique_names(named: DataFrame) -> DataFrame:
     return clear.unionByName(fold_sorted(clashing, ["page_id", "kind"], ["ord", "url"], _namer, clear.schema))
 
 
+def with_blobs(pages: DataFrame, assets: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``pages`` (page_id, html, ...) with ``blobs``: the HTML, then the texts of the
+    first 20 style sheets in order.  ``sheets`` (css_url, css) is joined by URL
+    to the narrow list of links; a sheet that is not there is left out."""
+    linked = assets.where((F.col("kind") == "css") & (F.col("ord") < MAX_SHEETS)).select("page_id", F.col("ord").alias("sheet"), F.col("url").alias("css_url"))
+    own = linked.join(sheets, "css_url").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("sheet", "css"))).alias("_css"))
+    blobs = F.concat(F.array("html"), F.coalesce(F.transform("_css", lambda c: c["css"]), F.array().cast("array<string>")))
+    return pages.join(own, "page_id", "left").withColumn("blobs", blobs).drop("_css")
+
+
+def answered(assets: DataFrame, responses: DataFrame) -> DataFrame:
+    """``assets`` with what came when they were fetched: ok, bytes, error,
+    content_type, final_url, backend.  ``responses`` has a row for each URL."""
+    own = assets.join(responses, "url", "left").withColumn("error", F.when(F.col("ok").isNull(), F.lit("not fetched")).otherwise(F.col("error")))
+    return own.select("page_id", "kind", "ord", "url", F.coalesce("ok", F.lit(False)).alias("ok"), "bytes", "error", "content_type", "final_url", "backend")
+
+
 def manifests(pages: DataFrame, assets: DataFrame, plan: DataFrame) -> DataFrame:
-    """A row per page: page_id, url, title, theme_color, found (a count for
-    every kind), downloaded, assets.  ``pages`` has the first four columns."""
+    """A row per page: page_id, url, title, page_backend, theme_color, palette,
+    fonts, found (a count for every kind), downloaded, assets, page_md.
+
+    ``pages`` has (page_id, url, html, backend, blobs) and ``markdown`` where the
+    page was read too; ``plan`` is a download plan over :func:`answered` assets.
+    Taken ones get a local path, kind and unique file name; the others their
+    error.  Everything meets by page, each frame grouped by page once, so that
+    the last joins shuffle nothing.
+    """
+    names = plan.where("ok").select("page_id", "kind", "ord", "url", file_name(F.coalesce("final_url", "url"), F.col("content_type"), F.lit(None).cast("string")).alias("name"))
+    paths = unique_names(names).select("page_id", "kind", "url", F.concat_ws("/", "kind", "path").alias("local_path"))
+    placed = plan.join(paths, ["page_id", "kind", "url"], "left")
+    order = F.struct(_plan_place().alias("place"), "ord")
+    record = F.struct(F.col("url").alias("source_url"), "kind", "ok", "local_path", "bytes", F.when(F.col("ok"), F.col("content_type")).alias("content_type"), F.when(F.col("ok"), F.col("backend")).alias("backend"), "error")
+    records = placed.groupBy("page_id").agg(F.count_if("ok").alias("downloaded"), F.array_sort(F.collect_list(F.struct(order.alias("order"), record.alias("r")))).alias("rs"))
+    records = records.select("page_id", "downloaded", F.transform("rs", lambda r: r["r"]).alias("assets"))
     counts = assets.groupBy("page_id").agg(F.map_from_entries(F.array(*(F.struct(F.lit(k), F.count_if(F.col("kind") == k)) for k in KINDS))).alias("found"))
-    records = plan.groupBy("page_id").agg(F.count_if("ok").alias("downloaded"), F.array_sort(F.collect_list(F.struct("kind", "ord", "url", "ok", "bytes", "error"))).alias("assets"))
+    colours = palette(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hex", "n"))).alias("ps"))
+    colours = colours.select("page_id", F.transform("ps", lambda p: F.struct(p["hex"].alias("hex"), p["n"].alias("count"))).alias("palette"))
+    read = F.when(F.col("markdown").isNotNull(), F.lit("page.md")) if "markdown" in pages.columns else F.lit(None).cast("string")
+    heads = pages.select("page_id", "url", title(F.col("html")).alias("title"), F.col("backend").alias("page_backend"), theme_color(F.col("html")).alias("theme_color"), fonts(F.col("blobs"), F.col("html")).alias("fonts"), read.alias("page_md"))
+    joined = heads.join(counts, "page_id", "left").join(records, "page_id", "left").join(colours, "page_id", "left")
     none = F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(0).cast("long")) for k in KINDS)))
-    joined = pages.join(counts, "page_id", "left").join(records, "page_id", "left")
-    return joined.select("page_id", "url", "title", "theme_color", F.coalesce("found", none).alias("found"), F.coalesce("downloaded", F.lit(0).cast("long")).alias("downloaded"), "assets")
+    return joined.select(
+        "page_id", "url", "title", "page_backend", "theme_color", F.coalesce("palette", F.array().cast(colours.schema["palette"].dataType)).alias("palette"), "fonts",
+        F.coalesce("found", none).alias("found"), F.coalesce("downloaded", F.lit(0).cast("long")).alias("downloaded"), F.coalesce("assets", F.array().cast(records.schema["assets"].dataType)).alias("assets"), "page_md",
+    )

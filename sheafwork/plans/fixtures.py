@@ -47,7 +47,7 @@ FROM documents
 
 DESIGN_PAGES = """
 SELECT page_id, url, html
-  || '<meta name="theme-color" content="#0a0a23"><img src="/i/' || CAST(page_id % 5 AS STRING) || '.png">'
+  || '<meta name="theme-color" content="#' || substring(md5(url), 1, 6) || '"><img src="/i/' || CAST(page_id % 5 AS STRING) || '.png">'
   || '<link rel="stylesheet" href="https://cdn.example.com/' || CAST(page_id % 7 AS STRING) || '.css">'
   || '<div style="background-image:url(/b/' || CAST(page_id % 3 AS STRING) || '.svg)"></div>'
   || '<style>.a{color:#' || CASE page_id % 5 WHEN 0 THEN 'FFF' WHEN 1 THEN '0a0a23' WHEN 2 THEN '11223344' ELSE 'abc' END

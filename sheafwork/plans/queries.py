@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, responses, text, urls
+from ..functions.design import GENERIC_FONTS
 from ..operators import assets, captions, capture, chats, fusion, scorecard
 from ..sources import payloads, sinks, store
 from ..streaming import landing
@@ -439,7 +440,10 @@ def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html.plain_text(F.col("html")).alias("text"))
 
 
-@query(rf"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, '#0a0a23' AS theme_color FROM ({X.DESIGN_PAGES})""")
+_HEADS = r"""trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_extract(html, '(?i)<meta[^>]+name="theme-color"[^>]+content="([^"]+)', 1) AS theme_color"""
+
+
+@query(f"SELECT page_id, {_HEADS} FROM ({X.DESIGN_PAGES})")
 def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.derived(spark, sf_dir, X.DESIGN_PAGES).select("page_id", html.title(F.col("html")).alias("title"), html.theme_color(F.col("html")).alias("theme_color"))
 
@@ -471,7 +475,7 @@ def _found(of: str, pattern: str) -> str:
     return f"unnest(regexp_extract_all({of}, '{pattern}', 1)) AS h, generate_subscripts(regexp_extract_all({of}, '{pattern}', 1), 1) AS o"
 
 
-@query(rf"""WITH d AS ({X.DESIGN_PAGES}), e AS (SELECT page_id, url AS b, 'images' AS kind, 0 AS a, {_found("html", "(?i)<img[^>]+src=[''\"]([^''\"]+)")} FROM d
+_LINKED = rf"""d AS ({X.DESIGN_PAGES}), e AS (SELECT page_id, url AS b, 'images' AS kind, 0 AS a, {_found("html", "(?i)<img[^>]+src=[''\"]([^''\"]+)")} FROM d
     UNION ALL SELECT page_id, url, 'css', 1, {_found("html", "(?i)<link[^>]+href=[''\"]([^''\"]+[.]css[^''\"]*)")} FROM d
     UNION ALL SELECT page_id, url, 'images', 2, {_found("html", "(?i)background(?:-image)?[ ]*:[^;}''\"]*url[(]([^)]+)[)]")} FROM d
     UNION ALL SELECT NULL, css_url, 'fonts', 3, {_found("replace(css, ') format(\"woff2\"),', '),')", "(?:src:|,)url[(]([^)]+)[)]")} FROM {_SHEET_ROWS}),
@@ -480,39 +484,63 @@ def _found(of: str, pattern: str) -> str:
   s AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS sheet FROM f WHERE kind = 'css'),
   g AS (SELECT s.page_id, 'fonts' AS kind, z.url, min((1, CAST(s.sheet AS INT), z.a, z.o)) AS pos FROM s JOIN z ON z.page_id IS NULL AND z.b = s.url WHERE s.sheet <= 20 GROUP BY 1, 2, 3),
   y AS (SELECT page_id, kind, url, min(pos) AS pos FROM (SELECT * FROM f UNION ALL SELECT * FROM g) GROUP BY 1, 2, 3)
-  SELECT page_id, kind, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) - 1 AS INT) AS ord, url FROM y""")
+"""
+_LISTED = "SELECT page_id, kind, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) - 1 AS INT) AS ord, url FROM y"
+
+
+@query(f"WITH {_LINKED} {_LISTED}")
 def sheet_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.page_fonts(assets.pattern_assets(X.derived(spark, sf_dir, X.DESIGN_PAGES)), X.sheets(spark))
 
 
-def _with_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    css = F.array(*(F.lit(c) for _, c in X.SHEETS))[(F.col("page_id") % 7).cast("int")]
-    return X.derived(spark, sf_dir, X.DESIGN_PAGES).select("page_id", "url", "html", F.array("html", css).alias("blobs"))
+def _grabbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with the texts that their design is read from, and their assets."""
+    pages = X.derived(spark, sf_dir, X.DESIGN_PAGES).withColumn("backend", F.when(F.col("page_id") % 2 == 0, F.lit("direct")).otherwise(F.lit("browser")))
+    listed = store.written(assets.pattern_assets(pages), "page-assets")
+    return assets.with_blobs(pages, listed, X.sheets(spark)), listed
+
 
+def _hsl(h: str, s: str, light: str) -> str:
+    """#rrggbb of three numbers, by the textbook's formula."""
+    c = f"((1 - abs(2 * {light} / 100 - 1)) * {s} / 100)"
+    k = f"(({h} % 360) / 60)"
+    x = f"({c} * (1 - abs({k} % 2 - 1)))"
+    rgb = [f"CASE CAST(floor({k}) AS INT) " + " ".join(f"WHEN {n} THEN {v}" for n, v in enumerate(vs)) + " END" for vs in ((c, x, "0", "0", x, c), (x, c, c, x, "0", "0"), ("0", "0", x, c, c, x))]
+    return "'#' || " + " || ".join(_byte(f"(({v}) + {light} / 100 - {c} / 2) * 255") for v in rgb)
 
-_HSL_HEX = {}
-for _h in range(0, 360, 30):
-    _c, _m = 0.4, 0.2
-    _x = _c * (1 - abs(_h / 60 % 2 - 1))
-    _rgb = [(_c, _x, 0), (_x, _c, 0), (0, _c, _x), (0, _x, _c), (_x, 0, _c), (_c, 0, _x)][_h // 60]
-    _HSL_HEX[_h] = "#" + "".join(f"{round((v + _m) * 255):02x}" for v in _rgb)
+
+def _byte(v: str) -> str:
+    return f"lpad(lower(to_hex(CAST(least(255, greatest(0, round_even({v}, 0))) AS INT))), 2, '0')"
+
+
+def _triple(pattern: str) -> str:
+    return ", ".join(f"unnest(regexp_extract_all(blob, '{pattern}', {k}))::DOUBLE AS n{k}" for k in (1, 2, 3)) + f", generate_subscripts(regexp_extract_all(blob, '{pattern}'), 1) AS i"
+
+
+_SPACED = r"[ ,]+"
+_RGB, _HSL = rf"(?i)rgba?[(] *([0-9.]+){_SPACED}([0-9.]+){_SPACED}([0-9.]+)", rf"(?i)hsla?[(] *([0-9.]+)(?:deg)?{_SPACED}([0-9.]+)%{_SPACED}([0-9.]+)%"
+_BLOBS = rf"""{_LINKED.rstrip()},
+bl AS (SELECT page_id, 0 AS b, html AS blob FROM d UNION ALL SELECT s.page_id, s.sheet, v.css FROM s JOIN {_SHEET_ROWS} ON v.css_url = s.url),
+h1 AS (SELECT page_id, b, unnest(regexp_extract_all(blob, '#[0-9a-fA-F]{{8}}\b|#[0-9a-fA-F]{{6}}\b|#[0-9a-fA-F]{{3}}\b')) AS m, generate_subscripts(regexp_extract_all(blob, '#[0-9a-fA-F]{{8}}\b|#[0-9a-fA-F]{{6}}\b|#[0-9a-fA-F]{{3}}\b'), 1) AS i FROM bl),
+h2 AS (SELECT page_id, b, {_triple(_RGB)} FROM bl), h3 AS (SELECT page_id, b, {_triple(_HSL)} FROM bl),
+hx AS (SELECT page_id, (b, 0, i) AS o, lower(CASE WHEN len(m) = 4 THEN '#' || m[2] || m[2] || m[3] || m[3] || m[4] || m[4] ELSE m[:7] END) AS hex FROM h1
+  UNION ALL SELECT page_id, (b, 1, i), '#' || {_byte("n1")} || {_byte("n2")} || {_byte("n3")} FROM h2 UNION ALL SELECT page_id, (b, 2, i), {_hsl("n1", "n2", "n3")} FROM h3),
+pg AS (SELECT page_id, hex, count(*) AS n, min(o) AS o FROM hx GROUP BY 1, 2),
+pal AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, o) AS INT) AS rank, hex, n FROM pg QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, o) <= 12),
+ff AS (SELECT page_id, b, unnest(regexp_extract_all(blob, '(?i)font-family *: *([^;{{}}]+)', 1)) AS m, generate_subscripts(regexp_extract_all(blob, '(?i)font-family *: *([^;{{}}]+)'), 1) AS i FROM bl),
+fn AS (SELECT page_id, trim(trim(string_split(m, ',')[1]), '"' || chr(39)) AS font, min((b, i)) AS o FROM ff GROUP BY 1, 2),
+fo AS (SELECT page_id, array_to_string(list(font ORDER BY o)[:20], ',') AS fonts FROM fn WHERE font <> '' AND lower(font) NOT IN ({_quoted(GENERIC_FONTS)}) AND NOT regexp_matches(font, '[$]|^--|var[(]') GROUP BY page_id)
+"""
 
 
-@query(f"""WITH p AS (SELECT page_id FROM pages),
-  c AS (SELECT page_id, 1 AS o, '#0a0a23' AS hex FROM p
-    UNION ALL SELECT page_id, 2, CASE page_id % 5 WHEN 0 THEN '#ffffff' WHEN 1 THEN '#0a0a23' WHEN 2 THEN '#112233' ELSE '#aabbcc' END FROM p
-    UNION ALL SELECT page_id, 3, '#' || lpad(lower(to_hex(least(page_id % 300, 255))), 2, '0') || '0a23' FROM p
-    UNION ALL SELECT page_id, 4, CASE (page_id * 30) % 360 {" ".join(f"WHEN {h} THEN '{x}'" for h, x in _HSL_HEX.items())} END FROM p
-    UNION ALL SELECT page_id, 5, '#' || repeat(CAST(page_id % 7 AS VARCHAR), 6) FROM p),
-  g AS (SELECT page_id, hex, count(*) AS n, min(o) AS o FROM c GROUP BY 1, 2)
-  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, o) AS INT) AS rank, hex, n FROM g""")
+@query(f"WITH {_BLOBS} SELECT page_id, rank, hex, n FROM pal")
 def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.palette(_with_sheet(spark, sf_dir))
+    return assets.palette(_grabbed(spark, sf_dir)[0])
 
 
-@query("""SELECT page_id, array_to_string(CASE page_id % 4 WHEN 0 THEN ['Inter'] WHEN 2 THEN ['Roboto Mono'] ELSE [] END || ['F' || (page_id % 7)], ',') AS fonts FROM pages""")
+@query(f"WITH {_BLOBS} SELECT page_id, coalesce(fonts, '') AS fonts FROM pages LEFT JOIN fo USING (page_id)")
 def page_font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.design(_with_sheet(spark, sf_dir)).select("page_id", F.array_join("fonts", ",").alias("fonts"))
+    return assets.design(_grabbed(spark, sf_dir)[0]).select("page_id", F.array_join("fonts", ",").alias("fonts"))
 
 
 _PLAN = f"""
@@ -531,13 +559,37 @@ def download_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.download_plan(X.derived(spark, sf_dir, X.ASSET_FETCHES), max_assets=8, max_bytes=30_000_000)
 
 
-@query(f"""WITH {_PLAN} SELECT p.page_id, p.url, (SELECT count(*) FROM s WHERE s.page_id = p.page_id AND kind = 'images') AS n_images, (SELECT count(*) FROM s WHERE s.page_id = p.page_id AND kind = 'scripts') AS n_scripts,
-  (SELECT count(*) FROM s WHERE s.page_id = p.page_id AND ok) AS downloaded FROM pages p""")
+#: What came for an asset, by its URL: some are large, some fail.
+_RESPONSE = """ascii(substring(md5(url), 1, 1)) % 7 <> 0 AS ok, CAST(ascii(substring(md5(url), 2, 1)) * 100000 AS BIGINT) AS bytes, CASE WHEN ascii(substring(md5(url), 1, 1)) % 7 = 0 THEN 'http-404' END AS error,
+  CASE WHEN url LIKE '%.png' THEN 'image/png' WHEN url LIKE '%.css' THEN 'text/css' END AS content_type, CASE WHEN url LIKE '%.ttf' THEN url || '?v=' || CAST(length(url) AS STRING) ELSE url END AS final_url, 'direct' AS backend"""
+_ROOM = 12_000_000
+
+
+@query(f"""WITH RECURSIVE {_BLOBS.rstrip()},
+  li AS ({_LISTED}),
+  q AS (SELECT page_id, kind, ord, url, {_RESPONSE}, row_number() OVER (PARTITION BY page_id ORDER BY CASE kind WHEN 'images' THEN 0 WHEN 'css' THEN 3 ELSE 4 END, ord) AS k FROM li),
+  fold AS (SELECT page_id, 0::BIGINT AS k, 0 AS n, 0::BIGINT AS total, NULL::VARCHAR AS line, false AS took FROM q GROUP BY page_id
+    UNION ALL SELECT q.page_id, q.k, fold.n + CASE WHEN q.ok AND fold.total + q.bytes <= {_ROOM} THEN 1 ELSE 0 END, fold.total + CASE WHEN q.ok AND fold.total + q.bytes <= {_ROOM} THEN q.bytes ELSE 0 END,
+      q.url || ' ' || q.kind || ' ' || CASE WHEN q.ok AND fold.total + q.bytes <= {_ROOM} THEN q.kind || '/' || regexp_extract(q.url, '[^/]*$') || ' ' || q.bytes || ' ' || coalesce(q.content_type, '-') || ' direct' ELSE coalesce(q.error, 'size-cap') END, q.ok AND fold.total + q.bytes <= {_ROOM}
+    FROM fold JOIN q ON q.page_id = fold.page_id AND q.k = fold.k + 1 WHERE fold.n < 4),
+  rec AS (SELECT page_id, string_agg(line, chr(10) ORDER BY k) AS assets, count(*) FILTER (took) AS downloaded FROM fold WHERE k > 0 GROUP BY page_id),
+  cnt AS (SELECT page_id, 'images:' || count(*) FILTER (kind = 'images') || ' icons:0 css:' || count(*) FILTER (kind = 'css') || ' fonts:' || count(*) FILTER (kind = 'fonts') || ' svg:0 scripts:0' AS found FROM li GROUP BY page_id),
+  pl AS (SELECT page_id, string_agg(hex || ':' || n, ' ' ORDER BY rank) AS palette FROM pal GROUP BY page_id)
+  SELECT page_id, url, {_HEADS}, CASE WHEN page_id % 2 = 0 THEN 'direct' ELSE 'browser' END AS page_backend, palette, coalesce(fonts, '') AS fonts, found, downloaded, assets
+  FROM d LEFT JOIN rec USING (page_id) LEFT JOIN cnt USING (page_id) LEFT JOIN pl USING (page_id) LEFT JOIN fo USING (page_id)""")
 def page_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = assets.download_plan(X.derived(spark, sf_dir, X.ASSET_FETCHES), max_assets=1 << 20, max_bytes=1 << 60)
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", html.title(F.col("html")).alias("title"), html.theme_color(F.col("html")).alias("theme_color"))
-    rows = assets.manifests(pages, plan.select("page_id", "kind", "ord", "url"), plan)
-    return rows.select("page_id", "url", F.col("found")["images"].alias("n_images"), F.col("found")["scripts"].alias("n_scripts"), "downloaded")
+    """Whole manifests, their lists as text."""
+    pages, listed = _grabbed(spark, sf_dir)
+    every = store.written(assets.page_fonts(listed, X.sheets(spark)), "page-assets")
+    answers = every.select("url").distinct().select("url", F.expr("struct(" + _RESPONSE + ") AS r")).select("url", "r.*")
+    plan = store.written(assets.download_plan(assets.answered(every, answers), max_assets=4, max_bytes=_ROOM), "page-plans")
+    rows = assets.manifests(pages, every, plan)
+    record = lambda r: F.concat_ws(" ", r["source_url"], r["kind"], F.when(r["ok"], F.concat_ws(" ", r["local_path"], r["bytes"], F.coalesce(r["content_type"], F.lit("-")), r["backend"])).otherwise(r["error"]))
+    found = F.concat_ws(" ", *(F.concat(F.lit(f"{k}:"), F.col("found")[k]) for k in html.KINDS))
+    return rows.select(
+        "page_id", "url", "title", "theme_color", "page_backend", F.array_join(F.transform("palette", lambda p: F.concat_ws(":", p["hex"], p["count"])), " ").alias("palette"), F.array_join("fonts", ",").alias("fonts"),
+        found.alias("found"), "downloaded", F.array_join(F.transform("assets", record), "\n").alias("assets"),
+    )
 
 
 # ---- chats ------------------------------------------------------------------------

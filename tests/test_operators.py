@@ -162,10 +162,28 @@ def test_download_plan_skips_and_goes_on(spark):
     plan = assets.download_plan(spark.createDataFrame(given, schema), max_assets=3, max_bytes=105)
     got = [(r["url"], r["ok"], r["error"]) for r in plan.collect()]
     assert got == [("b", True, None), ("c", False, "size-cap"), ("d", False, "http-404"), ("a", True, None), ("e", True, None)]
-    found = assets.manifests(spark.createDataFrame([(1, "u", "t", None), (2, "v", None, None)], "page_id long, url string, title string, theme_color string"), spark.createDataFrame(given, schema), plan)
-    got = {r["page_id"]: r for r in found.collect()}
-    assert got[1]["found"] == {"images": 3, "icons": 1, "css": 1, "fonts": 2, "svg": 0, "scripts": 1} and got[1]["downloaded"] == 3
-    assert got[2]["found"]["images"] == 0 and got[2]["downloaded"] == 0
+
+
+def test_whole_manifests(spark):
+    html = '<title>T</title><meta name="theme-color" content="#123"><img src="/i/a.png"><link rel="stylesheet" href="s.css">'
+    pages = spark.createDataFrame([(1, "https://e.com/p", html, "direct", "# md"), (2, "https://e.com/q", "<p>x</p>", "relay", None)], "page_id long, url string, html string, backend string, markdown string")
+    sheets = spark.createDataFrame([("https://e.com/s.css", "@font-face{src:url(f/a.png)} .x{color:#ff0000;font-family:Inter}")], "css_url string, css string")
+    listed = assets.pattern_assets(pages)
+    every = assets.page_fonts(listed, sheets)
+    answers = spark.createDataFrame([("https://e.com/i/a.png", True, 5, None, "image/png", "https://e.com/i/a.png", "direct"), ("https://e.com/f/a.png", True, 90, None, None, None, "direct"), ("https://e.com/s.css", False, None, "http-404", None, None, None)], "url string, ok boolean, bytes long, error string, content_type string, final_url string, backend string")
+    plan = assets.download_plan(assets.answered(every, answers), max_bytes=50)
+    rows_ = assets.manifests(assets.with_blobs(pages, listed, sheets), every, plan)
+    got = {r["page_id"]: r.asDict(recursive=True) for r in rows_.collect()}
+    assert got[1] == {
+        "page_id": 1, "url": "https://e.com/p", "title": "T", "page_backend": "direct", "theme_color": "#123", "palette": [{"hex": "#112233", "count": 1}, {"hex": "#ff0000", "count": 1}], "fonts": ["Inter"],
+        "found": {"images": 1, "icons": 0, "css": 1, "fonts": 1, "svg": 0, "scripts": 0}, "downloaded": 1, "page_md": "page.md",
+        "assets": [
+            {"source_url": "https://e.com/i/a.png", "kind": "images", "ok": True, "local_path": "images/a.png", "bytes": 5, "content_type": "image/png", "backend": "direct", "error": None},
+            {"source_url": "https://e.com/s.css", "kind": "css", "ok": False, "local_path": None, "bytes": None, "content_type": None, "backend": None, "error": "http-404"},
+            {"source_url": "https://e.com/f/a.png", "kind": "fonts", "ok": False, "local_path": None, "bytes": None, "content_type": None, "backend": None, "error": "size-cap"},
+        ],
+    }
+    assert got[2]["palette"] == [] and got[2]["assets"] == [] and got[2]["downloaded"] == 0 and got[2]["found"]["images"] == 0 and got[2]["page_md"] is None
 
 
 def test_a_page_of_very_many_fetches(spark):
