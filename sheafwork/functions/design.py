@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .columns import let, strip
 from .urls import decoded
 
+#: How colours and fonts are written.
 HEX = r"#[0-9a-fA-F]{8}\b|#[0-9a-fA-F]{6}\b|#[0-9a-fA-F]{3}\b"
 RGB = r"(?i)rgba?\(\s*([\d.]+)[\s,]+([\d.]+)[\s,]+([\d.]+)"
 HSL = r"(?i)hsla?\(\s*([\d.]+)(?:deg)?[\s,]+([\d.]+)%[\s,]+([\d.]+)%"

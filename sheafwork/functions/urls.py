@@ -135,6 +135,7 @@ def file_name(url: Column, content_type: Column, disposition: Column) -> Column:
     """A safe name for an asset: from its content disposition, else from the
     URL's last path segment, else from a hash of the URL; with an extension by
     media type if it has none; at most 120 characters."""
+    # The patterns of a disposition's name and of characters that no file name holds.
     given = F.regexp_extract(F.coalesce(disposition, F.lit("")), r"""filename\*?=(?:[^']*'')?["']?([^"';]+)""", 1)
     given = F.coalesce(F.try_url_decode(F.replace(given, F.lit("+"), F.lit("%2B"))), given)
     path = _part(url, 3)

@@ -12,13 +12,13 @@ SEARCH_HITS = """
 SELECT h.user_id AS query, h.event_type AS provider,
   CASE h.event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS provider_ord,
   CAST(row_number() OVER (PARTITION BY h.user_id, h.event_type ORDER BY h.value DESC, h.event_id) - 1 AS INT) AS rank,
-  substring(regexp_extract(p.html, '<title>([^<]*)', 1), 1, CAST(5 + h.event_id % 40 AS INT)) AS title,
+  regexp_extract(p.html, '<title>([^<]*)', 1) || repeat('!', CAST(h.event_id % 3 AS INT)) AS title,
   CASE h.event_id % 4
     WHEN 1 THEN p.url || '/'
     WHEN 2 THEN p.url || CASE WHEN p.url LIKE '%?%' THEN '&' ELSE '?' END || 'utm_medium=x'
     WHEN 3 THEN replace(p.url, 'example', 'EXAMPLE')
     ELSE p.url END AS url,
-  substring(p.html, CAST(200 + h.event_id % 50 AS INT), CAST(h.event_id % 60 AS INT)) AS snippet,
+  CASE WHEN h.event_id % 6 = 0 THEN '' ELSE regexp_extract(p.html, '<p>(?:<b>)?([^<]+)', 1) || repeat('.', CAST(h.event_id % 4 AS INT)) END AS snippet,
   h.event_type AS source
 FROM (SELECT *, (event_id * 31) % (SELECT count(*) FROM pages) AS at FROM events) h JOIN pages p ON p.page_id = h.at
 """

@@ -125,13 +125,23 @@ def search_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query", "rank", "key", F.round("score", 12).alias("score"), "title", "url", "snippet", "source")
 
 
+_FLAT = "trim(replace(snippet, chr(10), ' '))"
+
+
 @query(f"""WITH {_FUSED}, l AS (SELECT query, rank, rank || '. ' || CASE WHEN title <> '' THEN title ELSE '(no title)' END || chr(10) || '   ' || url
-    || CASE WHEN trim(replace(snippet, chr(10), ' ')) <> '' THEN chr(10) || '   ' || trim(replace(snippet, chr(10), ' ')) ELSE '' END || chr(10) || '   [' || {_SOURCES} || ']' AS line FROM f WHERE rank <= 5)
+    || CASE WHEN length({_FLAT}) > 200 THEN chr(10) || '   ' || substring({_FLAT}, 1, 197) || '...' WHEN {_FLAT} <> '' THEN chr(10) || '   ' || {_FLAT} ELSE '' END || chr(10) || '   [' || {_SOURCES} || ']' AS line FROM f WHERE rank <= 5)
   SELECT query, string_agg(line, chr(10) ORDER BY rank) AS listing FROM l GROUP BY query""")
 def search_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.result_lists(fusion.fused(X.derived(spark, sf_dir, X.SEARCH_HITS), fusion.clamp(5)))
 
 
+@query(f"""WITH {_FUSED}, l AS (SELECT query, rank, rank || '. ' || CASE WHEN title <> '' THEN title ELSE '(no title)' END || chr(10) || '   ' || url || CASE WHEN snippet <> '' THEN chr(10) || '   ' || snippet ELSE '' END AS line FROM f WHERE rank <= 25)
+  SELECT query, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS listing FROM l GROUP BY query""")
+def search_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form without sources, snippets as they are; as many as a call may ask."""
+    return sinks.result_lists(fusion.fused(X.derived(spark, sf_dir, X.SEARCH_HITS), fusion.clamp(99)), terminal=False)
+
+
 @query(f"SELECT query, count(*) AS results, count(DISTINCT key) AS n_keys FROM (SELECT query, url, {_canonical('url')} AS key FROM ({X.SEARCH_HITS})) GROUP BY query")
 def distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = X.derived(spark, sf_dir, X.SEARCH_HITS).withColumn("ord", F.col("provider_ord") * 100000 + F.col("rank"))
@@ -194,28 +204,27 @@ def failed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- URLs ---------------------------------------------------------------------
 
+#: Share links of the providers, and one that is none, with the page's own values as ids.
 _SHARES = [
-    "https://chatgpt.com/share/abc-1", "https://claude.ai/share/0a1b2c3d-0000-1111-2222-333344445555", "https://grok.com/share/bGVn%3D%3D_x", "https://poe.com/s/Zz9",
-    "https://g.co/gemini/share/aa11", "https://www.perplexity.ai/search/q-1.2", "https://copilot.microsoft.com/shares/pages/p_1", "https://chat.deepseek.com/share/d5", "https://claude.ai/chat/x",
+    "'https://chatgpt.com/share/abc-' || page_id", "'https://claude.ai/share/' || md5(url) || '-0a0'", "'https://grok.com/share/bGVn%3D%3D_' || page_id", "'https://poe.com/s/Zz' || page_id",
+    "'https://g.co/gemini/share/aa' || page_id", "'https://www.perplexity.ai/search/q-1.' || page_id", "'https://copilot.microsoft.com/shares/pages/p_' || page_id", "'https://chat.deepseek.com/share/d' || page_id", "'https://claude.ai/chat/' || page_id",
 ]
-
-
-def _shares(url: str, id_: str) -> str:
-    return f"CASE {id_} % 12 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SHARES)) + f" ELSE {url} END"
+_LINKS = f"""SELECT page_id, 0 AS form, url AS u FROM pages UNION ALL SELECT page_id, 1 AS form, CASE page_id % {len(_SHARES)} {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_SHARES))} END AS u FROM pages"""
 
 
 _SHARE_SQL = " ".join(f"WHEN regexp_matches(u, '{rx}') THEN {{'provider': '{p}', 'share_id': {'url_decode(' if p == 'grok' else '('}regexp_extract(u, '{rx}', 1))}}" for p, rx in urls.SHARE_PATTERNS.items())
 
 
-@query(f"""SELECT page_id, key, domain, s.provider AS provider, s.share_id AS share_id, folder, full_url FROM (
-  SELECT page_id, {_canonical("u")} AS key, {_domain("u")} AS domain, CASE {_SHARE_SQL} END AS s, replace({_part("u", 2)}, ':', '_') AS folder,
+@query(f"""SELECT page_id, form, key, domain, s.provider AS provider, s.share_id AS share_id, folder, full_url FROM (
+  SELECT page_id, form, {_canonical("u")} AS key, {_domain("u")} AS domain, CASE {_SHARE_SQL} END AS s, replace({_part("u", 2)}, ':', '_') AS folder,
     CASE WHEN page_id % 2 = 0 THEN u ELSE 'https://' || regexp_replace(u, '^https?://', '') END AS full_url
-  FROM (SELECT page_id, {_shares("url", "page_id")} AS u FROM pages))""")
+  FROM ({_LINKS}))""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "pages").select("page_id", F.expr(_shares("url", "page_id")).alias("u"))
+    """Every page's URL, and a share link for each page."""
+    rows = X.derived(spark, sf_dir, _LINKS)
     bare = F.when(F.col("page_id") % 2 == 0, F.col("u")).otherwise(F.regexp_replace("u", "^https?://", ""))
-    out = rows.select("page_id", urls.canonical(F.col("u")).alias("key"), urls.registrable_domain(F.col("u")).alias("domain"), urls.share_link(F.col("u")).alias("s"), urls.host_folder(F.col("u")).alias("folder"), urls.with_scheme(bare).alias("full_url"))
-    return out.select("page_id", "key", "domain", "s.provider", "s.share_id", "folder", "full_url")
+    out = rows.select("page_id", "form", urls.canonical(F.col("u")).alias("key"), urls.registrable_domain(F.col("u")).alias("domain"), urls.share_link(F.col("u")).alias("s"), urls.host_folder(F.col("u")).alias("folder"), urls.with_scheme(bare).alias("full_url"))
+    return out.select("page_id", "form", "key", "domain", "s.provider", "s.share_id", "folder", "full_url")
 
 
 #: References as pages write them, of the page's own values.
@@ -661,14 +670,22 @@ def _rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     per = rows.groupBy("conv_id").agg(*(F.array_sort(F.collect_list(F.struct("turn", c.alias("m")))).alias(k) for k, c in forms.items()), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
     joined = lambda k: F.concat(F.lit("<html><body>"), F.array_join(F.transform(k, lambda x: x["m"]), ""), F.lit("</body></html>"))
-    nodes = F.transform("ts", lambda x: F.array(F.lit(None).cast("string"), F.lit(None).cast("string"), F.to_json(F.array(F.array(F.when(x["role"] == "user", x["text"])))), F.to_json(F.array(F.array(F.array(F.lit("r")), F.array(F.when(x["role"] != "user", x["text"])))))))
-    flat = F.array_join(F.transform(nodes, lambda n: F.concat(F.lit("[null,null,"), n[2], F.lit(","), F.concat(F.lit("[["), F.lit("[\"r\"],"), F.substring(n[3], 9, F.length(n[3])))  , F.lit("]"))), ",")
+    said = lambda x, own: F.to_json(F.array(F.when(own, x["text"])))
+    nodes = F.transform("ts", lambda x: F.concat(F.lit("[null,null,["), said(x, x["role"] == "user"), F.lit('],[[["r",'), said(x, x["role"] != "user"), F.lit("]]]]")))
+    flat = F.array_join(nodes, ",")
     inner = F.concat(F.lit("[[null,["), flat, F.lit("],[null,\"Talk\"]]]"))
     envelope = F.concat(F.lit(")]}'\n\n99\n[[\"wrb.fr\",\"ujx1Bf\","), F.regexp_replace(F.to_json(F.struct(inner.alias("x"))), r'^\{"x":|\}$', ""), F.lit(",null]]\n"))
     pages = per.select("conv_id", F.create_map(*(x for k in forms for x in (F.lit(k), joined(k))), F.lit("gemini"), envelope).alias("pages"))
     return pages.select(F.col("conv_id"), F.explode("pages").alias("provider", "payload")).select(F.format_string("https://%s.example/%d", "provider", "conv_id").alias("url"), "provider", "payload")
 
 
+@query(_RENDERED.format(label="Gemini", head="'# Talk' || chr(10) || chr(10)").replace("trim(text, ' ' || chr(10)) || chr(10), chr(10)", "text || chr(10), chr(10)"))
+def gemini_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rendered_pages(spark, sf_dir).where("provider = 'gemini'")
+    chat = rows.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("conv_id"), chats.gemini_chat(F.col("payload")).alias("c"))
+    return chat.select("conv_id", chats.markdown(F.col("c.title"), F.col("c.turns")).alias("markdown")).where("markdown is not null")
+
+
 @query()
 def decoded_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = chats.read_chats(_rendered_pages(spark, sf_dir))
@@ -707,10 +724,15 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES}, c AS ({_CHUNK}), sp AS (SELECT video_id, coalesce(string_agg(trim(text, ' ' || chr(10)), chr(10) ORDER BY chunk) FILTER (trim(text, ' ' || chr(10)) <> ''), '') AS text FROM c GROUP BY video_id),
-  m AS (SELECT v.video_id, CASE WHEN v.video_id % 2 = 0 THEN v.text ELSE 'short' END AS cap, sp.text AS speech FROM v FULL JOIN sp USING (video_id))
+  n AS (SELECT conv_id AS video_id, count(*) AS n FROM conversations GROUP BY 1),
+  m AS (SELECT n.video_id, CASE WHEN n.n > 2 THEN v.text ELSE 'noise' END AS cap, sp.text AS speech FROM n LEFT JOIN v USING (video_id) LEFT JOIN sp USING (video_id))
   SELECT video_id, CASE WHEN length(replace(cap, ' ', '')) >= 20 THEN 'captions' ELSE 'speech' END AS source, CASE WHEN length(replace(cap, ' ', '')) >= 20 THEN cap ELSE speech END AS text FROM m""")
 def video_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = captions.chosen_tracks(_captions(spark, sf_dir)).select("video_id", F.when(F.col("video_id") % 2 == 0, captions.prose(F.col("vtt"))).otherwise(F.lit("short")).alias("text"))
+    """Videos of two lines have no captions by hand, and the automatic ones are too short."""
+    long = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("video_id")).count().where("count > 2").select("video_id")
+    tracks = _captions(spark, sf_dir)
+    tracks = tracks.where("track = 'v.a.en.vtt'").unionByName(tracks.where("track <> 'v.a.en.vtt'").join(long, "video_id", "left_semi").select(*tracks.columns))
+    best = captions.chosen_tracks(tracks).select("video_id", captions.prose(F.col("vtt")).alias("text"))
     return captions.transcripts(best, captions.stitched(captions.chunk_texts(X.derived(spark, sf_dir, X.CHUNKS))))
 
 
@@ -772,6 +794,26 @@ def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.lines(store.written(_scored(spark, sf_dir), "scores"))
 
 
+@query(f"""SELECT name, url, category, '' AS note, allow_thin FROM ({X.CASES}) UNION ALL SELECT 'own-' || page_id, url, 'extra', coalesce(CASE WHEN page_id % 3 = 0 THEN 'page ' || page_id END, ''), page_id % 2 = 0 FROM pages""")
+def case_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of the table and those of a JSON list with keys that it need not have."""
+    note, thin = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("page "), "page_id")), F.when(F.col("page_id") % 2 == 0, F.lit(True))
+    extra = _table(spark, sf_dir, "pages").select(F.concat(F.lit("own-"), "page_id").alias("name"), "url", F.lit("extra").alias("category"), note.alias("note"), thin.alias("allow_thin"), F.lit(1).alias("unknown"))
+    path = store.new_path(spark, "cases")
+    extra.write.json(path)
+    return payloads.read_cases(spark, path, X.derived(spark, sf_dir, X.CASES).select("name", "url", "category", "note", "allow_thin"), by_line=True)
+
+
+_ASKED_KINDS = "upper(event_type) || ', ' || CASE WHEN event_id % 2 = 0 THEN 'css,,' ELSE ' fonts ' END"
+
+
+@query(f"""WITH a AS (SELECT event_id, list_filter(list_transform(string_split({_ASKED_KINDS}, ','), lambda k: lower(trim(k))), lambda k: k <> '') AS ks FROM events)
+  SELECT event_id, array_to_string(CASE WHEN event_id % 3 = 0 THEN list_append(ks, 'scripts') ELSE ks END, ' ') AS kinds FROM a""")
+def asked_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = assets.wanted_kinds(F.expr(_ASKED_KINDS), F.col("event_id") % 3 == 0)
+    return _table(spark, sf_dir, "events").select("event_id", F.array_join(kinds, " ").alias("kinds"))
+
+
 # ---- streaming ------------------------------------------------------------------------
 
 
