@@ -135,6 +135,13 @@ def search_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.result_lists(fusion.fused(X.derived(spark, sf_dir, X.SEARCH_HITS), fusion.clamp(5)))
 
 
+@query(f"""WITH {_FUSED}, l AS (SELECT query, rank, title, url, snippet, {_SOURCES} AS source FROM f WHERE rank <= 10)
+  SELECT query, CAST(rank AS INT) AS rank, to_json({{'query': query, 'rank': CAST(rank AS INT), 'title': title, 'url': url, 'snippet': snippet, 'source': source}})::VARCHAR AS json FROM l""")
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = fusion.fused(X.derived(spark, sf_dir, X.SEARCH_HITS), 10)
+    return sinks.as_json(best.select("query", "rank", "title", "url", "snippet", "source"), "query", "rank")
+
+
 @query(f"""WITH {_FUSED}, l AS (SELECT query, rank, rank || '. ' || CASE WHEN title <> '' THEN title ELSE '(no title)' END || chr(10) || '   ' || url || CASE WHEN snippet <> '' THEN chr(10) || '   ' || snippet ELSE '' END AS line FROM f WHERE rank <= 25)
   SELECT query, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS listing FROM l GROUP BY query""")
 def search_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,11 +473,6 @@ def _assets(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.inline(html.parsed(F.col("html"), F.col("url"))["assets"]))
 
 
-@query()
-def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assets(X.derived(spark, sf_dir, X.DESIGN_PAGES))
-
-
 @query(f"""WITH d AS ({X.DESIGN_PAGES}) SELECT page_id, 'images' AS kind, '/i/' || (page_id % 5) || '.png' AS href FROM d
   UNION ALL SELECT page_id, 'css', 'https://cdn.example.com/' || (page_id % 7) || '.css' FROM d UNION ALL SELECT page_id, 'images', '/b/' || (page_id % 3) || '.svg' FROM d""")
 def pattern_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,6 +499,13 @@ _LINKED = rf"""d AS ({X.DESIGN_PAGES}), e AS (SELECT page_id, url AS b, 'images'
 _LISTED = "SELECT page_id, kind, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) - 1 AS INT) AS ord, url FROM y"
 
 
+@query(f"""WITH {_LINKED.rstrip()},
+  v AS (SELECT page_id, kind, url, pos FROM f UNION ALL SELECT page_id, 'svg', url, pos FROM f WHERE kind = 'images' AND lower(string_split(url, '?')[1]) LIKE '%.svg')
+  SELECT page_id, kind, CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY pos) - 1 AS INT) AS ord, url FROM v""")
+def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assets(X.derived(spark, sf_dir, X.DESIGN_PAGES))
+
+
 @query(f"WITH {_LINKED} {_LISTED}")
 def sheet_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.page_fonts(assets.pattern_assets(X.derived(spark, sf_dir, X.DESIGN_PAGES)), X.sheets(spark))
@@ -686,7 +695,17 @@ def gemini_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.select("conv_id", chats.markdown(F.col("c.title"), F.col("c.turns")).alias("markdown")).where("markdown is not null")
 
 
-@query()
+_TIDY = r"trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\xa0]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+_CHAT_LABELS = {"deepseek": "DeepSeek", "perplexity": "Perplexity", "copilot": "Copilot", "gemini": "Gemini"}
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text AS raw, regexp_replace(text, '[<>&]', '', 'g') AS t FROM conversations WHERE role <> 'system'),
+  p AS (SELECT c.conv_id, c.turn, v.provider, CASE WHEN role = 'user' THEN 'User' ELSE v.label END AS role, CASE WHEN v.provider = 'gemini' THEN raw ELSE {_TIDY} END AS text
+    FROM c, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _CHAT_LABELS.items())}) v(provider, label)),
+  g AS (SELECT conv_id, provider, count(*) AS n_turns, CASE provider WHEN 'gemini' THEN 'Talk' WHEN 'perplexity' THEN arg_min(text, turn) FILTER (role = 'User') END AS first,
+      string_agg('**' || role || ':**' || chr(10) || chr(10) || trim(text, ' ' || chr(10)) || chr(10), chr(10) ORDER BY turn) AS said FROM p WHERE trim(text, ' ' || chr(10)) <> '' GROUP BY 1, 2),
+  h AS (SELECT *, CASE WHEN length(first) > 80 THEN rtrim(first[:77], ' ' || chr(10)) || '...' ELSE first END AS title FROM g)
+  SELECT 'https://' || provider || '.example/' || conv_id AS url, provider, title, CAST(n_turns AS INT) AS n_turns, trim(CASE WHEN title IS NULL THEN '' ELSE '# ' || title || chr(10) || chr(10) END || said, ' ' || chr(10)) AS markdown FROM h""")
 def decoded_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = chats.read_chats(_rendered_pages(spark, sf_dir))
     return read.select("url", "provider", "title", F.size("turns").alias("n_turns"), chats.markdown(F.col("title"), F.col("turns")).alias("markdown"))
