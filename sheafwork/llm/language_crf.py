@@ -28,6 +28,9 @@ SAMPLE_WORDS = 200
 SAMPLE_ALL = 64 * SAMPLE_DOCS
 #: Words of a block; messages are carried from block to block of a text.
 BLOCK = 64
+#: Words from which a chain's blocks are multiplied out at once, and the labels up
+#: to which n times the work for a word is less than a step for each word.
+LONG, FEW_LABELS = 64 * BLOCK, 40
 _GRAM_BITS, _LEX_BITS = 16, 18
 _SLICE_BYTES = 4_000_000
 #: Chains and words that are scored at a time.
@@ -143,7 +146,9 @@ def posteriors(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, start:
     any length: ``scores`` (words, labels) has them end to end, ``counts`` their
     lengths.  Chains go in blocks of BLOCK words, ``width`` blocks at a time:
     all first blocks, then all second ones with the messages of the first, and
-    back again; so memory is that of the scores, however long a chain is.
+    back again; so memory is that of the scores, however long a chain is.  A
+    chain of more than LONG words goes by :func:`_all_blocks`, where labels are
+    so few that this is less work.
     """
     n = scores.shape[1]
     e = np.exp(scores - scores.max(1, keepdims=True, initial=-np.inf))
@@ -151,6 +156,10 @@ def posteriors(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, start:
     at_start = np.exp(start - start.max()).astype(e.dtype)
     post = np.empty_like(e)
     first = np.cumsum(counts) - counts
+    alone = np.flatnonzero(counts > LONG) if n <= FEW_LABELS else np.zeros(0, np.int64)
+    for k in alone.tolist():
+        post[first[k] : first[k] + counts[k]] = _all_blocks(e[first[k] : first[k] + counts[k]], a, at_start)
+    counts = np.where(np.isin(np.arange(len(counts)), alone), 0, counts)
     # The longest chains first, so that those that go on are a prefix.
     order = np.argsort(-counts, kind="stable")
     long = counts[order]
@@ -185,6 +194,49 @@ def posteriors(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, start:
     return post / post.sum(1, keepdims=True)
 
 
+def _all_blocks(e: np.ndarray, a: np.ndarray, at_start: np.ndarray) -> np.ndarray:
+    """Forward times backward messages of one long chain, all its blocks at once.
+
+    The matrices of all words of a block are multiplied, for all blocks in step;
+    a scan over the blocks, a product each, gives the messages that enter each
+    block from either side; then all blocks run in step from these.
+    """
+    words, n = e.shape
+    blocks = -(-words // BLOCK)
+    there = (np.arange(blocks * BLOCK) < words).reshape(blocks, BLOCK)
+    grid = np.ones((blocks * BLOCK, n), np.float64)
+    grid[:words] = e
+    grid, a = grid.reshape(blocks, BLOCK, n), a.astype(np.float64)
+    whole = np.tile(np.eye(n), (blocks, 1, 1))
+    for t in range(BLOCK):
+        moved = whole @ a
+        if t == 0:
+            moved[0] = whole[0]  # nothing comes before the first word
+        new = moved * grid[:, t, None, :]
+        whole = np.where(there[:, t, None, None], new / new.max((1, 2), keepdims=True), whole)
+    left, right = np.empty((blocks, n)), np.ones((blocks, n))
+    left[0] = at_start
+    for k in range(1, blocks):
+        now = left[k - 1] @ whole[k - 1]
+        left[k] = now / now.sum()
+    for k in range(blocks - 1, 0, -1):
+        now = whole[k] @ right[k]
+        right[k - 1] = now / now.sum()
+    out = np.empty_like(grid)
+    for t in range(BLOCK):
+        moved = left @ a
+        if t == 0:
+            moved[0] = left[0]
+        new = moved * grid[:, t]
+        left = np.where(there[:, t, None], new / new.sum(1, keepdims=True), left)
+        out[:, t] = left
+    for t in reversed(range(BLOCK)):
+        out[:, t] *= right
+        new = (grid[:, t] * right) @ a.T
+        right = np.where(there[:, t, None], new / new.sum(1, keepdims=True), right)
+    return out.reshape(-1, n)[:words]
+
+
 def _parts_of(n: int, width: int) -> list[slice]:
     return [slice(k, min(k + width, n)) for k in range(0, n, width)]
 

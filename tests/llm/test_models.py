@@ -1,6 +1,7 @@
 """Held-out accuracy of the two learned operators, and their odd inputs."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.llm import language_crf, quality_mil
@@ -40,6 +41,17 @@ def test_words_of_switched_text(spark, docs):
     assert labels[:12].count("en") >= 10 and labels[-12:].count("de") >= 10
 
 
+@pytest.mark.parametrize("words", [1, 63, 64, 65, 300, 5000])
+def test_blocks_at_once_equal_word_by_word(words, monkeypatch):
+    draw = np.random.default_rng(words)
+    scores, move, start = draw.normal(0, 3, (words + 20, 4)), draw.normal(0, 2, (4, 4)), draw.normal(0, 1, 4)
+    counts = np.array([7, words, 13])
+    monkeypatch.setattr(language_crf, "LONG", 10**9)
+    want = language_crf.posteriors(scores, counts, move, start)
+    monkeypatch.setattr(language_crf, "LONG", 0)
+    assert np.allclose(language_crf.posteriors(scores, counts, move, start), want, atol=1e-9)
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
