@@ -60,12 +60,24 @@ def colors(text: Column) -> Column:
     return F.concat(F.transform(F.regexp_extract_all(text, F.lit(HEX), F.lit(0)), from_hex), by(RGB, _hex), by(HSL, _from_hsl))
 
 
-def fonts(blobs: Column, page: Column) -> Column:
-    """The first family of each declaration in the blobs (the page, then its
-    style sheets), then the page's web fonts: distinct, in order, 20 at most."""
+def declared_fonts(text: Column) -> Column:
+    """The first family of each declaration, unquoted, generic names left out."""
     unquoted = lambda c: F.regexp_replace(strip(c), r"""^['"]+|['"]+$""", "")
-    declared = F.flatten(F.transform(blobs, lambda b: F.transform(F.regexp_extract_all(F.coalesce(b, F.lit("")), F.lit(FAMILY), F.lit(1)), lambda m: unquoted(F.substring_index(m, ",", 1)))))
-    real = F.filter(declared, lambda f: (f != "") & ~F.lower(f).isin(*GENERIC_FONTS) & ~f.startswith("$") & ~f.startswith("--") & ~F.contains(F.lower(f), F.lit("var(")))
+    declared = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FAMILY), F.lit(1)), lambda m: unquoted(F.substring_index(m, ",", 1)))
+    return F.filter(declared, lambda f: (f != "") & ~F.lower(f).isin(*GENERIC_FONTS) & ~f.startswith("$") & ~f.startswith("--") & ~F.contains(F.lower(f), F.lit("var(")))
+
+
+def web_fonts(page: Column) -> Column:
+    """Names in a page's links to web fonts."""
     linked = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(WEB_FONTS), F.lit(1)), lambda q: F.regexp_extract_all(q, F.lit("family=([^&:]+)"), F.lit(1))))
-    named = F.filter(F.transform(linked, lambda f: strip(F.substring_index(decoded(f), ":", 1))), lambda f: f != "")
-    return F.slice(F.array_distinct(F.concat(real, named)), 1, MAX_FONTS)
+    return F.filter(F.transform(linked, lambda f: strip(F.substring_index(decoded(f), ":", 1))), lambda f: f != "")
+
+
+def fonts(blobs: Column, page: Column) -> Column:
+    """The fonts that the blobs declare (the page, then its style sheets), then
+    the page's web fonts: distinct, in order, 20 at most."""
+    return first_fonts(F.flatten(F.transform(blobs, declared_fonts)), web_fonts(page))
+
+
+def first_fonts(declared: Column, linked: Column) -> Column:
+    return F.slice(F.array_distinct(F.concat(declared, linked)), 1, MAX_FONTS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.design import MAX_COLORS, colors, fonts
+from ..functions.design import MAX_COLORS, colors, declared_fonts, first_fonts, web_fonts
 from ..functions.html import KINDS, asset_hrefs, theme_color, title
 from ..functions.urls import file_name, resolved
 from .streams import fold_sorted
@@ -51,19 +51,31 @@ def page_fonts(assets: DataFrame, sheets: DataFrame) -> DataFrame:
     return every.select("page_id", "kind", (F.row_number().over(place) - 1).alias("ord"), "url")
 
 
-def palette(pages: DataFrame, blobs: str = "blobs") -> DataFrame:
-    """(page_id, rank, hex, n): the 12 commonest colours of a page's blobs (its
-    HTML, then its sheets); of equals the first seen."""
-    found = F.flatten(F.transform(blobs, colors))
+def palette(pages: DataFrame, found: Column | None = None) -> DataFrame:
+    """(page_id, rank, hex, n): the 12 commonest colours of a page; of equals the
+    first seen.  ``found`` are its colours in order, by default those of its
+    ``blobs`` (its HTML, then its sheets)."""
+    found = F.flatten(F.transform("blobs", colors)) if found is None else found
     rows = pages.select("page_id", F.posexplode(found).alias("at", "hex"))
     counted = rows.groupBy("page_id", "hex").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     best = Window.partitionBy("page_id").orderBy(F.desc("n"), "first")
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MAX_COLORS).select("page_id", "rank", "hex", "n")
 
 
-def design(pages: DataFrame) -> DataFrame:
-    """(page_id, fonts) of pages (page_id, html, blobs)."""
-    return pages.select("page_id", fonts(F.col("blobs"), F.col("html")).alias("fonts"))
+def design(pages: DataFrame, assets: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(page_id, colors, fonts): what pages (page_id, html) and the first 20 of
+    their style sheets name, in order.
+
+    A sheet is read once, however many pages link to it, and neither it nor a page
+    is shuffled: only the names meet.  A sheet that is not there is left out.
+    """
+    html, css = F.col("html"), F.col("css")
+    own = pages.select("page_id", colors(html).alias("c"), declared_fonts(html).alias("f"), web_fonts(html).alias("w"))
+    each = sheets.select("css_url", colors(css).alias("c"), declared_fonts(css).alias("f"))
+    linked = assets.where((F.col("kind") == "css") & (F.col("ord") < MAX_SHEETS)).select("page_id", F.col("ord").alias("sheet"), F.col("url").alias("css_url"))
+    more = linked.join(each, "css_url").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("sheet", "c", "f"))).alias("s"))
+    of = lambda k: F.flatten(F.concat(F.array(k), F.coalesce(F.transform("s", lambda x: x[k]), F.array().cast("array<array<string>>"))))
+    return own.join(more, "page_id", "left").select("page_id", of("c").alias("colors"), first_fonts(of("f"), F.col("w")).alias("fonts"))
 
 
 def wanted_kinds(listed: Column, scripts: Column) -> Column:
@@ -151,16 +163,6 @@ def unique_names(named: DataFrame) -> DataFrame:
     return clear.unionByName(fold_sorted(clashing, ["page_id", "kind"], ["ord", "url"], _namer, clear.schema))
 
 
-def with_blobs(pages: DataFrame, assets: DataFrame, sheets: DataFrame) -> DataFrame:
-    """``pages`` (page_id, html, ...) with ``blobs``: the HTML, then the texts of the
-    first 20 style sheets in order.  ``sheets`` (css_url, css) is joined by URL
-    to the narrow list of links; a sheet that is not there is left out."""
-    linked = assets.where((F.col("kind") == "css") & (F.col("ord") < MAX_SHEETS)).select("page_id", F.col("ord").alias("sheet"), F.col("url").alias("css_url"))
-    own = linked.join(sheets, "css_url").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("sheet", "css"))).alias("_css"))
-    blobs = F.concat(F.array("html"), F.coalesce(F.transform("_css", lambda c: c["css"]), F.array().cast("array<string>")))
-    return pages.join(own, "page_id", "left").withColumn("blobs", blobs).drop("_css")
-
-
 def answered(assets: DataFrame, responses: DataFrame) -> DataFrame:
     """``assets`` with what came when they were fetched: ok, bytes, error,
     content_type, final_url, backend.  ``responses`` has a row for each URL."""
@@ -168,15 +170,15 @@ def answered(assets: DataFrame, responses: DataFrame) -> DataFrame:
     return own.select("page_id", "kind", "ord", "url", F.coalesce("ok", F.lit(False)).alias("ok"), "bytes", "error", "content_type", "final_url", "backend")
 
 
-def manifests(pages: DataFrame, assets: DataFrame, plan: DataFrame) -> DataFrame:
+def manifests(pages: DataFrame, tokens: DataFrame, assets: DataFrame, plan: DataFrame) -> DataFrame:
     """A row per page: page_id, url, title, page_backend, theme_color, palette,
     fonts, found (a count for every kind), downloaded, assets, page_md.
 
-    ``pages`` has (page_id, url, html, backend, blobs) and ``markdown`` where the
-    page was read too; ``plan`` is a download plan over :func:`answered` assets.
-    Taken ones get a local path, kind and unique file name; the others their
-    error.  Everything meets by page, each frame grouped by page once, so that
-    the last joins shuffle nothing.
+    ``pages`` has (page_id, url, html, backend) and ``markdown`` where the page was
+    read too; ``tokens`` are of :func:`design`; ``plan`` is a download plan over
+    :func:`answered` assets.  Taken ones get a local path, kind and unique file
+    name; the others their error.  Everything meets by page, each frame grouped
+    by page once, so that the last joins shuffle nothing, and no HTML moves.
     """
     names = plan.where("ok").select("page_id", "kind", "ord", "url", file_name(F.coalesce("final_url", "url"), F.col("content_type"), F.lit(None).cast("string")).alias("name"))
     paths = unique_names(names).select("page_id", "kind", "url", F.concat_ws("/", "kind", "path").alias("local_path"))
@@ -186,11 +188,11 @@ def manifests(pages: DataFrame, assets: DataFrame, plan: DataFrame) -> DataFrame
     records = placed.groupBy("page_id").agg(F.count_if("ok").alias("downloaded"), F.array_sort(F.collect_list(F.struct(order.alias("order"), record.alias("r")))).alias("rs"))
     records = records.select("page_id", "downloaded", F.transform("rs", lambda r: r["r"]).alias("assets"))
     counts = assets.groupBy("page_id").agg(F.map_from_entries(F.array(*(F.struct(F.lit(k), F.count_if(F.col("kind") == k)) for k in KINDS))).alias("found"))
-    colours = palette(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hex", "n"))).alias("ps"))
+    colours = palette(tokens, F.col("colors")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "hex", "n"))).alias("ps"))
     colours = colours.select("page_id", F.transform("ps", lambda p: F.struct(p["hex"].alias("hex"), p["n"].alias("count"))).alias("palette"))
     read = F.when(F.col("markdown").isNotNull(), F.lit("page.md")) if "markdown" in pages.columns else F.lit(None).cast("string")
-    heads = pages.select("page_id", "url", title(F.col("html")).alias("title"), F.col("backend").alias("page_backend"), theme_color(F.col("html")).alias("theme_color"), fonts(F.col("blobs"), F.col("html")).alias("fonts"), read.alias("page_md"))
-    joined = heads.join(counts, "page_id", "left").join(records, "page_id", "left").join(colours, "page_id", "left")
+    heads = pages.select("page_id", "url", title(F.col("html")).alias("title"), F.col("backend").alias("page_backend"), theme_color(F.col("html")).alias("theme_color"), read.alias("page_md"))
+    joined = heads.join(counts, "page_id", "left").join(records, "page_id", "left").join(colours, "page_id", "left").join(tokens.select("page_id", "fonts"), "page_id", "left")
     none = F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(0).cast("long")) for k in KINDS)))
     return joined.select(
         "page_id", "url", "title", "page_backend", "theme_color", F.coalesce("palette", F.array().cast(colours.schema["palette"].dataType)).alias("palette"), "fonts",

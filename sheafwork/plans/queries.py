@@ -511,11 +511,11 @@ def sheet_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.page_fonts(assets.pattern_assets(X.derived(spark, sf_dir, X.DESIGN_PAGES)), X.sheets(spark))
 
 
-def _grabbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages with the texts that their design is read from, and their assets."""
+def _grabbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, their assets and their design tokens."""
     pages = X.derived(spark, sf_dir, X.DESIGN_PAGES).withColumn("backend", F.when(F.col("page_id") % 2 == 0, F.lit("direct")).otherwise(F.lit("browser")))
     listed = store.written(assets.pattern_assets(pages), "page-assets")
-    return assets.with_blobs(pages, listed, X.sheets(spark)), listed
+    return pages, listed, assets.design(pages, listed, X.sheets(spark))
 
 
 def _hsl(h: str, s: str, light: str) -> str:
@@ -553,12 +553,12 @@ fo AS (SELECT page_id, array_to_string(list(font ORDER BY o)[:20], ',') AS fonts
 
 @query(f"WITH {_BLOBS} SELECT page_id, rank, hex, n FROM pal")
 def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.palette(_grabbed(spark, sf_dir)[0])
+    return assets.palette(_grabbed(spark, sf_dir)[2], F.col("colors"))
 
 
 @query(f"WITH {_BLOBS} SELECT page_id, coalesce(fonts, '') AS fonts FROM pages LEFT JOIN fo USING (page_id)")
 def page_font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.design(_grabbed(spark, sf_dir)[0]).select("page_id", F.array_join("fonts", ",").alias("fonts"))
+    return _grabbed(spark, sf_dir)[2].select("page_id", F.array_join("fonts", ",").alias("fonts"))
 
 
 _PLAN = f"""
@@ -597,11 +597,11 @@ _ROOM = 12_000_000
   FROM d LEFT JOIN rec USING (page_id) LEFT JOIN cnt USING (page_id) LEFT JOIN pl USING (page_id) LEFT JOIN fo USING (page_id)""")
 def page_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole manifests, their lists as text."""
-    pages, listed = _grabbed(spark, sf_dir)
+    pages, listed, tokens = _grabbed(spark, sf_dir)
     every = store.written(assets.page_fonts(listed, X.sheets(spark)), "page-assets")
     answers = every.select("url").distinct().select("url", F.expr("struct(" + _RESPONSE + ") AS r")).select("url", "r.*")
     plan = store.written(assets.download_plan(assets.answered(every, answers), max_assets=4, max_bytes=_ROOM), "page-plans")
-    rows = assets.manifests(pages, every, plan)
+    rows = assets.manifests(pages, store.written(tokens, "page-tokens"), every, plan)
     record = lambda r: F.concat_ws(" ", r["source_url"], r["kind"], F.when(r["ok"], F.concat_ws(" ", r["local_path"], r["bytes"], F.coalesce(r["content_type"], F.lit("-")), r["backend"])).otherwise(r["error"]))
     found = F.concat_ws(" ", *(F.concat(F.lit(f"{k}:"), F.col("found")[k]) for k in html.KINDS))
     return rows.select(

@@ -172,7 +172,7 @@ def test_whole_manifests(spark):
     every = assets.page_fonts(listed, sheets)
     answers = spark.createDataFrame([("https://e.com/i/a.png", True, 5, None, "image/png", "https://e.com/i/a.png", "direct"), ("https://e.com/f/a.png", True, 90, None, None, None, "direct"), ("https://e.com/s.css", False, None, "http-404", None, None, None)], "url string, ok boolean, bytes long, error string, content_type string, final_url string, backend string")
     plan = assets.download_plan(assets.answered(every, answers), max_bytes=50)
-    rows_ = assets.manifests(assets.with_blobs(pages, listed, sheets), every, plan)
+    rows_ = assets.manifests(pages, assets.design(pages, listed, sheets), every, plan)
     got = {r["page_id"]: r.asDict(recursive=True) for r in rows_.collect()}
     assert got[1] == {
         "page_id": 1, "url": "https://e.com/p", "title": "T", "page_backend": "direct", "theme_color": "#123", "palette": [{"hex": "#112233", "count": 1}, {"hex": "#ff0000", "count": 1}], "fonts": ["Inter"],
