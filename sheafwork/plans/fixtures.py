@@ -29,7 +29,9 @@ SELECT e.event_id AS attempt_id, e.ts, p.url,
   CASE e.event_type WHEN 'error' THEN 'relay' WHEN 'view' THEN 'browser' ELSE 'direct' END AS backend,
   CAST(CASE WHEN e.event_id % 17 = 0 THEN NULL WHEN e.event_id % 7 = 0 THEN 403 WHEN e.event_id % 29 = 0 THEN 999 ELSE 200 END AS INT) AS status,
   CASE WHEN e.event_id % 5 = 0 THEN '<title>Just a moment...</title>' ELSE '' END || CASE WHEN e.event_id % 6 = 0 THEN substring(p.html, 1, CAST(100 + e.event_id % 2000 AS INT)) ELSE p.html END AS body,
-  CASE WHEN e.event_id % 23 = 0 THEN 'challenge' WHEN e.event_id % 31 = 0 THEN 'none' END AS cf_mitigated
+  CASE WHEN e.event_id % 23 = 0 THEN 'challenge' WHEN e.event_id % 31 = 0 THEN 'none' END AS cf_mitigated,
+  CASE WHEN e.event_id % 37 = 0 THEN 'Blocked' WHEN e.event_id % 41 = 0 THEN 'fine' END AS datadome,
+  CASE WHEN e.event_id % 43 = 0 THEN 'a-Challenge-' || CAST(e.event_id AS STRING) WHEN e.event_id % 47 = 0 THEN 'session' END AS akamai
 FROM (SELECT *, (event_id * 31) % (SELECT count(*) FROM pages) AS at FROM events) e JOIN pages p ON p.page_id = e.at
 """
 
@@ -96,10 +98,10 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def fetch_attempts(spark: SparkSession, sf_dir: str, sql: str = FETCH_ATTEMPTS) -> DataFrame:
-    """The response log, its header in a map."""
-    rows = derived(spark, sf_dir, sql)
-    headers = F.when(F.col("cf_mitigated").isNotNull(), F.create_map(F.lit("cf-mitigated"), "cf_mitigated")).otherwise(F.create_map().cast("map<string,string>"))
-    return rows.withColumn("headers", headers).drop("cf_mitigated")
+    """The response log, its headers in a map."""
+    rows, names = derived(spark, sf_dir, sql), {"cf-mitigated": "cf_mitigated", "x-datadome-ch": "datadome", "x-akamai-session-info": "akamai"}
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in names.items())), lambda e: e["value"].isNotNull())
+    return rows.withColumn("headers", F.map_from_entries(entries)).drop(*names.values())
 
 
 def sheets(spark: SparkSession) -> DataFrame:

@@ -76,7 +76,7 @@ def _domain(u: str) -> str:
 
 
 _PHRASE = "(" + " OR ".join(f"contains(lower(substring(body, 1, 8192)), {_quoted([p])})" for p in responses.BLOCK_PHRASES) + ")"
-_REASON = f"CASE WHEN status IS NULL THEN 'no-response' WHEN status >= 400 THEN 'http-' || status WHEN cf_mitigated = 'challenge' THEN 'challenge' WHEN {_PHRASE} THEN 'challenge' END"
+_REASON = f"CASE WHEN status IS NULL THEN 'no-response' WHEN status >= 400 THEN 'http-' || status WHEN cf_mitigated = 'challenge' OR lower(datadome) IN ('blocked', 'challenge') OR contains(lower(akamai), 'challenge') THEN 'challenge' WHEN {_PHRASE} THEN 'challenge' END"
 # ---- pages as text --------------------------------------------------
 
 _NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -283,13 +283,17 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_JUDGED} SELECT attempt_id, reason, size, domain FROM r")
 def response_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.judged(payloads.normalised_log(X.fetch_attempts(spark, sf_dir))).select("attempt_id", "reason", "size", "domain")
+    """Of a header that came in two spellings the later one counts."""
+    log = X.fetch_attempts(spark, sf_dir)
+    twice = log.withColumn("headers", F.map_concat(F.create_map(F.lit("CF-Mitigated"), F.lit("challenge")), F.create_map(F.lit("Cf-Mitigated"), F.lit("none")), "headers"))
+    return capture.judged(payloads.normalised_log(twice)).select("attempt_id", "reason", "size", "domain")
 
 
-@query(f"""SELECT attempt_id, CASE WHEN cf_mitigated IS NOT NULL AND {_PHRASE} THEN 1 ELSE 0 END AS n_headers FROM ({X.FETCH_ATTEMPTS})""")
+@query(f"""SELECT attempt_id, concat_ws(' ', CASE WHEN p THEN 'cf-mitigated=' || cf_mitigated END, CASE WHEN p OR NOT contains(lower(akamai), 'challenge') THEN 'x-akamai-session-info=' || akamai END,
+    CASE WHEN p OR lower(datadome) NOT IN ('blocked', 'challenge') THEN 'x-datadome-ch=' || datadome END) AS headers FROM (SELECT *, {_PHRASE} AS p FROM ({X.FETCH_ATTEMPTS}))""")
 def stale_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = responses.drop_stale_stamps(F.col("headers"), F.col("body"))
-    return X.fetch_attempts(spark, sf_dir).select("attempt_id", F.size(kept).alias("n_headers"))
+    kept = F.array_sort(F.map_entries(responses.drop_stale_stamps(F.col("headers"), F.col("body"))))
+    return X.fetch_attempts(spark, sf_dir).select("attempt_id", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), " ").alias("headers"))
 
 
 @query(f"""SELECT attempt_id, CASE WHEN status IS NULL THEN 'no-response' WHEN status >= 400 THEN 'http-' || status WHEN attempt_id % 3 <> 1 AND {_PHRASE} THEN 'challenge' WHEN length(body) = 0 THEN 'empty'
