@@ -169,7 +169,7 @@ class MilModel:
         return grad
 
 
-def fit(docs: DataFrame, label: Column, text_col: str = "text", *, key: Column | None = None, sample_docs: int = SAMPLE_DOCS, steps: int = 400, width: int = 24, seed: int = 5) -> MilModel | None:
+def fit(docs: DataFrame, label: Column, text_col: str = "text", *, key: Column | None = None, sample_docs: int = SAMPLE_DOCS, **options) -> MilModel | None:
     """Learn from a bounded sample: of either label the ``sample_docs``
     documents with the least hash, of each SAMPLE_PASSAGES passages at most,
     evenly over the whole text.  ``label`` is 1 or 0; other rows are left out.
@@ -178,14 +178,28 @@ def fit(docs: DataFrame, label: Column, text_col: str = "text", *, key: Column |
     a label has no document."""
     key = F.xxhash64(text_col) if key is None else F.xxhash64(key, F.col(text_col))
     own = docs.select(label.cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), key.alias("key")).where("y in (0, 1)")
-    # First the keys alone, so that no text moves; then the texts up to each label's last key.
+    return _fit(own.select("y", "key"), own.select("key", "text"), sample_docs, **options)
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", *, sample_docs: int = SAMPLE_DOCS, **options) -> MilModel | None:
+    """:func:`fit` with labels in a table of their own (id_col, label_col): ids and
+    hashes meet them, no text does."""
+    coded = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    of = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    return _fit(coded.select("id", "key").join(of, "id").select("y", "key"), coded.select("key", "text"), sample_docs, **options)
+
+
+def _fit(known: DataFrame, texts: DataFrame, sample_docs: int, steps: int = 400, width: int = 24, seed: int = 5) -> MilModel | None:
+    """From (y, key) of labelled documents and (key, text) of all."""
     last = {}
     for k in (0, 1):
-        keys = own.where(F.col("y") == k).select("key").distinct().orderBy("key").limit(sample_docs)
+        keys = known.where(F.col("y") == k).select("key").distinct().orderBy("key").limit(sample_docs)
         last[k] = keys.agg(F.max("key")).first()[0]
     if None in last.values():
         return None
-    part = own.where((F.col("key") <= max(last.values())) & (((F.col("y") == 0) & (F.col("key") <= last[0])) | ((F.col("y") == 1) & (F.col("key") <= last[1]))))
+    # 2 * sample_docs keys at most, to which the texts come by broadcast.
+    chosen = known.where(((F.col("y") == 0) & (F.col("key") <= last[0])) | ((F.col("y") == 1) & (F.col("key") <= last[1]))).distinct()
+    part = texts.where(F.col("key") <= max(last.values())).join(F.broadcast(chosen), "key")
     part = part.groupBy("y", "key").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,8 +32,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_mil.MilModel | None:
     """Learned from the labelled documents of the table that are not held out."""
     labels = _table(spark, sf_dir, "labels").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = _table(spark, sf_dir, "documents").where(~held_out()).join(labels, "doc_id")
-    return quality_mil.fit(known, F.col("quality"), key=F.col("doc_id"))
+    return quality_mil.fit_labelled(_table(spark, sf_dir, "documents").where(~held_out()), labels)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

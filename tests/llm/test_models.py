@@ -103,6 +103,9 @@ def test_quality_of_held_out_documents(spark, empty):
         rows.append((k, text if good else draw.choice([text.upper().replace(" ", "!! "), text.replace(" ", " | "), " ".join(w + "###" for w in text.split())]), int(good)))
     frame = spark.createDataFrame([*rows, (900, None, None), (901, "", None)], "doc_id long, text string, quality int")
     model = quality_mil.fit(frame.where(~held_out()), F.col("quality"), key=F.col("doc_id"), steps=150)
+    tables = frame.drop("quality").withColumn("id", F.lit(1)).withColumn("y", F.lit(2)), frame.select("doc_id", "quality")
+    apart = quality_mil.fit_labelled(tables[0].where(~held_out()), tables[1], steps=150)
+    assert all(np.array_equal(model.params[k], apart.params[k]) for k in model.params)
     got = {r["doc_id"]: r for r in quality_mil.score(frame, model, "doc_id", held_out().alias("held")).collect()}
     held = [r for r in rows if got[r[0]]["held"]]
     assert sum(got[r[0]]["predicted"] == r[2] for r in held) / len(held) >= 0.95
