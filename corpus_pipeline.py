@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts.  It learns from the table of
     labels; with no label of either kind nothing is rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    model = quality_mil.fit(docs.where(~held_out()).select("doc_id", "text").join(labels, "doc_id"), F.col("_quality"), key=F.col("doc_id"))
+    model = quality_mil.fit_labelled(docs.where(~held_out()), labels, label_col="_quality")
     scored = quality_mil.score(docs, model, F.struct(*docs.columns).alias("row"))
     return scored.where("predicted = 1").select("row.*")
 
