@@ -88,7 +88,9 @@ def _unescape(t: str) -> str:
     return t
 
 
-_TEXT = _unescape(r"regexp_replace(regexp_replace({html}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g')")
+_TAGLESS = r"regexp_replace(regexp_replace({html}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g')"
+#: A page that broke off within a reference ends with one that lacks its semicolon.
+_TEXT = _unescape(rf"regexp_replace(regexp_replace({_TAGLESS}, '&(amp|lt|gt|quot|copy|nbsp|middot|#x27|#39)$', '&\1;'), '&#(x2|3)$', '')")
 #: The text of a page, with {html} for the column.
 _PLAIN = rf"trim(regexp_replace(regexp_replace({_TEXT}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(160))"
 
