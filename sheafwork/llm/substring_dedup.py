@@ -2,9 +2,9 @@
 
 A string of ``least`` bytes (50) counts as repeated if it also starts in a
 document with a smaller id.  Prefix doubling names every suffix by its first 16
-bytes and then by pairs of names at an offset: two names of 16 bytes 17 apart
-are one of 33, two of 33 that overlap, 17 apart, are one of 50, which is past
-the threshold.  After each step Spark sorts the names, and suffixes whose name
+bytes and then by pairs of names at an offset: two names of 16 bytes 16 apart
+are one of 32, two of 32 that overlap, 18 apart, are one of 50: the
+threshold.  After each step Spark sorts the names, and suffixes whose name
 is unique are dropped.  A name is a hash of its pair and not the pair's place
 in the sorted order: only equality matters, and nothing has to be sent back.
 
@@ -18,7 +18,7 @@ position in eighteen takes part.
    whose name occurs in no other document is dropped.
 2. Names of the whole context: all windows of 50 bytes that picked a position
    form one string.  If a smaller document has the same one, all are repeated.
-3. For the first document of each context, names of 33 bytes to the right and
+3. For the first document of each context, names of 32 bytes to the right and
    to the left (every window covers one of them): unique ones are dropped.
 4. Names of 50 bytes for the windows that are left: the threshold.
 
@@ -44,12 +44,16 @@ LEAST = 50
 #: Bytes of the first name, picked from REACH positions: NAME + REACH - 1 = LEAST.
 NAME = 16
 REACH = LEAST - NAME + 1
-SIDE = 33
+SIDE = 2 * NAME
 _BACK = SIDE - NAME
+#: From the first name of SIDE bytes in LEAST to the second; they overlap.
+_NEXT = LEAST - SIDE
 #: Bytes that are named at a time.
 CHUNK = 1 << 21
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Of the two independent names: factors of the first and of the second 8 bytes.
+_FACTORS = [(_C1, np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -68,9 +72,10 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 def _names(words: np.ndarray, seed: int = 0) -> np.ndarray:
     """Names of the 16 bytes from each position; never 0."""
-    h = words[:-8] * _C1 + np.uint64(seed * 0x27D4EB2F165667C5)
+    one, two = _FACTORS[seed]
+    h = words[:-8] * one
     h ^= h >> np.uint64(32)
-    h += words[8:]
+    h += words[8:] * two  # without a factor, a few changed bytes of one half make up for those of the other
     h *= _C3
     h ^= h >> np.uint64(29)
     h *= _C2
@@ -132,7 +137,7 @@ def picked(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(texts: Texts, at: np.ndarray) -> dict[str, np.ndarray]:
     """For sorted picked positions: the first and last window that picks each,
-    the name of what they cover, and the names of 33 bytes on each side."""
+    the name of what they cover, and the names of 32 bytes on each side."""
     parts = []
     for a in range(0, texts.size, CHUNK):
         own = at[(at >= a) & (at < min(a + CHUNK, texts.size))]
@@ -338,9 +343,10 @@ _WINDOW = ["na", "nb", "doc_id", "version", "at", "rep"]
 
 
 def _windows_of(n16: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Names of 50 bytes: two names of 33, each of two names of 16."""
-    a, b, c = n16[at], n16[at + _BACK], n16[at + 2 * _BACK]
-    return _pair(_pair(a, b), _pair(b, c))
+    """Names of 50 bytes: two names of 32, each of two names of 16 with no byte
+    between them."""
+    a, b, c, d = (n16[at + k] for k in (0, _BACK, _NEXT, _NEXT + _BACK))
+    return _pair(_pair(a, b), _pair(c, d))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +425,7 @@ def repeated_runs(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
     ranked = common.written(ranked, "suffix-contexts")
     whole = ranked.where("not rep").select("doc_id", "version", "first", (F.col("last") + LEAST).alias("end"))
 
-    # Windows from `at - _BACK` on cover the 33 bytes to the right, earlier ones those to the left.
+    # Windows from `at - _BACK` on cover the 32 bytes to the right, earlier ones those to the left.
     split = F.col("at") - _BACK
     right = F.struct(F.greatest("first", split).alias("first"), F.col("last").alias("last"), F.col("right").alias("name"))
     left = F.struct(F.col("first").alias("first"), F.least(F.col("last"), split - 1).alias("last"), F.col("left").alias("name"))

@@ -328,3 +328,23 @@ def test_substring_removal_with_repeated_ids_over_partitions(spark, seed, parts)
     rows = [(int(draw.integers(0, 9)), "".join(draw.choice(list("uvwxyz"), draw.integers(0, 50))) + "".join(draw.choice(shared, draw.integers(0, 4)))) for _ in range(70)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect()) == sorted(removed(rows))
+
+
+def test_substring_removal_of_texts_that_differ_in_a_byte(spark):
+    """The byte may stand anywhere in a window: no name may leave it out."""
+    draw = np.random.default_rng(5)
+    base = "".join(draw.choice(list("abcdefghijklmnop "), 240))
+    rows = [(0, base)] + [(k, base[: 60 + k] + "#" + base[61 + k :]) for k in range(1, 120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect())
+    assert got == sorted(removed(rows)) and {g[2] for g in got[1:]} == {239}
+
+
+def test_substring_removal_of_texts_with_changes_that_make_up_for_each_other(spark):
+    """Three bytes that changed both names of 16 bytes by sums that cancel."""
+    draw = np.random.default_rng(6)
+    base = "".join(draw.choice(list("abcdefghijklmnop "), 300))
+    a, b = "hbc xgihmr ntxfl", "hbc xgitmr jtxfp"
+    rows = [(50 * (t is b) + k, base[: 40 + k] + t + base[60 : 120 + k]) for k in range(20) for t in (a, b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect()) == sorted(removed(rows))
