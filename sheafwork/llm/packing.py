@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder, slices, with_end
 
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 2_000_000
+
 _TOKENS = "part int, ordinal long, doc_id long, start_in_part long, n_tokens long, ids binary"
 
 
@@ -31,7 +34,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", t
         part, start, ordinal = TaskContext.get().partitionId(), 0, 0
         bulk = encoder(tokenizer_path, leading_space)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 n = piece.num_rows
                 ids, bounds = with_end(*bulk.encode(pc.fill_null(piece["text"], "")), end_id)
                 sizes = np.diff(bounds)

@@ -26,7 +26,8 @@ SAMPLE_PASSAGES = 64
 CODES = 1 << 12
 CODE_WIDTH = 8
 PASSAGE_WORDS = 48
-_SLICE_BYTES = 2_000_000
+#: Bytes of text that are encoded at a time, each in some 78 bytes of working memory.
+_SLICE_BYTES = 250_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b"\n", b".", b",", b"!", b"?", b"|", b"#", b"$", b"%", b"&", b"*", b"@", b":;", b"\"'()-", b"<>=/\\_{}[]~^`+"]

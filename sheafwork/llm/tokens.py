@@ -139,13 +139,13 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, bounds
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch of about SLICE_BYTES of text; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch of about ``size`` bytes of text; a longer text stands alone."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         done = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, done + size, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -189,3 +189,21 @@ def test_forward_pass_matches_a_plain_one():
         weight = np.exp(raw) / np.exp(raw).sum()
         score = 1 / (1 + np.exp(-(sum(w * h for w, h in zip(weight, hidden, strict=True)) @ p["c"] + p["cb"])))
         assert abs(score - got["score"][k]) < 1e-9
+
+
+def test_working_memory_of_a_large_batch_is_bounded():
+    """Workers stay for the stages after, with what they once took."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(draw.choice(["one", "two.", "three,", "four"], 400)) for _ in range(2000)])], names=["text"])
+    model = quality_mil.new_model(quality_mil.encode_passages(batch["text"].slice(0, 20)), 24, draw)
+    tracemalloc.start()
+    try:
+        n = sum(len(model.forward(quality_mil.encode_passages(part["text"]))["score"]) for part in quality_mil._slices(batch, "text"))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 and most < 60e6, most
