@@ -30,7 +30,7 @@ costs work and nothing else.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +48,18 @@ SIDE = 2 * NAME
 _BACK = SIDE - NAME
 #: From the first name of SIDE bytes in LEAST to the second; they overlap.
 _NEXT = LEAST - SIDE
-#: Bytes that are named at a time.
-CHUNK = 1 << 21
+#: Bytes of text that are taken at a time, and of these named at a time (fewer than _SPOT can tell apart).
+CHUNK, BLOCK = 1 << 21, 1 << 16
+#: Rows whose runs are united at a time.
+GATHERED = 1 << 18
+#: A name with more rows in a batch is hot.
+HOT = 8
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Of the two independent names: factors of the first and of the second 8 bytes.
 _FACTORS = [(_C1, np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))]
+#: Low bits of a name that give way to its place in a block: the least of these is the leftmost of equal names.
+_SPOT, _NONE = np.uint64((1 << 18) - 1), np.uint64(2**64 - 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -63,24 +69,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one number."""
-    two = data[:-1].astype(np.uint16) | (data[1:].astype(np.uint16) << np.uint16(8))
-    four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
-    return four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
-
-
-def _names(words: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Names of the 16 bytes from each position; never 0."""
+def _name(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Names of 16 bytes, given as two numbers of 8; never 0."""
     one, two = _FACTORS[seed]
-    h = words[:-8] * one
+    h = a * one
     h ^= h >> np.uint64(32)
-    h += words[8:] * two  # without a factor, a few changed bytes of one half make up for those of the other
+    h += b * two  # without a factor, a few changed bytes of one half make up for those of the other
     h *= _C3
     h ^= h >> np.uint64(29)
     h *= _C2
     h ^= h >> np.uint64(32)
-    return h | np.uint64(1)
+    h |= np.uint64(1)
+    return h
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,6 +107,8 @@ class Texts:
         self.bounds = offsets - offsets[0]
         self.size = len(data)
         self.data = np.concatenate([data, np.zeros(128, np.uint8)])
+        #: The 8 bytes from each position as one number, without a copy.
+        self.words = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))
 
     def of(self, k: int) -> np.ndarray:
         return self.data[self.bounds[k] : self.bounds[k + 1]]
@@ -114,67 +116,57 @@ class Texts:
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, "right") - 1
 
-
-def picked(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that some window of LEAST bytes picks, and their names."""
-    out, names = [], []
-    for a in range(0, texts.size, CHUNK):
-        b = min(a + CHUNK, texts.size)
-        h = _names(_words(texts.data[a : b + 128]))[: b - a + REACH + 1]
-        starts = np.arange(a, b)
-        ends = texts.bounds[texts.owner(starts) + 1] if len(texts.bounds) > 2 else texts.size
-        least = np.where(starts + LEAST <= ends, _slide(h[: b - a + REACH - 1], REACH, np.minimum), np.uint64(0))
-        pad = np.zeros(REACH - 1, np.uint64)
-        most = _slide(np.concatenate([pad, least, pad]), REACH, np.maximum)
-        hit = np.flatnonzero(most == h[: len(most)])
-        out.append(a + hit)
-        names.append(h[hit])
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(out), return_index=True)
-    return at, np.concatenate(names)[first]
-
-
-def contexts(texts: Texts, at: np.ndarray) -> dict[str, np.ndarray]:
-    """For sorted picked positions: the first and last window that picks each,
-    the name of what they cover, and the names of 32 bytes on each side."""
-    parts = []
-    for a in range(0, texts.size, CHUNK):
-        own = at[(at >= a) & (at < min(a + CHUNK, texts.size))]
-        low = max(0, a - 128)
-        if len(own) == 0:
-            continue
-        words = _words(texts.data[low : a + CHUNK + 256])
-        h, other = _names(words), _names(words, 1)
-        for k in range(0, len(own), 1 << 15):
-            p = own[k : k + (1 << 15)]
-            near = np.arange(1 - REACH, REACH)
-            spot = np.clip(p[:, None] + near - low, 0, len(h) - 1)
-            around, mine = h[spot], h[p - low]
-            before = (around[:, : REACH - 1] <= mine[:, None]) & (p[:, None] + near[: REACH - 1] >= 0)
-            after = around[:, REACH:] < mine[:, None]
-            last = np.where(before.any(1), p - (np.argmax(before[:, ::-1], 1) + 1), p - REACH)
-            nxt = np.where(after.any(1), p + np.argmax(after, 1) + 1, p + REACH)
-            doc = texts.owner(p)
-            first_w = np.maximum(last + 1, texts.bounds[doc])
-            last_w = np.minimum(nxt - REACH, texts.bounds[doc + 1] - LEAST)
-            ok = first_w <= last_w
-            p, first_w, last_w = p[ok], first_w[ok], last_w[ok]
-            size, base = last_w - first_w + LEAST, first_w - low
-            names = []
-            for n16 in (h, other):
-                g = _mix(size.astype(np.uint64) * _C3 + (p - first_w).astype(np.uint64) * _C1)
-                for j in range(0, LEAST + REACH, NAME):
-                    g = np.where(j + NAME <= size, _pair(g, n16[np.minimum(base + j, len(n16) - 1)]), g)
-                names.append(_pair(g, n16[base + size - NAME]))
-            right = _pair(h[p - low], h[p + _BACK - low])
-            before = np.maximum(p - _BACK - low, 0)
-            left = _pair(h[before], h[before + _BACK])
-            parts.append((p, first_w, last_w, *names, right, left))
-    keys = ("at", "first", "last", "ua", "ub", "right", "left")
-    if not parts:
-        return {k: np.zeros(0, np.int64) for k in keys}
-    return {k: np.concatenate(x) for k, x in zip(keys, zip(*parts, strict=True), strict=True)}
+    def ends(self, a: int, b: int) -> np.ndarray:
+        """For each position from a to b, where its text ends."""
+        low, high = int(np.searchsorted(self.bounds, a, "right")) - 1, int(np.searchsorted(self.bounds, b, "left"))
+        return np.repeat(self.bounds[low + 1 : high + 1], np.diff(np.clip(self.bounds[low : high + 1], a, b)))
+
+    def names(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two names of the 16 bytes from each of these positions."""
+        a, b = self.words[at], self.words[at + 8]
+        return _name(a, b), _name(a, b, 1)
+
+
+def picked(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that some window of LEAST bytes picks, in order, with the first
+    and the last window that does, and their names."""
+    parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    for a in range(0, texts.size, BLOCK):
+        b = min(a + BLOCK, texts.size)
+        words = texts.words[a : b + REACH + 8].copy()
+        h = _name(words[:-8], words[8:])[: b - a + REACH - 1]
+        least = _slide((h & ~_SPOT) | np.arange(len(h), dtype=np.uint64), REACH, np.minimum)
+        least[np.arange(a + LEAST, b + LEAST) > texts.ends(a, b)] = _NONE
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        last = np.append(first[1:], b - a) - 1
+        spot = least[first]
+        ok = spot != _NONE
+        spot = (spot[ok] & _SPOT).astype(np.int64)
+        parts.append((a + spot, a + first[ok], a + last[ok], h[spot]))
+    at, first, last, names = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if len(at) == 0:
+        return at, first, last, names
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # a position may be picked from two blocks
+    return at[start], first[start], last[np.append(start[1:], len(at)) - 1], names[start]
+
+
+def contexts(texts: Texts, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """For picked positions with their windows: the name of what the windows
+    cover, in two halves, and the names of 32 bytes to the right and to the left."""
+    parts = [(np.zeros(0, np.uint64),) * 4]
+    for k in range(0, len(at), 1 << 14):
+        p, base, final = (x[k : k + (1 << 14)] for x in (at, first, last))
+        size = final - base + LEAST
+        g = _mix(size.astype(np.uint64) * _C3 + (p - base).astype(np.uint64) * _C1)
+        g = [g, g]
+        for j in range(0, LEAST + REACH - NAME, NAME):
+            named = texts.names(np.minimum(base + j, base + size - NAME))
+            more = [_pair(one, n16) for one, n16 in zip(g, named, strict=True)]
+            g = more if j + NAME <= LEAST else [np.where(j + NAME <= size, new, old) for new, old in zip(more, g, strict=True)]
+        ua, ub = (_pair(one, n16) for one, n16 in zip(g, texts.names(base + size - NAME), strict=True))
+        before, here, after = (texts.names(x)[0] for x in (np.maximum(p - _BACK, 0), p, p + _BACK))
+        parts.append((ua, ub, _pair(here, after), _pair(before, here)))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -196,61 +188,98 @@ def _list_bounds(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
 
 
-#: What a row of the first sort is: an occurrence; one that shares its name with
-#: another document of its own batch, and so need not be sorted; one of
-#: two rows, with the least and the greatest id, that stand for these in the sort.
-_PLAIN, _SURE, _STANDS = 0, 1, 2
+def _starts(*names: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows start."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([n[1:] != n[:-1] for n in names])]))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, doc_id, version, at, kind) of picked positions.  A name that many documents
-    of a batch share is sent twice: a hot one costs two rows for each batch."""
-    for batch in batches:
-        for part in _batches(batch):
-            texts = Texts(part["text"])
-            at, names = picked(texts)
-            if len(at) == 0:
-                continue
-            owner = texts.owner(at)
-            ids, versions = (part[k].to_numpy(zero_copy_only=False)[owner] for k in ("doc_id", "version"))
-            order = np.argsort(names, kind="stable")
-            names, ids, versions, at = names[order], ids[order], versions[order], (at - texts.bounds[owner])[order]
-            start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-            low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
-            shared = low != high
-            sure = np.repeat(shared, np.diff(np.append(start, len(names))))
-            # Both ends of the range of ids: either may be the one that another batch lacks.
-            stands, ends = np.repeat(start[shared], 2), np.stack([low[shared], high[shared]], 1).ravel()
-            spread = _mix(ids.view(np.uint64) * _C1 + at.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _long(np.concatenate([np.where(sure, spread, names), names[stands]])),
-                    _long(np.concatenate([ids, ends])),
-                    _long(np.concatenate([versions, versions[stands]])),
-                    pa.array(np.concatenate([at, at[stands]]).astype(np.int32)),
-                    pa.array(np.concatenate([np.where(sure, _SURE, _PLAIN), np.full(len(stands), _STANDS)]).astype(np.int8)),
-                ],
-                names=["name", "doc_id", "version", "at", "kind"],
-            )
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by name: keep occurrences of names that two documents have.
-    A name is taken up again with the next batch by its last rows."""
-
-    def keep(rows: list[np.ndarray]) -> pa.RecordBatch:
-        name, ids, versions, at, kind = rows
-        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        free = kind != _SURE
-        low = np.minimum.reduceat(np.where(free, ids, np.iinfo(np.int64).max), start)
-        high = np.maximum.reduceat(np.where(free, ids, np.iinfo(np.int64).min), start)
-        wide = np.repeat(low < high, np.diff(np.append(start, len(name))))
-        ok = (kind == _SURE) | (wide & (kind == _PLAIN))
-        return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(versions[ok]), pa.array(at[ok])], names=["doc_id", "version", "at"])
+def _over(values: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """A value of each run for each of its rows."""
+    return np.repeat(values, np.diff(np.append(start, n)))
+
+
+# A ``place`` is a number whose two lowest bits tell what the row is, and whose
+# other bits tell a position and its windows: each column less is less for Spark
+# to move, sort and pass to Python.
+#
+#: Rows of a sort by name: an occurrence; one that shares its name with another
+#: document of its own batch, and so need not be sorted; one of two rows, with
+#: the least and the greatest id, that stand for these in the sort.  Beside
+#: them: windows that are known to be repeated.
+_PLAIN, _SURE, _STANDS, _DONE = 0, 1, 2, 3
+
 
+def _picked_place(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A position with the first and the last window that picks it: both start at most REACH - 1 bytes before it."""
+    return (at << 14) | ((at - first) << 8) | ((at - last) << 2)
+
+
+def _picked_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = place >> 14
+    return at, at - ((place >> 8) & 63), at - ((place >> 2) & 63)
+
+
+def _split_hot(name: np.ndarray, ids: np.ndarray, rest: list[np.ndarray], spread: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(name, [ids, *rest], kind): what a batch sends to the sort by name.  A name with more
+    than HOT rows from several documents is sent by two rows, and its own rows under ``spread``:
+    a hot one costs the sort a few rows for each batch."""
+    if len(name) == 0:
+        return name, [ids, *rest], np.zeros(0, np.int64)
+    order = np.argsort(name)
+    name, spread, ids, *rest = (x[order] for x in (name, spread, ids, *rest))
+    start = _starts(name)
+    low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
+    hot = (low != high) & (np.diff(np.append(start, len(name))) > HOT)
+    sure = _over(hot, start, len(name))
+    # Both ends of the range of ids: either may be the one that another batch lacks.
+    stands, ends = np.repeat(start[hot], 2), np.stack([low[hot], high[hot]], 1).ravel()
+    names = np.concatenate([np.where(sure, spread, name), name[stands]])
+    kind = np.concatenate([np.where(sure, _SURE, _PLAIN), np.full(len(stands), _STANDS)])
+    return names, [np.concatenate([ids, ends]), *(np.concatenate([x, x[stands]]) for x in rest)], kind
+
+
+def _suffixes(keys: list[str]):
+    """(name, keys, place) of picked positions."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _batches(batch):
+                texts = Texts(part["text"])
+                at, first, last, names = picked(texts)
+                if len(at) == 0:
+                    continue
+                owner = texts.owner(at)
+                base = texts.bounds[owner]
+                ids, *rest = (part[k].to_numpy(zero_copy_only=False)[owner] for k in keys)
+                spread = _mix(ids.view(np.uint64) * _C1 + (at - base).astype(np.uint64))
+                names, own, kind = _split_hot(names, ids, [*rest, _picked_place(at - base, first - base, last - base)], spread)
+                own[-1] |= kind
+                yield pa.RecordBatch.from_arrays([_long(x) for x in (names, *own)], names=["name", *keys, "place"])
+
+    return rows
+
+
+def _gathered(chunks: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Chunks of columns, joined to some GATHERED rows."""
+    held, n = [], 0
+    for chunk in chunks:
+        if len(chunk[0]) == 0:
+            continue
+        held.append(chunk)
+        n += len(chunk[0])
+        if n >= GATHERED:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _sorted_by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole names, of rows sorted by the first column.  A name is
+    taken up again with the next batch by its last rows."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("name", "doc_id", "version", "at", "kind")]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         if len(rows[0]) == 0:
@@ -258,118 +287,160 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
         held = [x[cut:] for x in rows]
         if cut:
-            yield keep([x[:cut] for x in rows])
+            yield [x[:cut] for x in rows]
     if held is not None and len(held[0]):
-        yield keep(held)
+        yield held
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each position that a window picks."""
-    for batch in batches:
-        parts = []
-        for part in _batches(batch):
-            texts = Texts(part["text"])
-            bounds = _list_bounds(part["at"])
-            row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            at = part["at"].flatten().to_numpy(zero_copy_only=False) + texts.bounds[row]
-            c = contexts(texts, np.sort(at))
-            owner = texts.owner(c["at"])
-            base = texts.bounds[owner]
-            ids, versions = (part[k].to_numpy(zero_copy_only=False)[owner] for k in ("doc_id", "version"))
-            parts.append([c["ua"], c["ub"], ids, versions, c["at"] - base, c["first"] - base, c["last"] - base, c["right"], c["left"]])
-        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        if len(rows[0]) == 0:
-            continue
-        ua, ub, ids, versions, *places, right, left, rep = _least_first(rows)
-        yield pa.RecordBatch.from_arrays([_long(ua), _long(ub), pa.array(ids), pa.array(versions), *(pa.array(x.astype(np.int32)) for x in places), _long(right), _long(left), pa.array(rep)], names=_CONTEXT)
-
-
-_CONTEXT = ["ua", "ub", "doc_id", "version", "at", "first", "last", "right", "left", "rep"]
+def _shared(keys: list[str]):
+    """(keys, place) of occurrences of names that two documents have, from rows sorted by name."""
 
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, *rest, place in _sorted_by_name(batches):
+            start = _starts(name)
+            kind = place & 3
+            free = kind != _SURE
+            low = np.minimum.reduceat(np.where(free, ids, np.iinfo(np.int64).max), start)
+            high = np.maximum.reduceat(np.where(free, ids, np.iinfo(np.int64).min), start)
+            ok = (kind == _SURE) | (_over(low < high, start, len(name)) & (kind == _PLAIN))
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids, *rest, place & ~3)], names=[*keys, "place"])
 
-def _ranked(columns: list[str], given: Callable[[list[np.ndarray], np.ndarray], pa.RecordBatch]):
-    """A pass over rows sorted by their first two columns, a name in two halves;
-    the third is doc_id and the last ``rep``.  ``given(rows, first)`` gets whole
-    names, where ``first`` marks rows with ``rep`` in the least document of
-    their name.  A name is taken up again with the next batch by its last rows."""
+    return kept
 
-    def rank(rows: list[np.ndarray]) -> pa.RecordBatch:
-        na, nb, ids, *_, rep = rows
-        start = np.flatnonzero(np.concatenate([[True], (na[1:] != na[:-1]) | (nb[1:] != nb[:-1])]))
-        least = np.repeat(np.minimum.reduceat(np.where(rep, ids, np.iinfo(np.int64).max), start), np.diff(np.append(start, len(na))))
-        return given(rows, rep & (ids == least))
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in stream:
-            rows = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if len(rows[0]) == 0:
-                continue
-            change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            held = [x[cut:] for x in rows]
-            if cut:
-                yield rank([x[:cut] for x in rows])
-        if held is not None and len(held[0]):
-            yield rank(held)
-
-    return batches
-
-
-def _first_of_context(rows: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[2:-1]), pa.array(first)], names=_CONTEXT[2:])
+def _least_first(na: np.ndarray, nb: np.ndarray, ids: np.ndarray, rest: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows (name halves, ids, ...) of a batch with the last column, a place,
+    marked 1 except where a smaller document of the batch has the same name.
+    Such rows are done with and get a name of their own, so a hot name costs the
+    sort no more than a few rows for each batch."""
+    order, start = _by_name(na, nb)
+    na, nb, ids, *rest = (x[order] for x in (na, nb, ids, *rest))
+    rep = ids == _over(np.minimum.reduceat(ids, start), start, len(ids))
+    spread = _mix(ids.view(np.uint64) * _C1 + np.arange(len(ids), dtype=np.uint64))
+    return [np.where(rep, na, spread), np.where(rep, nb, np.uint64(0)), ids, *rest[:-1], rest[-1] | rep]
 
 
-def _repeated_windows(rows: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in rows[2:-1]], names=_WINDOW[2:-1])
+def _by_name(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by names in two halves, and where each name starts in it."""
+    order = np.argsort(na)
+    a, b = na[order], nb[order]
+    start = _starts(a)
+    if len(start) < len(a):  # equal first halves rarely have unequal second ones
+        within = np.ones(len(a), bool)
+        within[start] = False
+        if (within[1:] & (b[1:] != b[:-1])).any():
+            order = np.lexsort((nb, na))
+            start = _starts(na[order], nb[order])
+    return order, start
 
 
-def _least_first(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """The rows (name halves, doc_id, ...) of a batch with ``rep`` last: false
-    where a smaller document of the batch has the same name.  Such rows are
-    done with and get a name of their own, so a hot name costs the sort no more
-    than a few rows for each batch."""
-    order = np.lexsort((rows[2], rows[1], rows[0]))
-    na, nb, ids, *rest = (x[order] for x in rows)
-    new = np.concatenate([[True], (na[1:] != na[:-1]) | (nb[1:] != nb[:-1])])
-    rep = ids == ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-    spread = _mix(ids.view(np.uint64) * _C1 + np.arange(len(ids), dtype=np.uint64))
-    return [np.where(rep, na.view(np.uint64), spread), np.where(rep, nb.view(np.uint64), np.uint64(0)), ids, *rest, rep]
+def _contexts(keys: list[str]):
+    """(ua, ub, keys, place, right, left): a row for each position that a window picks."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _batches(batch):
+                texts = Texts(part["text"])
+                row = np.repeat(np.arange(part.num_rows), np.diff(_list_bounds(part["places"])))
+                place = part["places"].flatten().to_numpy(zero_copy_only=False)
+                if len(place) == 0:
+                    continue
+                base = texts.bounds[row]
+                ua, ub, right, left = contexts(texts, *(x + base for x in _picked_of(place)))
+                ids, *rest = (part[k].to_numpy(zero_copy_only=False)[row] for k in keys)
+                ua, ub, *own, right, left, place = _least_first(ua, ub, ids, [*rest, right, left, place])
+                yield pa.RecordBatch.from_arrays([_long(x) for x in (ua, ub, *own, place, right, left)], names=["ua", "ub", *keys, "place", "right", "left"])
+
+    return rows
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """From rows sorted by the first half of their name (two columns; then doc_id):
+    the other columns, and which rows are marked in column ``place`` and in the least document of their name."""
+    for rows in _sorted_by_name(batches):
+        order, start = _by_name(rows[0], rows[1])
+        rows = [x[order] for x in rows]
+        rep, ids = (rows[place] & 1).astype(bool), rows[2]
+        least = np.minimum.reduceat(np.where(rep, ids, np.iinfo(np.int64).max), start)
+        yield rows[2:], rep & (ids == _over(least, start, len(ids)))
+
+
+def _united(own: list[np.ndarray], first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Columns of the maximal runs of each document's [first, end)."""
+    if len(first) == 0:
+        return [*own, first, end]
+    order = np.lexsort((first, *own[::-1]))
+    own, first, end = [x[order] for x in own], first[order], end[order]
+    start = _starts(*own)
+    group = _over(np.arange(len(start)), start, len(first)) << 32
+    most = np.maximum.accumulate(group + end)
+    new = np.flatnonzero(np.concatenate([[True], (group + first)[1:] > most[:-1]]))
+    return [*(x[new] for x in own), first[new], (most - group)[np.append(new[1:], len(first)) - 1]]
+
+
+def _first_of_context(keys: list[str]):
+    """(name, keys, first, last, kind) from rows sorted by context: windows that a smaller document
+    has too (_DONE), and for the others the names of the 32 bytes that they share."""
+    columns, n = ["name", *keys, "first", "last", "kind"], len(keys)
+
+    def batch_of(name: np.ndarray, own: list[np.ndarray], first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_long(name), *(pa.array(x) for x in own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(kind.astype(np.int8))], names=columns)
+
+    def sides(rows: list[np.ndarray], firsts: np.ndarray) -> pa.RecordBatch:
+        *own, place, right, left = (x[firsts] for x in rows)
+        at, first, last = _picked_of(place)
+        # Windows from `at - _BACK` on cover the 32 bytes to the right, earlier ones those to the left.
+        low, high = np.concatenate([np.maximum(first, at - _BACK), first]), np.concatenate([last, np.minimum(last, at - _BACK - 1)])
+        ok = low <= high
+        name, low, high, ids, *rest = (x[ok] for x in (np.concatenate([right, left]), low, high, *(np.concatenate([x, x]) for x in own)))
+        spread = _mix(ids.view(np.uint64) * _C1 + low.astype(np.uint64)).view(np.int64)
+        name, own, kind = _split_hot(name, ids, [*rest, low, high], spread)
+        return batch_of(name, own[:-2], own[-2], own[-1], kind)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *rows, firsts in _gathered([*rows, firsts] for rows, firsts in _ranked(batches, n + 2)):
+            yield sides(rows, firsts)
+            *own, place, _, _ = (x[~firsts] for x in rows)
+            _, first, last = _picked_of(place)
+            *own, first, end = _united(own, first, last + LEAST)
+            yield batch_of(np.zeros(len(first), np.int64), own, first, end - LEAST, np.full(len(first), _DONE))
+
+    return rows
+
+
+def _windows(keys: list[str]):
+    """(na, nb, keys, place): a row for each window of the runs, with its name."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _batches(batch):
+                texts = Texts(part["text"])
+                row = np.repeat(np.arange(part.num_rows), np.diff(_list_bounds(part["runs"])))
+                runs = part["runs"].flatten().to_numpy(zero_copy_only=False)
+                first, n = runs >> 8, ((runs >> 2) & 63) + 1
+                own = [part[k].to_numpy(zero_copy_only=False) for k in keys]
+                owner = np.repeat(row, n)
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                for k in range(0, len(at), 1 << 17):
+                    w, o = at[k : k + (1 << 17)], owner[k : k + (1 << 17)]
+                    named = [texts.names(texts.bounds[o] + w + j) for j in (0, _BACK, _NEXT, _NEXT + _BACK)]
+                    # Names of 50 bytes: two names of 32, each of two names of 16 with no byte between them.
+                    na, nb = (_pair(_pair(a, b), _pair(c, d)) for a, b, c, d in zip(*named, strict=True))
+                    ids, *rest = (x[o] for x in own)
+                    yield pa.RecordBatch.from_arrays([_long(x) for x in _least_first(na, nb, ids, [*rest, w << 2])], names=["na", "nb", *keys, "place"])
 
-_WINDOW = ["na", "nb", "doc_id", "version", "at", "rep"]
+    return rows
 
 
-def _windows_of(n16: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Names of 50 bytes: two names of 32, each of two names of 16 with no byte
-    between them."""
-    a, b, c, d = (n16[at + k] for k in (0, _BACK, _NEXT, _NEXT + _BACK))
-    return _pair(_pair(a, b), _pair(c, d))
+def _repeated_windows(keys: list[str]):
+    """(keys, first, end) from rows sorted by window: what windows cover that a smaller document has too."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *own, place in _gathered([x[~firsts] for x in rows] for rows, firsts in _ranked(batches, len(keys) + 2)):
+            *own, first, end = _united(own, place >> 2, (place >> 2) + LEAST)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names=[*keys, "first", "end"])
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of the runs, with its name."""
-    for batch in batches:
-        for part in _batches(batch):
-            texts = Texts(part["text"])
-            bounds = _list_bounds(part["runs"])
-            row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            runs = part["runs"].flatten()
-            first, last = (runs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            ids, versions = (part[k].to_numpy(zero_copy_only=False) for k in ("doc_id", "version"))
-            n = last - first + 1
-            owner = np.repeat(row, n)
-            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for k in range(0, len(at), 1 << 18):
-                w, own = at[k : k + (1 << 18)], owner[k : k + (1 << 18)]
-                place = w + texts.bounds[own]
-                low = int(place.min())
-                words = _words(texts.data[low : int(place.max()) + 128])
-                na, nb = (_windows_of(_names(words, seed), place - low) for seed in (0, 1))
-                na, nb, i, v, w, rep = _least_first([na, nb, ids[own], versions[own], w])
-                yield pa.RecordBatch.from_arrays([_long(na), _long(nb), pa.array(i), pa.array(v), pa.array(w.astype(np.int32)), pa.array(rep)], names=_WINDOW)
+    return rows
 
 
 def _merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -385,8 +456,8 @@ def _cut(with_text: bool):
         for batch in batches:
             texts = Texts(batch["text"])
             bounds = _list_bounds(batch["runs"])
-            runs = batch["runs"].flatten()
-            first, end = (runs.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            runs = batch["runs"].flatten().to_numpy(zero_copy_only=False)
+            first, end = runs >> 32, runs & 0xFFFFFFFF
             sizes, removed, spans, digests, kept_texts = [], [], [], [], []
             for k in range(batch.num_rows):
                 data = texts.of(k).tobytes()
@@ -413,32 +484,36 @@ def repeated_runs(docs: DataFrame, repeated_ids: bool = True) -> DataFrame:
     """(doc_id, version, first, end): ranges of repeated bytes, not yet merged.
 
     ``docs`` has doc_id, text and version, which tells rows apart that share an
-    id but not a text.  Null ids must be gone.
+    id but not a text; without ``repeated_ids`` version is neither needed nor
+    returned.  Null ids must be gone.
     """
-    found = docs.select("doc_id", "version", "text").mapInArrow(_suffixes, "name long, doc_id long, version long, at int, kind byte")
-    kept = found.repartition("name").sortWithinPartitions("name").mapInArrow(_shared, "doc_id long, version long, at int")
-    gathered = F.collect_set("at") if repeated_ids else F.collect_list("at")
-    places = common.written(kept.groupBy("doc_id", "version").agg(gathered.alias("at")), "suffix-places")
+    keys = _keys(repeated_ids)
+    own = ", ".join(f"{k} long" for k in keys)
+    docs = docs.select(*keys, "text")
+    gathered = F.collect_set if repeated_ids else F.collect_list  # repeated rows have the same places
+
+    def places_of_shared(rows: DataFrame, name: str) -> DataFrame:
+        """A row per document: the places of names that another document has too."""
+        kept = rows.repartition("name").sortWithinPartitions("name").mapInArrow(_shared(keys), f"{own}, place long")
+        return common.written(kept.groupBy(*keys).agg(gathered("place").alias("places")), name)
 
-    named = docs.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "at").mapInArrow(_contexts, "ua long, ub long, doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
-    ranked = named.repartition("ua").sortWithinPartitions("ua", "ub").mapInArrow(_ranked(_CONTEXT, _first_of_context), "doc_id long, version long, at int, first int, last int, right long, left long, rep boolean")
+    places = places_of_shared(docs.mapInArrow(_suffixes(keys), f"name long, {own}, place long"), "suffix-places")
+
+    # Sorts are by one number, which Spark does by radix; equal first halves of names are told apart afterwards.
+    named = docs.join(places, keys).select(*keys, "text", "places").mapInArrow(_contexts(keys), f"ua long, ub long, {own}, place long, right long, left long")
+    ranked = named.repartition("ua").sortWithinPartitions("ua").mapInArrow(_first_of_context(keys), f"name long, {own}, first int, last int, kind byte")
     ranked = common.written(ranked, "suffix-contexts")
-    whole = ranked.where("not rep").select("doc_id", "version", "first", (F.col("last") + LEAST).alias("end"))
-
-    # Windows from `at - _BACK` on cover the 32 bytes to the right, earlier ones those to the left.
-    split = F.col("at") - _BACK
-    right = F.struct(F.greatest("first", split).alias("first"), F.col("last").alias("last"), F.col("right").alias("name"))
-    left = F.struct(F.col("first").alias("first"), F.least(F.col("last"), split - 1).alias("last"), F.col("left").alias("name"))
-    sides = ranked.where("rep").select("doc_id", "version", F.inline(F.array(right, left))).where("first <= last")
-    common_sides = sides.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
-    common_sides = common.written(common_sides, "suffix-sides")  # a table by itself, so that a join with a hot name can be split
-    open_ = sides.join(common_sides, "name", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    open_ = common.written(open_, "suffix-open")
-    windows = docs.join(open_, ["doc_id", "version"]).select("doc_id", "version", "text", "runs").mapInArrow(_windows, "na long, nb long, doc_id long, version long, at int, rep boolean")
-    repeated = windows.repartition("na").sortWithinPartitions("na", "nb").mapInArrow(_ranked(_WINDOW, _repeated_windows), "doc_id long, version long, at int")
-    repeated = common.written(repeated, "suffix-windows")
-    single = repeated.select("doc_id", "version", F.col("at").alias("first"), (F.col("at") + LEAST).alias("end"))
-    return whole.unionByName(single)
+    whole = ranked.where(F.col("kind") == _DONE).select(*keys, "first", (F.col("last") + LEAST).alias("end"))
+
+    run = F.shiftleft(F.col("first").cast("long"), 8) + F.shiftleft(F.col("last") - F.col("first"), 2) + F.col("kind")
+    open_ = places_of_shared(ranked.where(F.col("kind") != _DONE).select("name", *keys, run.alias("place")), "suffix-open")
+    windows = docs.join(open_, keys).select(*keys, "text", F.col("places").alias("runs")).mapInArrow(_windows(keys), f"na long, nb long, {own}, place long")
+    single = windows.repartition("na").sortWithinPartitions("na").mapInArrow(_repeated_windows(keys), f"{own}, first int, end int")
+    return whole.unionByName(common.written(single, "suffix-windows"))
+
+
+def _keys(repeated_ids: bool) -> list[str]:
+    return ["doc_id", "version"] if repeated_ids else ["doc_id"]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = False) -> DataFrame:
@@ -451,7 +526,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared_ids = not own.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
-    own = own.withColumn("version", F.xxhash64("text") if shared_ids else F.lit(0).cast("long"))
-    runs = repeated_runs(own.where("doc_id is not null"), shared_ids).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    keys = _keys(shared_ids)
+    if shared_ids:
+        own = own.withColumn("version", F.xxhash64("text"))
+    run = F.shiftleft(F.col("first").cast("long"), 32) + F.col("end")
+    runs = repeated_runs(own.where("doc_id is not null"), shared_ids).groupBy(*keys).agg((F.collect_set if shared_ids else F.collect_list)(run).alias("runs"))
     last = "kept binary" if with_text else "kept_sha256 string"
-    return own.join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return own.join(runs, keys, "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")

@@ -348,3 +348,58 @@ def test_substring_removal_of_texts_with_changes_that_make_up_for_each_other(spa
     rows = [(50 * (t is b) + k, base[: 40 + k] + t + base[60 : 120 + k]) for k in range(20) for t in (a, b)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect()) == sorted(removed(rows))
+
+
+def test_substring_removal_sorts_narrow_rows_by_one_number(spark, monkeypatch):
+    """CPU seconds: Spark sorts one long by radix, two columns by comparing; and
+    where ids are unique no row carries a version."""
+    plans = []
+    kept = substring_dedup.common.written
+    monkeypatch.setattr(substring_dedup.common, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, name))
+    p = "".join(chr(97 + (k * k + 7 * k) % 26) for k in range(300))
+    rows = [(k, str(k) * 60 + p) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect()) == sorted(removed(rows))
+    sorts = [line for plan in plans for line in plan.splitlines() if " Sort [" in line or line.startswith("Sort [")]
+    assert len(sorts) == 4 and all(line.count("ASC") == 1 for line in sorts)
+    assert not any("version" in plan for plan in plans)
+
+
+def test_substring_removal_sends_a_shared_name_once(spark):
+    """Only a name with many rows in a batch is worth the two rows that stand for them."""
+    draw = np.random.default_rng(8)
+    p = "".join(draw.choice(list("abcdefghijklmnop "), 4000))
+    texts = substring_dedup.pa.array([p, p])
+    batch = substring_dedup.pa.RecordBatch.from_arrays([substring_dedup.pa.array([3, 4]), texts], names=["doc_id", "text"])
+    own = len(substring_dedup.picked(substring_dedup.Texts(texts))[0])
+    assert own > 300 and sum(b.num_rows for b in substring_dedup._suffixes(["doc_id"])([batch])) == own
+
+
+@pytest.mark.parametrize("block", [37, 200, 1 << 16])
+def test_each_window_picks_its_leftmost_least_name(monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    draw = np.random.default_rng(9)
+    parts = ["".join(draw.choice(list("ab é"), draw.integers(0, 300))) for _ in range(15)] + ["x" * 130, "", "x" * 49, "x" * 50, "abc" * 40]
+    texts = substring_dedup.Texts(substring_dedup.pa.array(parts))
+    names = substring_dedup._name(texts.words[:-8], texts.words[8:])
+    expected = {}
+    for low, high in zip(texts.bounds[:-1], texts.bounds[1:], strict=True):
+        for w in range(low, high - 49):
+            at = w + int(np.argmin(names[w : w + 35] & ~substring_dedup._SPOT))
+            expected[at] = (expected.get(at, (w,))[0], w)
+    at, first, last, own = substring_dedup.picked(texts)
+    assert dict(zip(at.tolist(), zip(first.tolist(), last.tolist(), strict=True), strict=True)) == expected
+    assert len(at) == len(expected) and (own == names[at]).all()
+
+
+def test_substring_removal_of_a_row_repeated_often(spark, monkeypatch):
+    """Windows of a repeated row are listed once for its id, not once for each copy."""
+    lists, kept = {}, substring_dedup.common.written
+    monkeypatch.setattr(substring_dedup.common, "written", lambda df, name: lists.setdefault(name, kept(df, name)))
+    draw = np.random.default_rng(10)
+    p, q = ("".join(draw.choice(list("abcdefghijklmnop "), 200)) for _ in range(2))
+    rows = [(7, p + q)] * 40 + [(8, q + p)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(frame).collect()) == sorted(removed(rows))
+    most = [substring_dedup.F.max(substring_dedup.F.size(c)) for c in lists["suffix-open"].columns if c not in ("doc_id", "version")]
+    assert lists["suffix-open"].agg(*most).first()[0] < 100
