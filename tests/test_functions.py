@@ -1,5 +1,7 @@
 """Column functions on small examples of our own."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 

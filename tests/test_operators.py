@@ -330,6 +330,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert rows(spark.table("best"), "domain") == rows(landing.latest_backend(batch), "domain")
 
 
+def test_clean_pages_of_a_memory_are_judged_once(spark):
+    long = "<p>" + "x" * 600 + "</p>"
+    log = attempts(spark, [("https://a.com/1", "relay", 200, long, {}), ("https://b.com/2", "direct", 200, "<p>x</p>" + " " * 600, {}), ("https://c.com/3", "direct", 403, long, {}), ("https://d.com/4", "direct", 200, None, {}), ("https://e.com/5", "human", 200, long, {}), ("https://f.com/6", None, 200, long, {}), ("https://g.com/7", "direct", None, long, {})])
+    judged, own = landing.classified(log), landing.clean(log)
+    assert rows(own, "attempt_id") == rows(judged.where("reason is null and not thin").select(*own.columns), "attempt_id")
+    assert rows(landing.latest_backend(own)) == rows(landing.latest_backend(judged))
+    plan = landing.latest_backend(own)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("noscript") == 1 and "exfiltrate" not in plan
+
+
 def test_memory_expires_and_survives_a_restart(spark, tmp_path):
     """Three runs from one checkpoint, each ended and begun anew: a domain goes when
     the watermark passes it, comes back, and late pages change nothing."""
