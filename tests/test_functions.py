@@ -178,6 +178,15 @@ def test_strip(spark):
     assert column(spark, [" \t\n\xa0\x1ca b \n"], strip) == ["a b"]
 
 
+def test_strip_reads_the_ends_only(spark):
+    """White space within a text was tried from each of its places."""
+    blanks = "".join(c for c in map(chr, range(0x11000)) if c.isspace())
+    long = "a" + "\xa0" * 200_000 + "b"
+    began = time.monotonic()
+    assert column(spark, [blanks + "a" + blanks + "b" + blanks, blanks, "", None, long], strip) == ["a" + blanks + "b", "", "", None, long]
+    assert time.monotonic() - began < 15
+
+
 #: The standard's examples of references seen from http://a/b/c/d;p?q.
 RFC_3986 = {
     "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q#s", "g#s": "/b/c/g#s", "g?y#s": "/b/c/g?y#s",
